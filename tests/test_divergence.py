@@ -1,0 +1,163 @@
+"""One small log per ledger item (FIXTURES §7): compat result and exact result."""
+
+from pyspark.sql import functions as F
+
+from changeflow.operators.filters import filter_ops, image, with_change_meta
+from changeflow.operators.flatten import flatten, flatten_events, parse_document, vanished_children
+from changeflow.operators.merge import merge_batch, run_model
+from changeflow.plans.pipelines import decode, direct_rows, empty_output, split_rejects, stage
+from changeflow.schemas import COVERAGE, DRIVER, POLICY
+from changeflow.sources.changes import envelope_rejects, parse_envelope
+from tests.helpers import cov, doc, ev, msgs, rows
+
+
+def _stage(spark, log, **kw):
+    return stage(decode(msgs(spark, log)), **kw)
+
+
+def test_shrink_keeps_orphan_child_compat_and_exact_removes_it(spark):
+    a, b = doc(coverages=[cov("a"), cov("b")]), doc(coverages=[cov("a")])
+    log = [ev("c", 1000, 1, 1, after=a), ev("u", 2000, 1, 2, before=a, after=b)]
+    st = _stage(spark, log)["coverage"]
+    out = merge_batch(empty_output(spark, COVERAGE), st, COVERAGE.keys, COVERAGE.columns)
+    assert rows(out, "coverage_type") == [("a",), ("b",)]          # compat: b stays
+    env = decode(msgs(spark, log))
+    gone = vanished_children(env, COVERAGE)
+    exact = merge_batch(empty_output(spark, COVERAGE), st.unionByName(gone.select(*st.columns)),
+                        COVERAGE.keys, COVERAGE.columns)
+    assert rows(exact, "coverage_type") == [("a",)]                  # exact: b removed
+
+
+def test_shrink_then_delete(spark):
+    a, b = doc(coverages=[cov("a"), cov("b")]), doc(coverages=[cov("a")])
+    log = [ev("c", 1000, 1, 1, after=a), ev("u", 2000, 1, 2, before=a, after=b), ev("d", 3000, 1, 3, before=b)]
+    st = _stage(spark, log)["coverage"]
+    out = merge_batch(empty_output(spark, COVERAGE), st, COVERAGE.keys, COVERAGE.columns)
+    assert rows(out, "coverage_type") == [("b",)]                    # b stays forever
+    gone = vanished_children(decode(msgs(spark, log)), COVERAGE)
+    exact = merge_batch(empty_output(spark, COVERAGE), st.unionByName(gone.select(*st.columns)),
+                        COVERAGE.keys, COVERAGE.columns)
+    assert exact.count() == 0
+
+
+def test_late_delete_model_vs_transactional(spark):
+    d = doc(coverages=[cov("a")])
+    log = [ev("u", 20_000, 1, 1, before=d, after=d), ev("d", 10_000, 1, 2, before=d)]
+    st = _stage(spark, log)["policy"]
+    tx = merge_batch(empty_output(spark, POLICY), st, POLICY.keys, POLICY.columns)
+    assert tx.count() == 1                                           # latest by event time is the update
+    model = run_model(empty_output(spark, POLICY), st, POLICY.keys, POLICY.columns)
+    assert model.count() == 0                                        # hook: last arrival is a delete
+
+
+def test_late_parent_missed_by_incremental_model(spark):
+    log1 = [ev("c", 20_000, 2, 1, after=doc(coverages=[cov("x")]))]
+    log2 = [ev("c", 10_000, 1, 2, after=doc(coverages=[cov("y")]))]
+    st1 = _stage(spark, log1)
+    st_all = _stage(spark, log1 + log2)
+    p = run_model(empty_output(spark, POLICY), st1["policy"], POLICY.keys, POLICY.columns, incremental=True)
+    p = run_model(p, st_all["policy"], POLICY.keys, POLICY.columns, incremental=True)
+    assert rows(p, "policy_id") == [(2,)]                            # policy 1 never merged
+    c = run_model(empty_output(spark, COVERAGE), st_all["coverage"], COVERAGE.keys, COVERAGE.columns)
+    assert rows(c, "policy_id") == [(1,), (2,)]                      # its children are
+    full = run_model(empty_output(spark, POLICY), st_all["policy"], POLICY.keys, POLICY.columns)
+    assert rows(full, "policy_id") == [(1,), (2,)]                   # exact: full rescan
+
+
+def test_late_batch_overwrites_in_compat_not_in_exact(spark):
+    new, old = doc(status="new"), doc(status="old")
+    b1 = _stage(spark, [ev("u", 20_000, 1, 1, before=old, after=new)])["policy"]
+    b2 = _stage(spark, [ev("u", 10_000, 1, 2, before=new, after=old)])["policy"]
+    t1 = merge_batch(empty_output(spark, POLICY), b1, POLICY.keys, POLICY.columns)
+    t2 = merge_batch(t1, b2, POLICY.keys, POLICY.columns)
+    assert rows(t2, "status") == [("old",)]                           # compat: the late batch wins
+    cols = POLICY.columns + ["event_time", "seq", "pos", "pos2"]
+    e1 = merge_batch(b1.select(*cols).filter(F.lit(False)), b1, POLICY.keys, cols)
+    e2 = merge_batch(e1, b2, POLICY.keys, cols, exact=True)
+    assert rows(e2, "status") == [("new",)]                           # exact: stored newer state kept
+    full = run_model(empty_output(spark, POLICY), b1.unionByName(b2), POLICY.keys, POLICY.columns)
+    assert rows(full, "status") == [("new",)]                         # full rescan: t=20 state
+
+
+def test_driver_caps_and_staging_mask(spark):
+    vehicles = [{"vin": f"V{i}", "drivers": [{"name": f"n{j}", "license_number": f"L{i}{j}"} for j in range(4)]}
+                for i in range(4)]
+    log = [ev("c", 1000, 1, 1, after=doc(vehicles=vehicles))]
+    assert direct_rows(decode(msgs(spark, log)))["driver"].count() == 9   # direct: 3 x 3
+    assert _stage(spark, log)["driver"].count() == 8                      # staging: vehicles[2].drivers[2] left out
+    assert _stage(spark, log, caps=None, staging=False)["driver"].count() == 16
+
+
+def test_six_coverages_capped_at_five(spark):
+    log = [ev("c", 1000, 1, 1, after=doc(coverages=[cov(f"t{i}") for i in range(6)]))]
+    assert _stage(spark, log)["coverage"].count() == 5
+    assert _stage(spark, log, caps=None)["coverage"].count() == 6
+
+
+def test_duplicate_child_higher_position_wins(spark):
+    log = [ev("c", 1000, 1, 1, after=doc(coverages=[cov("a", 1.0), cov("a", 2.0)]))]
+    st = _stage(spark, log)["coverage"]
+    out = merge_batch(empty_output(spark, COVERAGE), st, COVERAGE.keys, COVERAGE.columns)
+    assert [float(r["premium"]) for r in out.collect()] == [2.0]
+
+
+def test_null_key_is_quarantined(spark):
+    d = doc(vehicles=[{"make": "x", "drivers": [{"name": "n", "license_number": "L1"}]}])
+    st = _stage(spark, [ev("c", 1000, 1, 1, after=d)])["driver"]
+    clean, bad = split_rejects(st, DRIVER)
+    assert clean.count() == 0 and [r["reason"] for r in bad.collect()] == ["null_key"]
+
+
+def test_bad_date_null_fail_quarantine(spark):
+    log = [ev("c", 1000, 1, 1, after=doc(effective_date="oops"))]
+    env = decode(msgs(spark, log))
+    img = parse_document(image(env, "after", keep=["op", "event_time", "seq"]), POLICY)
+    assert flatten(img, POLICY).collect()[0]["effective_date"] is None
+    q = flatten(img, POLICY, on_error="quarantine").collect()[0]
+    assert q["_cast_errors"] == ["effective_date"]
+    import pytest
+    with pytest.raises(Exception):
+        flatten(img, POLICY, on_error="fail").collect()
+
+
+def test_bad_messages(spark):
+    good = ev("c", 1000, 1, 1, after=doc())[0]
+    m = msgs(spark, [(good[:15], 1), (None, 2), ('{"op":"c"}', 3), (good, 4)])
+    assert sorted(r["seq"] for r in parse_envelope(m).collect()) == [3, 4]          # compat
+    assert sorted(r["seq"] for r in parse_envelope(m, strict=True).collect()) == [4]
+    rej = sorted((r["seq"], r["reason"]) for r in envelope_rejects(m, strict=True).collect())
+    assert rej == [(1, "unparsable_or_no_op"), (3, "no_image")]                      # tombstone skipped
+
+
+def test_equal_timestamps_arrival_breaks_tie(spark):
+    log = [ev("u", 1000, 1, 1, after=doc(status="first")), ev("u", 1000, 1, 2, after=doc(status="second"))]
+    st = _stage(spark, log)["policy"]
+    out = merge_batch(empty_output(spark, POLICY), st, POLICY.keys, POLICY.columns)
+    assert rows(out, "status") == [("second",)]
+
+
+def test_direct_variant_ignores_deletes(spark):
+    d = doc(coverages=[cov("a")])
+    env = decode(msgs(spark, [ev("c", 1000, 1, 1, after=d), ev("d", 2000, 1, 2, before=d)]))
+    assert filter_ops(env).count() == 1
+    assert direct_rows(env)["coverage"].count() == 1
+
+
+def test_event_time_zone_modes(spark):
+    env = decode(msgs(spark, [ev("c", 1_700_000_000_123, 1, 1, after=doc())]))
+    assert str(env.collect()[0]["event_time"]) == "2023-11-14 22:13:20.123000"
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        local = with_change_meta(parse_envelope(msgs(spark, [ev("c", 1_700_000_000_123, 1, 1, after=doc())])),
+                                 zone="session").collect()[0]["event_time"]
+        utc = decode(msgs(spark, [ev("c", 1_700_000_000_123, 1, 1, after=doc())])).collect()[0]["event_time"]
+        assert str(local) == "2023-11-14 17:13:20.123000" and str(utc) == "2023-11-14 22:13:20.123000"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_flatten_events_meta(spark):
+    env = decode(msgs(spark, [ev("c", 1000, 7, 3, after=doc(coverages=[cov("a"), cov("b")]))]))
+    img = parse_document(image(env, "coalesce", keep=["op", "event_time", "seq"]), COVERAGE)
+    r = sorted(flatten_events(img, COVERAGE).select("policy_id", "op", "seq", "pos").collect())
+    assert [tuple(x) for x in r] == [(7, "c", 3, 0), (7, "c", 3, 1)]
