@@ -189,6 +189,19 @@ ORACLE: dict[str, str] = {
                CAST(o.acct AS DECIMAL(12,2)) AS before_acct, CAST(n.acct AS DECIMAL(12,2)) AS after_acct
         FROM old o FULL OUTER JOIN new n ON o.id = n.id
         WHERE o.id IS NULL OR n.id IS NULL OR o.acct <> n.acct""",
+    # ---- streaming and publish ----
+    "stream_equals_batch": f"""WITH {DOCS},
+        F5 AS (SELECT o_custkey, o_orderkey, o_totalprice, c_acctbal FROM O WHERE r0 <= 5),
+        S5 AS (SELECT o_custkey, o_orderkey, o_totalprice, c_acctbal FROM (
+               SELECT O.*, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rs
+               FROM O WHERE o_orderstatus <> 'F') WHERE rs <= 5),
+        B AS (SELECT c_custkey FROM C WHERE c_mktsegment = 'BUILDING'),
+        K AS (SELECT * FROM F5 WHERE o_custkey NOT IN (SELECT c_custkey FROM B)
+              UNION SELECT * FROM S5 WHERE o_custkey NOT IN (SELECT c_custkey FROM B)
+              UNION SELECT * FROM F5 WHERE o_custkey IN (SELECT c_custkey FROM B)
+                    AND NOT EXISTS (SELECT 1 FROM S5 WHERE S5.o_orderkey = F5.o_orderkey))
+        SELECT {COVERAGE_COLS} FROM K""",
+    "atomic_publish": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O WHERE r0 <= 5",
     # ---- checks ---------------------------------------------------------------------------------
     "parent_child_counts": f"""WITH {DOCS} SELECT C.c_custkey AS policy_id, COALESCE(n, 0) AS n_children FROM C
         LEFT JOIN (SELECT o_custkey, count(*) AS n FROM O WHERE r0 <= 3 GROUP BY o_custkey) x ON x.o_custkey = C.c_custkey

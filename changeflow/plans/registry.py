@@ -327,6 +327,84 @@ def q_lag_percentiles(spark, d):
     return checks.lag_stats(log.withColumn("lag_ms", lag), "lag_ms", by=["op"])
 
 
+# ---- streaming and publish ----------------------------------------------------------------------
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder of the session."""
+    import uuid
+    from changeflow.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/changeflow-queries/{name}-{uuid.uuid4().hex}"
+
+
+def _doc_events(spark, d):
+    """Three phases over documents D: snapshot reads, updates that drop the
+    orders with status F, deletes of BUILDING customers (before = shrunk)."""
+    full = customer_documents(spark, d)
+    shrunk = customer_documents(spark, d, orders_filter=F.col("o_orderstatus") != "F")
+    img = "struct<id:bigint,data:string,created_at:string,updated_at:string>"
+    none = F.lit(None).cast(img)
+
+    def im(df):
+        return F.struct(df["id"], df["data"].alias("data"), F.lit(None).cast("string").alias("created_at"),
+                        F.lit(None).cast("string").alias("updated_at"))
+    j = full.alias("f").join(shrunk.alias("s"), "id")
+    seg = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    r = full.select(F.to_json(F.struct(none.alias("before"), im(full).alias("after"), F.lit("r").alias("op"),
+                                       F.col("ts_ms"))).alias("value"), F.col("seq"))
+    u = j.select(F.to_json(F.struct(
+        F.struct("id", F.col("f.data").alias("data"), F.lit(None).cast("string").alias("created_at"),
+                 F.lit(None).cast("string").alias("updated_at")).alias("before"),
+        F.struct("id", F.col("s.data").alias("data"), F.lit(None).cast("string").alias("created_at"),
+                 F.lit(None).cast("string").alias("updated_at")).alias("after"),
+        F.lit("u").alias("op"), (F.col("f.ts_ms") + F.lit(10**12)).alias("ts_ms"))).alias("value"),
+        (F.col("f.seq") + F.lit(10**9)).alias("seq"))
+    dd = shrunk.join(seg, "id").filter(F.col("c_mktsegment") == "BUILDING").select(F.to_json(F.struct(
+        im(shrunk).alias("before"), none.alias("after"), F.lit("d").alias("op"),
+        (F.col("ts_ms") + F.lit(2 * 10**12)).alias("ts_ms"))).alias("value"),
+        (F.col("seq") + F.lit(2 * 10**9)).alias("seq"))
+    return [r, u, dd]
+
+
+def q_stream_equals_batch(spark, d):
+    from changeflow.sinks import StagingStore, TableSet
+    from changeflow.sources.changes import read_changes
+    from changeflow.streaming.jobs import start_merge, start_staging
+    root = _scratch(spark, "stream")
+    for i, part in enumerate(_doc_events(spark, d)):
+        part.write.mode("overwrite").parquet(f"{root}/src/phase{i}")
+    store = StagingStore(spark, f"{root}/stg")
+    tables = TableSet(spark, f"{root}/out", buckets=8)
+    opts = {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}
+    start_staging(read_changes(spark, f"{root}/src", "parquet", opts), store, f"{root}/ck_stg",
+                  {"availableNow": True}).awaitTermination()
+    start_merge(store, tables, f"{root}/ck_merge", trigger={"availableNow": True}).awaitTermination()
+    return tables.read("coverage")
+
+
+def q_atomic_publish(spark, d):
+    from changeflow.operators.merge import merge_batch as mb
+    from changeflow.plans.pipelines import decode, stage
+    from changeflow.sinks import TableSet
+    root = _scratch(spark, "publish")
+    tables = TableSet(spark, root, buckets=8)
+    r, _u, dd = _doc_events(spark, d)
+
+    def commit(msgs):
+        rows = stage(decode(msgs), [POLICY, COVERAGE])
+        return tables.commit({s.name: (rows[s.name], lambda cur, x=rows[s.name], sp=s: mb(cur, x, sp.keys, sp.columns))
+                              for s in (POLICY, COVERAGE)})
+    commit(r)
+    publish = tables._publish
+    tables._publish = lambda m: (_ for _ in ()).throw(RuntimeError("interrupted before the manifest"))
+    try:
+        commit(dd)   # data files of version 2 are written, the manifest is not
+    except RuntimeError:
+        pass
+    finally:
+        tables._publish = publish
+    return tables.read("coverage")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
