@@ -61,11 +61,16 @@ def max_time(target: DataFrame, col: str = "source_event_time",
 
 def incremental_filter(stg: DataFrame, target: DataFrame, time_col: str = "event_time",
                        target_time_col: str = "source_event_time",
-                       default: str = "1970-01-01 00:00:00") -> DataFrame:
+                       default: str = "1970-01-01 00:00:00", eager: bool = True) -> DataFrame:
     """Events at or after the newest time already in the target (inclusive).
 
-    The bound is an uncorrelated scalar subquery: one tiny aggregate over the
-    target, evaluated once, then a plain filter (pushed to the staging scan).
+    ``eager=True`` (default) computes the bound first (one aggregate over the
+    target, one value to the driver) and filters with a literal, so the
+    predicate is pushed into the staging scan (parquet min/max skipping).
+    ``eager=False`` keeps it as an uncorrelated scalar subquery in one plan.
     """
-    hwm = max_time(target, target_time_col, default).scalar()
-    return stg.filter(F.col(time_col) >= hwm)
+    bound = max_time(target, target_time_col, default)
+    if eager:
+        hwm = bound.first()["_hwm"]
+        return stg.filter(F.col(time_col) >= F.lit(hwm).cast("timestamp_ntz"))
+    return stg.filter(F.col(time_col) >= bound.scalar())

@@ -46,13 +46,46 @@ def current_state(stg: DataFrame, keys, order=ORDER_COLUMNS, method: str = "wind
     return latest.filter(F.col("op") != F.lit("d"))
 
 
-def history(stg: DataFrame, keys, order=ORDER_COLUMNS, time_col: str = "event_time") -> DataFrame:
-    """Every event of a key in order, numbered, with the time the next event
-    of the same key took over (``valid_to``, NULL for the current one)."""
+def history(stg: DataFrame, keys, order=ORDER_COLUMNS, time_col: str = "event_time",
+            method: str = "range", partitions: int | None = None) -> DataFrame:
+    """Every event of a key in order, numbered (``version``), with the time the
+    next event of the same key took over (``valid_to``, NULL for the current).
+
+    ``method="window"``: ``row_number`` / ``lead`` over ``PARTITION BY key``;
+    one task sorts all events of a key.
+
+    ``method="range"`` (default, skew-safe): range-partition on ``(key,
+    order)``, so the events of a hot key are spread over consecutive
+    partitions in order. Rows are numbered inside their partition; a small
+    aggregate per ``(partition, key)`` gives each piece its offset and the
+    first time of the next piece of the same key. Every group any task sorts
+    is at most one range partition.
+    """
+    keys = list(keys)
     order = order_columns(stg, order)
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order])
-    return (stg.withColumn("version", F.row_number().over(w))
-               .withColumn("valid_to", F.lead(time_col).over(w)))
+    if method == "window":
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order])
+        return (stg.withColumn("version", F.row_number().over(w))
+                   .withColumn("valid_to", F.lead(time_col).over(w)))
+    if method != "range":
+        raise ValueError("method must be 'range' or 'window'")
+    n = partitions or int(stg.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # range partitions split a hot key's events into ordered pieces
+    s = stg.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
+    wp = Window.partitionBy("_pid", *keys).orderBy(*[F.col(c).asc() for c in order])
+    s = (s.withColumn("_rn", F.row_number().over(wp))
+          .withColumn("_lead", F.lead(time_col).over(wp)))
+    # one row per piece: its size and first time, then offsets along the key
+    pieces = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min_by(time_col, "_rn").alias("_t0"))
+    wk = Window.partitionBy(*keys).orderBy("_pid")
+    pieces = (pieces.withColumn("_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                                    F.lit(0)))
+                    .withColumn("_next_t", F.lead("_t0").over(wk))
+                    .select("_pid", *keys, "_off", "_next_t"))
+    return (s.join(pieces, ["_pid", *keys])
+             .withColumn("version", (F.col("_off") + F.col("_rn")).cast("int"))
+             .withColumn("valid_to", F.coalesce(F.col("_lead"), F.col("_next_t")))
+             .drop("_pid", "_rn", "_lead", "_off", "_next_t"))
 
 
 def max_arrival(stg: DataFrame, keys, order=ARRIVAL_ORDER) -> DataFrame:

@@ -85,7 +85,7 @@ ORACLE: dict[str, str] = {
         SELECT C.c_custkey AS id, C.c_name AS policy_number, C.n_name AS city,
                CAST(o.o_orderkey AS VARCHAR) AS first_coverage, CAST(o.o_totalprice AS DECIMAL(12,2)) AS first_limit,
                CAST(li.l_partkey AS VARCHAR) || '-' || CAST(li.l_suppkey AS VARCHAR) || '-' || CAST(li.l_linenumber AS VARCHAR) AS first_license,
-               CAST(NULL AS VARCHAR) AS holder_object
+               CAST(NULL AS VARCHAR) AS holder_object, C.c_mktsegment AS status_text
         FROM C LEFT JOIN O o ON o.o_custkey = C.c_custkey AND o.r0 = 1
                LEFT JOIN LI li ON li.l_orderkey = o.o_orderkey AND li.r1 = 1""",
     "json_cast_types": """SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d,
@@ -118,6 +118,9 @@ ORACLE: dict[str, str] = {
     "history": f"""WITH {L} SELECT policy_id, seq, event_time,
         row_number() OVER (PARTITION BY policy_id ORDER BY event_time, seq) AS version,
         lead(event_time) OVER (PARTITION BY policy_id ORDER BY event_time, seq) AS valid_to FROM L""",
+    "history_window": f"""WITH {L} SELECT policy_id, seq, event_time,
+        row_number() OVER (PARTITION BY policy_id ORDER BY event_time, seq) AS version,
+        lead(event_time) OVER (PARTITION BY policy_id ORDER BY event_time, seq) AS valid_to FROM L""",
     "distinct_ops": f"WITH {L} SELECT DISTINCT op FROM L",
     "count_by_op": f"WITH {L} SELECT op, count(*) AS n_rows FROM L GROUP BY op",
     # ---- merges ---------------------------------------------------------------------------------
@@ -215,6 +218,19 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'vin', count(*) FILTER (WHERE vin IS NULL) FROM V
         UNION ALL SELECT 'year_made', count(*) FILTER (WHERE year_made IS NULL) FROM V
         UNION ALL SELECT 'make', count(*) FILTER (WHERE make IS NULL) FROM V""",
+    "key_conflicts": f"""WITH {DOCS},
+        D AS (SELECT o_custkey AS policy_id, 'V' || CAST(o_orderkey AS VARCHAR) AS vehicle_vin,
+                     CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS license_number
+              FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey WHERE r0 <= 3 AND r1 <= 3),
+        X AS (SELECT count(*) AS n FROM D GROUP BY policy_id, vehicle_vin, license_number HAVING count(*) > 1)
+        SELECT 'driver' AS table_name, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows FROM X HAVING count(*) > 0""",
+    "row_counts": f"""WITH {DOCS} SELECT table_name, n_rows, n_rows >= 1 AS ok FROM (
+        SELECT 'policy' AS table_name, (SELECT count(*) FROM C) AS n_rows
+        UNION ALL SELECT 'coverage', (SELECT count(*) FROM O WHERE r0 <= 5)
+        UNION ALL SELECT 'vehicle', (SELECT count(*) FROM O WHERE r0 <= 3)
+        UNION ALL SELECT 'driver', (SELECT count(*) FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey WHERE r0 <= 3 AND r1 <= 3)
+        UNION ALL SELECT 'claim', (SELECT count(*) FROM O WHERE r0 <= 5))""",
+    "envelope_shape": "SELECT count(*) AS n_events, CAST(0 AS BIGINT) AS n_missing_after, CAST(0 AS BIGINT) AS n_missing_before FROM events",
     "lag_percentiles": f"""WITH {L} SELECT op, quantile_cont(CAST(ts_ms - epoch_ms(event_time) AS DOUBLE), 0.5) AS p50_ms,
         quantile_cont(CAST(ts_ms - epoch_ms(event_time) AS DOUBLE), 0.9) AS p90_ms,
         quantile_cont(CAST(ts_ms - epoch_ms(event_time) AS DOUBLE), 0.99) AS p99_ms,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.functions.casts import cast_leaf
-from changeflow.functions.json import json_patch, json_value
+from changeflow.functions.json import json_patch, json_text, json_value
 from changeflow.functions.time import epoch_millis, event_time_from_ms
 from changeflow.operators import checks
 from changeflow.operators.filters import filter_ops, image, since_watermark
@@ -82,7 +82,8 @@ def q_json_value_paths(spark, d):
         json_value("data", "$.coverages[0].type").alias("first_coverage"),
         json_value("data", "$.coverages[0].limit", "decimal(12,2)").alias("first_limit"),
         json_value("data", "$.vehicles[0].drivers[0].license_number").alias("first_license"),
-        json_value("data", "$.policyholder").alias("holder_object"))
+        json_value("data", "$.policyholder").alias("holder_object"),
+        json_text("data", "status").alias("status_text"))
 
 
 def q_json_cast_types(spark, d):
@@ -173,6 +174,11 @@ def q_history(spark, d):
                                                                 "valid_to")
 
 
+def q_history_window(spark, d):
+    return history(change_log(spark, d), ["policy_id"], method="window").select(
+        "policy_id", "seq", "event_time", "version", "valid_to")
+
+
 def q_distinct_ops(spark, d):
     return checks.distinct_ops(change_log(spark, d))
 
@@ -235,7 +241,8 @@ def q_full_rescan_model(spark, d):
 def _slices(spark, d):
     log = change_log(spark, d)
     s1 = log.filter(F.col("arrival_time") < _split())
-    wm1 = s1.agg(F.coalesce(F.max("seq"), F.lit(0).cast("long"))).scalar()
+    # the watermark is one number: computed first, then a literal bound the scan can use
+    wm1 = s1.agg(F.coalesce(F.max("seq"), F.lit(0).cast("long")).alias("wm")).first()["wm"]
     return log, s1, since_watermark(log, wm1)
 
 
@@ -321,6 +328,26 @@ def q_null_violations(spark, d):
     return checks.null_violations(v, ["policy_id", "vin", "year_made", "make"])
 
 
+def _entity_tables(spark, d):
+    docs = _docs(spark, d, [POLICY, COVERAGE, VEHICLE, DRIVER, CLAIM])
+    return {s.name: flatten(docs, s).select(*s.columns) for s in (POLICY, COVERAGE, VEHICLE, DRIVER, CLAIM)}
+
+
+def q_key_conflicts(spark, d):
+    t = _entity_tables(spark, d)
+    specs = {s.name: s for s in (POLICY, COVERAGE, VEHICLE, DRIVER, CLAIM)}
+    found = checks.key_conflicts({n: (df, specs[n].keys) for n, df in t.items()})
+    return found.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_rows").alias("n_rows"))
+
+
+def q_row_counts(spark, d):
+    return checks.row_counts(_entity_tables(spark, d), minimum=1)
+
+
+def q_envelope_shape(spark, d):
+    return checks.envelope_shape(parse_envelope(change_envelopes(spark, d)))
+
+
 def q_lag_percentiles(spark, d):
     log = change_log(spark, d)
     lag = F.col("ts_ms") - epoch_millis("event_time")
@@ -336,11 +363,12 @@ def _scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/changeflow-queries/{name}-{uuid.uuid4().hex}"
 
 
-def _doc_events(spark, d):
+def _doc_events(spark, d, full=None, shrunk=None):
     """Three phases over documents D: snapshot reads, updates that drop the
     orders with status F, deletes of BUILDING customers (before = shrunk)."""
-    full = customer_documents(spark, d)
-    shrunk = customer_documents(spark, d, orders_filter=F.col("o_orderstatus") != "F")
+    full = full if full is not None else customer_documents(spark, d)
+    shrunk = shrunk if shrunk is not None else customer_documents(
+        spark, d, orders_filter=F.col("o_orderstatus") != "F")
     img = "struct<id:bigint,data:string,created_at:string,updated_at:string>"
     none = F.lit(None).cast(img)
 
@@ -365,16 +393,32 @@ def _doc_events(spark, d):
     return [r, u, dd]
 
 
+def _write_phases(spark, d, root: str) -> int:
+    """Write the three phases as a change log (files of one phase, then the
+    next); returns the files per phase, so one micro-batch takes one phase."""
+    from pyspark import StorageLevel
+    n = spark.sparkContext.defaultParallelism
+    full = customer_documents(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    shrunk = customer_documents(spark, d, orders_filter=F.col("o_orderstatus") != "F") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for i, part in enumerate(_doc_events(spark, d, full, shrunk)):
+            part.repartition(n, "seq").write.mode("overwrite").parquet(f"{root}/src/phase{i}")
+    finally:
+        full.unpersist()
+        shrunk.unpersist()
+    return n
+
+
 def q_stream_equals_batch(spark, d):
     from changeflow.sinks import StagingStore, TableSet
     from changeflow.sources.changes import read_changes
     from changeflow.streaming.jobs import start_merge, start_staging
     root = _scratch(spark, "stream")
-    for i, part in enumerate(_doc_events(spark, d)):
-        part.write.mode("overwrite").parquet(f"{root}/src/phase{i}")
+    per_phase = _write_phases(spark, d, root)
     store = StagingStore(spark, f"{root}/stg")
     tables = TableSet(spark, f"{root}/out", buckets=8)
-    opts = {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}
+    opts = {"maxFilesPerTrigger": str(per_phase), "recursiveFileLookup": "true"}
     start_staging(read_changes(spark, f"{root}/src", "parquet", opts), store, f"{root}/ck_stg",
                   {"availableNow": True}).awaitTermination()
     start_merge(store, tables, f"{root}/ck_merge", trigger={"availableNow": True}).awaitTermination()
@@ -382,22 +426,31 @@ def q_stream_equals_batch(spark, d):
 
 
 def q_atomic_publish(spark, d):
+    from pyspark import StorageLevel
+
     from changeflow.operators.merge import merge_batch as mb
     from changeflow.plans.pipelines import decode, stage
     from changeflow.sinks import TableSet
+    from changeflow.sources.changes import read_change_log
     root = _scratch(spark, "publish")
-    tables = TableSet(spark, root, buckets=8)
-    r, _u, dd = _doc_events(spark, d)
-
-    def commit(msgs):
-        rows = stage(decode(msgs), [POLICY, COVERAGE])
-        return tables.commit({s.name: (rows[s.name], lambda cur, x=rows[s.name], sp=s: mb(cur, x, sp.keys, sp.columns))
-                              for s in (POLICY, COVERAGE)})
-    commit(r)
+    _write_phases(spark, d, root)
+    tables = TableSet(spark, f"{root}/out", buckets=8)
+
+    def commit(phase: int):
+        rows = stage(decode(read_change_log(spark, f"{root}/src/phase{phase}")), [POLICY, COVERAGE])
+        rows = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in rows.items()}
+        try:
+            return tables.commit({s.name: (rows[s.name], lambda cur, x=rows[s.name], sp=s: mb(cur, x, sp.keys,
+                                                                                                sp.columns))
+                                  for s in (POLICY, COVERAGE)})
+        finally:
+            for v in rows.values():
+                v.unpersist()
+    commit(0)
     publish = tables._publish
     tables._publish = lambda m: (_ for _ in ()).throw(RuntimeError("interrupted before the manifest"))
     try:
-        commit(dd)   # data files of version 2 are written, the manifest is not
+        commit(2)   # the deletes: data files of version 2 are written, the manifest is not
     except RuntimeError:
         pass
     finally:

@@ -25,6 +25,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,38 +142,60 @@ class TableSet:
 
     def touched_buckets(self, keys: DataFrame, id_col: str = "policy_id") -> list[int]:
         """Bucket ids holding the given keys (at most ``buckets`` values)."""
-        rows = keys.select(bucket_of(id_col, self.buckets).alias("b")).distinct().collect()
-        return sorted(r["b"] for r in rows if r["b"] is not None)
+        return self.touched_buckets_all({"_": (keys, id_col)}).get("_", [])
+
+    def touched_buckets_all(self, keyed: dict[str, tuple[DataFrame, str]]) -> dict[str, list[int]]:
+        """Touched bucket ids of several tables in one job: ``{name: (keys, id_col)}``.
+        The result has at most ``tables x buckets`` small ints."""
+        parts = [df.select(F.lit(name).alias("t"), bucket_of(col, self.buckets).alias("b"))
+                 for name, (df, col) in keyed.items()]
+        if not parts:
+            return {}
+        out: dict[str, list[int]] = {n: [] for n in keyed}
+        for r in reduce(DataFrame.unionByName, parts).distinct().collect():
+            if r["b"] is not None:
+                out[r["t"]].append(r["b"])
+        return {n: sorted(v) for n, v in out.items()}
 
     # ---- commit --------------------------------------------------------------------------------
+    def _write(self, name: str, merge, bks: list[int], m: dict, version: int) -> tuple[str, list[int], set]:
+        spec = self.specs[name]
+        cur = self.read_buckets(name, bks, m)
+        new = merge(cur).select(*spec.columns)
+        path = f"{self.root}/{name}/v={version:020d}"
+        (new.withColumn("_bucket", bucket_of(spec.id_column, self.buckets))
+            .write.mode("overwrite").partitionBy("_bucket").parquet(path))
+        written = {n.split("=", 1)[1] for n in self.fs.list_names(path) if n.startswith("_bucket=")}
+        return path, bks, written
+
     def commit(self, updates: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
                progress: dict | None = None, metrics: dict | None = None, all_buckets: bool = False) -> dict:
         """Merge and publish one version.
 
         ``updates``: ``{entity: (touched_keys, merge)}`` where ``merge`` maps the
         current rows of the touched buckets to their new rows. Only those buckets
-        are read and rewritten. Returns the published manifest.
+        are read and rewritten; the tables are written concurrently (one Spark
+        job each), then one manifest publishes all of them. Returns it.
         """
         m = self.manifest()
         version = m["version"] + 1
         tables = {n: dict(v) for n, v in m["tables"].items()}
-        for name, (touched, merge) in updates.items():
-            spec = self.specs[name]
-            bks = list(range(self.buckets)) if all_buckets else self.touched_buckets(touched, spec.id_column)
-            if not bks:
-                continue
-            cur = self.read_buckets(name, bks, m)
-            new = merge(cur).select(*spec.columns)
-            path = f"{self.root}/{name}/v={version:020d}"
-            (new.withColumn("_bucket", bucket_of(spec.id_column, self.buckets))
-                .write.mode("overwrite").partitionBy("_bucket").parquet(path))
-            written = {n.split("=", 1)[1] for n in self.fs.list_names(path) if n.startswith("_bucket=")}
-            entry = tables.setdefault(name, {})
-            for b in bks:
-                if str(b) in written:
-                    entry[str(b)] = f"{path}/_bucket={b}"
-                else:
-                    entry.pop(str(b), None)
+        if all_buckets:
+            bks = {n: list(range(self.buckets)) for n in updates}
+        else:
+            bks = self.touched_buckets_all({n: (k, self.specs[n].id_column) for n, (k, _) in updates.items()})
+        todo = [(n, merge) for n, (_, merge) in updates.items() if bks.get(n)]
+        if todo:
+            with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+                futures = {n: pool.submit(self._write, n, merge, bks[n], m, version) for n, merge in todo}
+                results = {n: f.result() for n, f in futures.items()}
+            for name, (path, buckets, written) in results.items():
+                entry = tables.setdefault(name, {})
+                for b in buckets:
+                    if str(b) in written:
+                        entry[str(b)] = f"{path}/_bucket={b}"
+                    else:
+                        entry.pop(str(b), None)
         new_m = {"version": version, "tables": tables, "buckets": self.buckets,
                  "progress": {**m.get("progress", {}), **(progress or {})}, "metrics": metrics or {}}
         if not self._publish(new_m):
