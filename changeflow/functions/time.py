@@ -19,11 +19,18 @@ def event_time_from_ms(ms: Column | str, zone: str = "UTC") -> Column:
     ms = F.col(ms) if isinstance(ms, str) else ms
     if zone == "session":
         return F.timestamp_millis(ms).cast("timestamp_ntz")
-    # timestamp_add on a TIMESTAMP_NTZ does no zone conversion
-    return F.timestamp_add("MILLISECOND", ms, F.expr(_EPOCH))
+    # TIMESTAMP_NTZ + day-time interval: no time zone is consulted
+    days = F.floor(ms / F.lit(86_400_000)).cast("int")
+    secs = (F.pmod(ms, F.lit(86_400_000)).cast("decimal(18,6)") / F.lit(1000)).cast("decimal(18,6)")
+    return F.expr(_EPOCH) + F.make_dt_interval(days, F.lit(0), F.lit(0), secs)
 
 
 def epoch_millis(ts: Column | str) -> Column:
-    """Epoch milliseconds of a zone-less timestamp (truncated to ms)."""
+    """Epoch milliseconds of a zone-less timestamp (truncated to ms), from its
+    date and time-of-day parts (no session time zone is involved)."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), ts.cast("timestamp_ntz"))
+    ts = ts.cast("timestamp_ntz")
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    sec = F.extract(F.lit("SECOND"), ts)  # decimal seconds with microseconds
+    return (days * F.lit(86_400_000) + F.hour(ts).cast("long") * F.lit(3_600_000)
+            + F.minute(ts).cast("long") * F.lit(60_000) + F.floor(sec * F.lit(1000)).cast("long"))

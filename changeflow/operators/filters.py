@@ -71,6 +71,7 @@ def incremental_filter(stg: DataFrame, target: DataFrame, time_col: str = "event
     """
     bound = max_time(target, target_time_col, default)
     if eager:
-        hwm = bound.first()["_hwm"]
+        # carried as text: a zone-less timestamp stays zone-less on the way back
+        hwm = bound.select(F.col("_hwm").cast("string").alias("_hwm")).first()["_hwm"]
         return stg.filter(F.col(time_col) >= F.lit(hwm).cast("timestamp_ntz"))
     return stg.filter(F.col(time_col) >= bound.scalar())
