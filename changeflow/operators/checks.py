@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,10 +77,43 @@ def count_by_op(df: DataFrame, col: str = "op") -> DataFrame:
     return df.groupBy(F.col(col).alias("op")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def exact_quantiles(df: DataFrame, value_col: str, by=(), probs=(0.5, 0.9, 0.99),
+                    names=None, partitions: int | None = None) -> DataFrame:
+    """Exact nearest-rank quantiles per group, without gathering a group's
+    values in one task.
+
+    Quantile ``p`` of ``n`` values is the value at 0-based rank
+    ``max(ceil(n * p) - 1, 0)`` in ascending order (an observed value). Plan:
+    value histogram per group (map-side counts), range partitions over
+    ``(group, value)`` so a hot group's values are spread in order, running
+    counts inside each piece plus per-piece offsets, then one aggregate picks
+    the value whose rank span holds each target rank.
+    """
+    by = list(by)
+    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hist = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    h = hist.repartitionByRange(n_parts, *by, value_col).withColumn("_pid", F.spark_partition_id())
+    wl = Window.partitionBy("_pid", *by).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("_local", F.coalesce(F.sum("_c").over(wl), F.lit(0)))
+    pieces = h.groupBy("_pid", *by).agg(F.sum("_c").alias("_pn"))
+    wk = Window.partitionBy(*by).orderBy("_pid")
+    pieces = (pieces.withColumn("_off", F.coalesce(F.sum("_pn").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                                    F.lit(0)))
+                    .withColumn("_n", F.sum("_pn").over(Window.partitionBy(*by)))
+                    .select("_pid", *by, "_off", "_n"))
+    h = h.join(pieces, ["_pid", *by]).withColumn("_start", F.col("_off") + F.col("_local"))
+    picks = []
+    for p, name in zip(probs, names):
+        r = F.greatest(F.ceil(F.col("_n").cast("double") * F.lit(float(p))) - F.lit(1), F.lit(0))
+        hit = (F.col("_start") <= r) & (r < F.col("_start") + F.col("_c"))
+        picks.append(F.max(F.when(hit, F.col(value_col))).alias(name))
+    return h.groupBy(*by).agg(*picks, F.max(value_col).alias("max_value"), F.max("_n").alias("n_rows"))
+
+
 def lag_stats(df: DataFrame, lag_col: str, by=()) -> DataFrame:
-    """Exact lag percentiles (ms) per group: p50, p90, p99, max, count."""
-    c = F.col(lag_col).cast("double")
-    return df.groupBy(*by).agg(
-        F.percentile(c, 0.5).alias("p50_ms"), F.percentile(c, 0.9).alias("p90_ms"),
-        F.percentile(c, 0.99).alias("p99_ms"), F.max(F.col(lag_col)).cast("long").alias("max_ms"),
-        F.count(F.lit(1)).alias("n_rows"))
+    """Exact lag quantiles (ms) per group: p50, p90, p99 (nearest rank), max,
+    count. Skew-safe: see :func:`exact_quantiles`."""
+    q = exact_quantiles(df, lag_col, by, (0.5, 0.9, 0.99), ["p50_ms", "p90_ms", "p99_ms"])
+    return q.select(*by, *[F.col(c).cast("long").alias(c) for c in ("p50_ms", "p90_ms", "p99_ms")],
+                    F.col("max_value").cast("long").alias("max_ms"), F.col("n_rows").cast("long").alias("n_rows"))

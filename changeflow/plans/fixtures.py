@@ -96,7 +96,7 @@ def _lines(spark, sf_dir):
     s = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
                  "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", drv.alias("d"))
     return (li.groupBy("l_orderkey")
-              .agg(F.array_sort(F.collect_list(s)).alias("_ls"))
+              .agg(F.sort_array(F.collect_list(s)).alias("_ls"))
               .select("l_orderkey", F.transform("_ls", lambda x: x["d"]).alias("drivers")))
 
 
@@ -113,7 +113,7 @@ def customer_documents(spark: SparkSession, sf_dir: str, orders_filter=None) ->
     if orders_filter is not None:
         o = o.filter(orders_filter)
     okey = F.col("o_orderkey").cast("string")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.col("o_orderdate").cast("date").cast("string")  # zone-free ISO day
     ostruct = F.struct(
         F.col("o_orderkey").alias("k"),
         F.struct(okey.alias("type"), F.col("o_totalprice").alias("limit"),
@@ -129,7 +129,7 @@ def customer_documents(spark: SparkSession, sf_dir: str, orders_filter=None) ->
                   .join(cust, o["o_custkey"] == cust["c_custkey"], "inner")
                   .select("o_custkey", "o_orderdate", ostruct.alias("s")))
     per_cust = (per_order.groupBy("o_custkey")
-                .agg(F.array_sort(F.collect_list("s")).alias("os"),
+                .agg(F.sort_array(F.collect_list("s")).alias("os"),
                      F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day")))
     base = (c.join(n, c["c_nationkey"] == n["n_nationkey"])
              .join(r, n["n_regionkey"] == r["r_regionkey"])
@@ -138,8 +138,8 @@ def customer_documents(spark: SparkSession, sf_dir: str, orders_filter=None) ->
     doc = F.struct(
         F.col("c_name").alias("policy_number"),
         F.col("c_mktsegment").alias("status"),
-        F.date_format("first_day", "yyyy-MM-dd").alias("effective_date"),
-        F.date_format("last_day", "yyyy-MM-dd").alias("expiration_date"),
+        F.col("first_day").cast("date").cast("string").alias("effective_date"),
+        F.col("last_day").cast("date").cast("string").alias("expiration_date"),
         F.struct(F.col("c_name").alias("first_name"), F.col("n_name").alias("last_name"),
                  F.struct(F.concat(key, F.lit("@example.com")).alias("email"),
                           F.col("c_nationkey").cast("string").alias("phone"),

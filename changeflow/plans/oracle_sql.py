@@ -231,8 +231,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'driver', (SELECT count(*) FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey WHERE r0 <= 3 AND r1 <= 3)
         UNION ALL SELECT 'claim', (SELECT count(*) FROM O WHERE r0 <= 5))""",
     "envelope_shape": "SELECT count(*) AS n_events, CAST(0 AS BIGINT) AS n_missing_after, CAST(0 AS BIGINT) AS n_missing_before FROM events",
-    "lag_percentiles": f"""WITH {L} SELECT op, quantile_cont(CAST(ts_ms - epoch_ms(event_time) AS DOUBLE), 0.5) AS p50_ms,
-        quantile_cont(CAST(ts_ms - epoch_ms(event_time) AS DOUBLE), 0.9) AS p90_ms,
-        quantile_cont(CAST(ts_ms - epoch_ms(event_time) AS DOUBLE), 0.99) AS p99_ms,
-        max(ts_ms - epoch_ms(event_time)) AS max_ms, count(*) AS n_rows FROM L GROUP BY op""",
+    "lag_percentiles": f"""WITH {L}, G AS (SELECT op, ts_ms - epoch_ms(event_time) AS lag FROM L)
+        SELECT op, quantile_disc(lag, 0.5) AS p50_ms, quantile_disc(lag, 0.9) AS p90_ms,
+               quantile_disc(lag, 0.99) AS p99_ms, max(lag) AS max_ms, count(*) AS n_rows FROM G GROUP BY op""",
 }
