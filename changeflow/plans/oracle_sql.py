@@ -159,6 +159,13 @@ ORACLE: dict[str, str] = {
         t1 AS ({_latest('s1', keys='policy_id, event_type')})
         SELECT * FROM t1 WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE s2.policy_id = t1.policy_id AND s2.event_type = t1.event_type)
         UNION ALL {_latest('s2', keys='policy_id, event_type')}""",
+    "batch_merge_triple_key": f"""WITH {L},
+        s1 AS (SELECT * FROM L WHERE arrival_time < {SPLIT}),
+        s2 AS (SELECT * FROM L WHERE seq > (SELECT COALESCE(max(seq), 0) FROM s1)),
+        t1 AS ({_latest('s1', keys='policy_id, event_type, k')})
+        SELECT * FROM t1 WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE s2.policy_id = t1.policy_id
+              AND s2.event_type = t1.event_type AND s2.k = t1.k)
+        UNION ALL {_latest('s2', keys='policy_id, event_type, k')}""",
     "batch_merge_exact": f"""WITH {L},
         s1 AS (SELECT * FROM L WHERE arrival_time < {SPLIT}),
         s2 AS (SELECT * FROM L WHERE seq > (SELECT COALESCE(max(seq), 0) FROM s1)),

@@ -259,6 +259,13 @@ def q_batch_merge_tuple_key(spark, d):
     return merge_batch(t1, s2, keys)
 
 
+def q_batch_merge_triple_key(spark, d):
+    log, s1, s2 = _slices(spark, d)
+    keys = ["policy_id", "event_type", "k"]
+    t1 = merge_batch(_empty(log).select(*LCOLS), s1, keys)
+    return merge_batch(t1, s2, keys)
+
+
 def q_batch_merge_exact(spark, d):
     log, s1, s2 = _slices(spark, d)
     t1 = merge_batch(_empty(log).select(*LCOLS), s1, ["policy_id"])
