@@ -91,6 +91,9 @@ def merge_batch(target: DataFrame, batch: DataFrame, keys, columns=None, order=O
     columns = list(columns or target.columns)
     if exact:
         order_cols = [c for c in order if c in target.columns]
+        if not order_cols:
+            raise ValueError("exact=True needs a target that stores the order columns "
+                             f"{list(order)} (e.g. TableSet(keep_order=True))")
         cand_cols = list(dict.fromkeys([*columns, "op", *order_cols]))
         stored = (target.join(batch.select(*keys).distinct(), keys, "left_semi")
                   .withColumn("op", F.lit("u")))

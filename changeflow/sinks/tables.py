@@ -30,9 +30,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.schemas import ENTITIES, EntitySpec
 
+# hidden columns kept with each row when a table set keeps the order of its rows
+ORDER_FIELDS = [("event_time", T.TimestampNTZType()), ("seq", T.LongType()), ("pos", T.IntegerType()),
+                ("pos2", T.IntegerType())]
+
 
 def bucket_of(col: str | Column, buckets: int) -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -86,7 +91,11 @@ class HadoopFS:
 class TableSet:
     """Keyed tables of several entities with one shared manifest."""
 
-    def __init__(self, spark: SparkSession, root: str, specs=None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, specs=None, buckets: int = 64, keep_order: bool = False):
+        """``keep_order=True`` stores each row's ``event_time, seq, pos, pos2``
+        as hidden columns (needed by the exact merge, which ranks the stored
+        row against newer events); public reads leave them out."""
+        self.keep_order = keep_order
         self.spark = spark
         self.root = root.rstrip("/")
         self.specs: dict[str, EntitySpec] = {s.name: s for s in (specs or ENTITIES.values())}
@@ -122,19 +131,27 @@ class TableSet:
         return ok
 
     # ---- reads ---------------------------------------------------------------------------------
+    def stored_columns(self, name: str) -> list[str]:
+        return self.specs[name].columns + ([f for f, _ in ORDER_FIELDS] if self.keep_order else [])
+
+    def _schema(self, name: str) -> T.StructType:
+        s = self.specs[name].output_schema()
+        for f, t in ORDER_FIELDS if self.keep_order else []:
+            s = s.add(f, t)
+        return s
+
     def _frame(self, name: str, paths: list[str]) -> DataFrame:
-        spec = self.specs[name]
         if not paths:
-            return self.spark.createDataFrame([], spec.output_schema())
-        return self.spark.read.schema(spec.output_schema()).parquet(*paths)
+            return self.spark.createDataFrame([], self._schema(name))
+        return self.spark.read.schema(self._schema(name)).parquet(*paths)
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
+    def read(self, name: str, version: int | None = None, hidden: bool = False) -> DataFrame:
         m = self.manifest(version)
-        return self._frame(name, sorted(m["tables"].get(name, {}).values()))
+        df = self._frame(name, sorted(m["tables"].get(name, {}).values()))
+        return df if hidden else df.select(*self.specs[name].columns)
 
-    def read_all(self, version: int | None = None) -> dict[str, DataFrame]:
-        m = self.manifest(version)
-        return {n: self._frame(n, sorted(m["tables"].get(n, {}).values())) for n in self.specs}
+    def read_all(self, version: int | None = None, hidden: bool = False) -> dict[str, DataFrame]:
+        return {n: self.read(n, version, hidden) for n in self.specs}
 
     def read_buckets(self, name: str, buckets, m: dict) -> DataFrame:
         entries = m["tables"].get(name, {})
@@ -161,7 +178,7 @@ class TableSet:
     def _write(self, name: str, merge, bks: list[int], m: dict, version: int) -> tuple[str, list[int], set]:
         spec = self.specs[name]
         cur = self.read_buckets(name, bks, m)
-        new = merge(cur).select(*spec.columns)
+        new = merge(cur).select(*self.stored_columns(name))
         path = f"{self.root}/{name}/v={version:020d}"
         (new.withColumn("_bucket", bucket_of(spec.id_column, self.buckets))
             .write.mode("overwrite").partitionBy("_bucket").parquet(path))
