@@ -95,7 +95,9 @@ def _lines(spark, sf_dir):
     # sort on every column: (l_orderkey, l_linenumber) is not unique
     s = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
                  "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", drv.alias("d"))
-    return (li.groupBy("l_orderkey")
+    # collect_list gains nothing from a map-side partial aggregate (its buffer keeps every
+    # element), so hash-partition on the key first: one shuffle, collection after it in parallel
+    return (li.repartition("l_orderkey").groupBy("l_orderkey")
               .agg(F.sort_array(F.collect_list(s)).alias("_ls"))
               .select("l_orderkey", F.transform("_ls", lambda x: x["d"]).alias("drivers")))
 
@@ -128,7 +130,7 @@ def customer_documents(spark: SparkSession, sf_dir: str, orders_filter=None) ->
     per_order = (o.join(_lines(spark, sf_dir), o["o_orderkey"] == F.col("l_orderkey"), "left")
                   .join(cust, o["o_custkey"] == cust["c_custkey"], "inner")
                   .select("o_custkey", "o_orderdate", ostruct.alias("s")))
-    per_cust = (per_order.groupBy("o_custkey")
+    per_cust = (per_order.repartition("o_custkey").groupBy("o_custkey")
                 .agg(F.sort_array(F.collect_list("s")).alias("os"),
                      F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day")))
     base = (c.join(n, c["c_nationkey"] == n["n_nationkey"])
