@@ -34,10 +34,22 @@ def _cols(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def merge_upsert(target: DataFrame, changes: DataFrame, keys, order=ARRIVAL_ORDER,
-                 method: str = "window") -> DataFrame:
+                 method: str = "window", exact: bool = False) -> DataFrame:
     """Upsert: per key the last-arrived change replaces the stored row.
-    Deletes are not applied (filter them out of ``changes`` first)."""
+    Deletes are not applied (filter them out of ``changes`` first).
+
+    ``exact=True`` ranks by event time instead (``ORDER_COLUMNS``) and includes
+    the stored row of each touched key, so a late, older event does not
+    replace newer state; the target must carry the order columns.
+    """
     keys = list(keys)
+    if exact:
+        order = [c for c in ORDER_COLUMNS if c in target.columns]
+        if not order:
+            raise ValueError("exact=True needs a target that stores the order columns "
+                             f"{list(ORDER_COLUMNS)} (e.g. TableSet(keep_order=True))")
+        stored = target.join(changes.select(*keys).distinct(), keys, "left_semi")
+        changes = changes.select(*target.columns).unionByName(stored)
     latest = latest_per_key(changes, keys, order, method)
     return target.join(latest.select(*keys), keys, "left_anti").unionByName(_cols(target, latest))
 

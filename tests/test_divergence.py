@@ -161,3 +161,15 @@ def test_flatten_events_meta(spark):
     img = parse_document(image(env, "coalesce", keep=["op", "event_time", "seq"]), COVERAGE)
     r = sorted(flatten_events(img, COVERAGE).select("policy_id", "op", "seq", "pos").collect())
     assert [tuple(x) for x in r] == [(7, "c", 3, 0), (7, "c", 3, 1)]
+
+
+def test_direct_upsert_late_event_compat_and_exact(spark):
+    from changeflow.operators.merge import merge_upsert
+    new, old = doc(status="new"), doc(status="old")
+    b1 = direct_rows(decode(msgs(spark, [ev("u", 20_000, 1, 1, before=old, after=new)])))["policy"]
+    b2 = direct_rows(decode(msgs(spark, [ev("u", 10_000, 1, 2, before=new, after=old)])))["policy"]
+    t1 = merge_upsert(empty_output(spark, POLICY), b1, POLICY.keys)
+    assert rows(merge_upsert(t1, b2, POLICY.keys), "status") == [("old",)]      # compat: last arrival
+    cols = POLICY.columns + ["event_time", "seq", "pos", "pos2"]
+    e1 = merge_upsert(b1.select(*cols).filter(F.lit(False)), b1, POLICY.keys, exact=True)
+    assert rows(merge_upsert(e1, b2, POLICY.keys, exact=True), "status") == [("new",)]
