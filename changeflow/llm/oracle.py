@@ -40,6 +40,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM scored JOIN verdicts ON scored.source IS NOT DISTINCT FROM verdicts.source
 """
 
+OP2 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '{WORD}+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM (
+      SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(words.doc_id, coalesce(low.b, words.doc_id)) AS component_id,
+       words.doc_id <= coalesce(low.b, words.doc_id) AS kept
+FROM words LEFT JOIN sizes ON sizes.doc_id = words.doc_id LEFT JOIN low ON low.a = words.doc_id
+"""
+
 OP4 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 windows AS (
@@ -83,4 +105,4 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 SELECT query_id, rank, vec_id, score FROM best WHERE rank <= 5
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op6_chat_format": OP6, "op8_exact_topk": OP8}
+ORACLE = {"op1_quality_rules": OP1, "op2_minhash_near_dedup": OP2, "op4_line_dedup": OP4, "op6_chat_format": OP6, "op8_exact_topk": OP8}
