@@ -62,6 +62,26 @@ SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(words.doc_id, c
 FROM words LEFT JOIN sizes ON sizes.doc_id = words.doc_id LEFT JOIN low ON low.a = words.doc_id
 """
 
+OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS win FROM (
+    SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+later AS (SELECT doc_id, i FROM (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+edges AS (SELECT doc_id, i, coalesce(i > lag(i) OVER w + 100, true) AS new FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+islands AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edges),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM islands GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, k, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+rest AS (
+  SELECT doc_id, string_agg(substr(h, 2 * gaps.a + 1, 2 * (gaps.b - gaps.a)), '' ORDER BY k) AS h
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n, max(b) AS last FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN d.h ELSE rest.h || substr(d.h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN rest ON rest.doc_id = d.doc_id
+"""
+
 OP4 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 windows AS (
@@ -105,4 +125,4 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 SELECT query_id, rank, vec_id, score FROM best WHERE rank <= 5
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op2_minhash_near_dedup": OP2, "op4_line_dedup": OP4, "op6_chat_format": OP6, "op8_exact_topk": OP8}
+ORACLE = {"op1_quality_rules": OP1, "op2_minhash_near_dedup": OP2, "op3_suffix_dedup": OP3, "op4_line_dedup": OP4, "op6_chat_format": OP6, "op8_exact_topk": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm import chat, common, lines, near_dup, packing, ppm, quality, token_counts, topk
+from changeflow.llm import chat, common, lines, near_dup, packing, ppm, quality, suffix_dedup, token_counts, topk
 from changeflow.llm.oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_passages(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -63,6 +68,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_minhash_near_dedup, op4_line_dedup, op5_language_id, op6_chat_format, op8_exact_topk, op9_token_counts, op10_packing)}
+    op1_quality_rules, op2_minhash_near_dedup, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_chat_format, op8_exact_topk, op9_token_counts, op10_packing)}
 
 __all__ = ["QUERIES", "ORACLE"]
