@@ -3,13 +3,17 @@
 1. Documents with the same set of shingles are one class, known by its smallest
    doc_id. 128 minhashes per class, banded 32 x 4: classes that share a band are
    candidates (a pair at similarity 0.75 misses every band once in 200,000).
-2. A bucket's members are compared with a few hubs of it per turn, never with each
-   other: the smallest member of each of HUBS hash groups, found by a ``min`` that is
-   combined map-side. A member already in a hub's component needs no comparison. What
-   turns have not compared stays: hubs leave a bucket that they have met as a whole,
-   and turns go on until each bucket is one component or has no one left, so no link
-   between different components is lost.
-3. Verification of a pair compares signatures 16 hashes at a time and stops as soon
+2. A bucket's members are compared with hubs of it, never all with each other: the
+   smallest member of each of 1, then 8, then 64 ... hash groups, found by a ``min``
+   that is combined map-side. Turn 1 is a star, which joins a large group of copies;
+   after it, members already in a hub's component need no comparison. Hubs leave a
+   bucket that they have met as a whole, and turns go on until each bucket is one
+   component or has no one left, so no link between different components is lost.
+3. The parities of a class's shingles in 1,024 hash slots (an odd sketch) bound how
+   much two sets differ from below: by the number of slots whose parity differs. A
+   pair whose sets differ too much for the threshold is left out by this bound, which
+   never errs, before it is made.
+4. Verification of a pair compares signatures 16 hashes at a time and stops as soon
    as the posterior probability (uniform prior) that the similarity reaches the
    threshold falls below ``miss``. Survivors are confirmed on the full sets of their
    whole texts.
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 from changeflow.llm import common
 from changeflow.llm.components import components
 
-WORDS, PERMS, ROWS, BATCH, HUBS = 5, 128, 4, 16, 8
+WORDS, PERMS, ROWS, BATCH = 5, 128, 4, 16
+HUBS_TIMES, HUBS_MOST = 8, 4096
+SLOTS = 1024
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20_240_229)
 FACTORS = (_random.integers(0, 1 << 32, PERMS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -76,13 +82,19 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return mixed((mixed(bands) * BAND_FACTORS).sum(1) + np.arange(len(bands), dtype=np.uint64) * STEP).view(np.int64)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Whether each slot has an odd number of shingles, 64 slots to a number."""
+    odd = np.bincount((found & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig, bands); no key, sig or bands of empty sets."""
+    """(doc_id, n_shingles, set_key, sig, bands, odd); only the first two of empty sets."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, sigs, bands = [], [], [], []
+            sizes, keys, sigs, bands, odd = [], [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 low = minhashes(found) if len(found) else None
@@ -90,12 +102,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append((low & 0xFFFF).astype("<u2").tobytes() if len(found) else None)
                 bands.append(band_keys(low) if len(found) else None)
+                odd.append(odd_sketch(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
+                 *(pa.array(c, pa.list_(pa.int64())) for c in (bands, odd))],
+                names=["doc_id", "n_shingles", "set_key", "sig", "bands", "odd"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+        run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>, odd array<long>")
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -161,27 +175,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
     """(doc_id, n_shingles, component_id, kept) for every row."""
     found = common.saved(signatures(docs), "signatures")
     classes = common.saved(
-        found.filter("doc_id is not null and set_key is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("key")).distinct()
-    live = common.saved(several(banded, "rep").withColumn("comp", F.col("rep")), "buckets")
-    candidates = live.select(F.col("rep").alias("doc_id")).distinct()
-    texts = common.saved(docs.select("doc_id", "text").filter("text is not null").join(candidates, "doc_id").distinct(), "texts")
-    sigs = common.saved(classes.select("rep", "sig").join(candidates.withColumnRenamed("doc_id", "rep"), "rep"), "sigs")
-
-    links, roots = None, None
+        found.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(
+            F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands", "odd")]), "classes")
+    banded = common.saved(several(classes.select("rep", F.explode("bands").alias("key")).distinct(), "rep"), "buckets")
+    candidates = banded.select("rep").distinct()
+    texts = common.saved(docs.select("doc_id", "text").filter("text is not null").join(
+        candidates.withColumnRenamed("rep", "doc_id"), "doc_id").distinct(), "texts")
+    own = common.saved(classes.select("rep", "n_shingles", "sig", "odd").join(candidates, "rep"), "candidates")
+    sigs = own.select("rep", "sig")
+    # no bound, as n is null, where rows with the same doc_id have different texts
+    bounds = own.groupBy("rep").agg(F.when(F.count("*") == 1, F.max("n_shingles")).alias("n"), F.first("odd").alias("odd"))
+    live = common.saved(banded.join(bounds, "rep").withColumn("comp", F.col("rep")), "buckets")
+
+    differ = " + ".join(f"bit_count(odd[{k}] ^ hub_odd[{k}])" for k in range(SLOTS // 64))
+    possible = f"coalesce({100 + percent} * ({differ}) <= {100 - percent} * (n + hub_n), true)"
+    links, roots, n_hubs = None, None, 1
     while not live.isEmpty():
-        hubs = common.saved(live.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("part")).agg(
-            F.min(F.struct("rep", "comp")).alias("hub")).select("key", "hub.*"), "hubs")
-        met = live.join(hubs.select("key", F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), "key").filter(
-            "comp <> hub_comp").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        hubs = common.saved(live.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(n_hubs)).alias("part")).agg(
+            F.min(F.struct("rep", "comp", "n", "odd")).alias("hub")).select("key", "hub.*"), "hubs")
+        met = (live.join(hubs.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "comp", "n", "odd")]), "key")
+               .filter(f"comp <> hub_comp and {possible}")
+               .select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct())
         new = common.saved(confirmed(common.saved(likely(met, sigs, percent / 100, miss), "pairs"), texts, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = common.saved(components(links), "roots")
-        rest = live.drop("comp").join(hubs.select("key", "rep"), ["key", "rep"], "left_anti")
-        rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("root", "rep").alias("comp"))
+        rest = live.join(hubs.select("key", "rep"), ["key", "rep"], "left_anti")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            roots = common.saved(components(links), "roots")
+            rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+                "key", "rep", "n", "odd", F.coalesce("root", "comp").alias("comp"))
         live = common.saved(several(rest, "comp"), "buckets")
+        n_hubs = min(n_hubs * HUBS_TIMES, HUBS_MOST)
 
     named = classes.select("set_key", "rep")
     if roots is not None:
