@@ -45,18 +45,19 @@ def later_windows(docs: DataFrame) -> DataFrame:
             .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("i")).alias("starts")))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_lines, n_removed, text) with ``text`` as it is left."""
+def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text, *keep) with ``text`` as it is left; ``keep``
+    names columns of ``docs`` to go along."""
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"),
-                    F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>")).alias("lines"))
-    later = later_windows(d.drop("text"))
+                    F.struct(F.lit(None).cast("int").alias("none"), *keep).alias("others"))
+    later = later_windows(d.select("doc_id", "text_key", F.split("text", "\n", -1).alias("lines")).filter("lines is not null"))
     cover = ", ".join(f"s + {k}" for k in range(WIDTH))
-    d = (d.select("doc_id", "text", "text_key").alias("d")
+    d = (d.alias("d")
          .join(later.alias("r"), F.expr("d.doc_id <=> r.doc_id and d.text_key = r.text_key"), "left")
          .select("d.*", F.split("text", "\n", -1).alias("lines"),
                  F.expr(f"array_distinct(flatten(transform(starts, s -> array({cover}))))").alias("gone")))
     kept = "array_except(sequence(0, size(lines) - 1), gone)"
-    return d.select("doc_id", "text_key", F.expr("case when text is null then 0 else size(lines) end").cast("long").alias("n_lines"),
+    return d.select("doc_id", F.expr("case when text is null then 0 else size(lines) end").cast("long").alias("n_lines"),
                     F.expr("case when gone is null then 0 else size(gone) end").cast("long").alias("n_removed"),
                     F.expr(f"case when gone is null then text else array_join(transform({kept}, i -> lines[i]), '\n') "
-                           "end").alias("text"))
+                           "end").alias("text"), *[F.col("others")[c].alias(c) for c in keep])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm import chat, common, lines, near_dup, packing, ppm, quality, suffix_dedup, token_counts, topk
+from changeflow.llm import chat, common, lines, near_dup, packing, ppm, quality, sampling, suffix_dedup, token_counts, topk
 from changeflow.llm.oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(conversations))
 
 
+def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    sampled = sampling.sample_segmentations(common.read_table(spark, sf_dir, "conversations"), ["conv_id", "turn"],
+                                            public_tokenizers.path("piece_bpe_32k.model"))
+    return sampled.select("conv_id", "turn", "rank", F.size("ids").cast("long").alias("n_pieces"),
+                          F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "log_prob", "inclusion",
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -68,6 +78,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_minhash_near_dedup, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_chat_format, op8_exact_topk, op9_token_counts, op10_packing)}
+    op1_quality_rules, op2_minhash_near_dedup, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_chat_format, op7_gumbel_segmentations, op8_exact_topk, op9_token_counts, op10_packing)}
 
 __all__ = ["QUERIES", "ORACLE"]
