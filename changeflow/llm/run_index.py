@@ -13,32 +13,59 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes in order, by doubling. The symbols that end the
-    parts of the text differ from each other, so no two suffixes are equal."""
+PACKED = 7
+
+
+def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes in order; ``left`` counts the symbols before the end
+    of a position's part, which is a 0 there. Suffixes end with their part; equal
+    ones go by position. Seven symbols are compared at once, then twice as many each
+    time, and only positions that aren't alone yet are sorted again."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    width = 1
+    key, alive = np.zeros(n, np.int64), np.ones(n, bool)
+    padded = np.concatenate([symbols, np.zeros(PACKED, np.int64)])
+    for k in range(PACKED):
+        ahead = padded[k:k + n]
+        key = key << 9 | np.where(alive, ahead, 0)
+        alive &= ahead != 0
+    rank, group, width = np.zeros(n, np.int64), np.arange(n), PACKED
+    longest = int(left.max(initial=0))
     while True:
-        after = np.zeros(n, np.int64)
-        after[:max(n - width, 0)] = rank[width:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
-        key = key[order]
-        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-        if rank[order[-1]] == n - 1:
-            return order
-        width *= 2
+        # place of each group's first row; a position's rank is its group's place
+        by_key = np.argsort(key)
+        group, key = group[by_key], key[by_key]
+        old = rank[group]
+        new_old = np.concatenate([[True], old[1:] != old[:-1]])
+        slot = old + np.arange(len(old)) - np.maximum.accumulate(np.where(new_old, np.arange(len(old)), 0))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        rank[group] = slot[first]
+        alone = new & np.concatenate([new[1:], [True]])
+        group = group[~alone]
+        if not len(group):
+            break
+        if width > longest:
+            key = rank[group] * (n + 1) + group
+            longest, width = n, n       # equal to their ends: by position, and done
+        else:
+            after = np.where(left[group] >= width, rank[np.minimum(group + width, n - 1)] + 1, 0)
+            key = rank[group] * (n + 1) + after
+            width *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 class RunIndex:
     def __init__(self, parts: list[bytes]):
         """``parts`` are joined, each closed by a symbol of its own."""
-        text = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8).astype(np.int32) + len(parts)
+        text = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8).astype(np.int64) + 1
         self.starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-        text[self.starts[1:] - 1] = np.arange(len(parts))
+        ends = self.starts[1:] - 1
+        text[ends] = 0
         self.size = len(text)
-        order = suffix_order(text)
+        order = suffix_order(text, np.repeat(ends, np.diff(self.starts)) - np.arange(self.size))
+        text[ends] = -np.arange(len(parts)) - 1                # ends differ from each other
         last = text[order - 1]                                 # the transform
         heads = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
         self.n_runs = len(heads)

@@ -5,7 +5,7 @@ a smaller doc_id, or earlier in the same one. No index could hold the corpus, so
 windows (all strings of WIDTH bytes) are dealt by content:
 
 1. Exact copies of a text are found by hash; only the first is looked into.
-2. Each window belongs to its smallest 16-byte gram (by hash, the first of equals).
+2. Each window belongs to its smallest 24-byte gram (by hash, the first of equals).
    Neighbouring windows of one gram are a segment. Equal windows have equal grams,
    so they meet in segments of the same gram.
 3. Segments with the same gram and content are known by hashes: all but the first are
@@ -37,7 +37,7 @@ from changeflow.llm import common
 from changeflow.llm.near_dup import STEP, mixed
 from changeflow.llm.run_index import RunIndex
 
-WIDTH, GRAM = 100, 16
+WIDTH, GRAM = 100, 24
 BUFFER = 1 << 18            # bytes looked at together
 COMBINED = 1 << 19          # segments that a task combines together
 INDEX_BYTES = 1 << 21
@@ -71,7 +71,9 @@ def segments(buffer: bytes, sizes: list[int]) -> tuple[np.ndarray, ...]:
     x = b
     for k in (1, 2, 4):
         x = x[:-k] | (x[k:] << np.uint64(8 * k))
-    gram = mixed(x[:-8] * STEP ^ mixed(x[8:]))                 # of 16 bytes
+    gram = mixed(x[GRAM - 8:])                                 # of GRAM bytes, 8 at a time
+    for k in range(GRAM - 16, -1, -8):
+        gram = mixed(x[k:k + len(gram)] * STEP ^ gram)
     low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
     least = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
     span, reach = WIDTH - GRAM + 1, 1
@@ -324,13 +326,15 @@ def results(marked: DataFrame, with_text: bool) -> DataFrame:
         run, "doc long, text_key long, spans array<struct<start:long,length:long>>, kept_sha256 string, kept string")
 
 
-def dedup_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept) of every row;
-    ``kept`` is the text left, by whole characters, if ``with_text``."""
+def dedup_passages(docs: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept, *keep) of every
+    row; ``kept`` is the text left, by whole characters, if ``with_text``; ``keep`` names
+    columns of ``docs`` to go along."""
     common.ship(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("text_key"),
-                       F.xxhash64(F.lit("second"), text).alias("second_key"), text.alias("text"))
+                       F.xxhash64(F.lit("second"), text).alias("second_key"), text.alias("text"),
+                       F.struct(F.lit(None).cast("int").alias("none"), *keep).alias("others"))
     keys = ["text_key", "second_key"]
     copies = common.saved(base.filter(F.octet_length("text") >= WIDTH).groupBy(*keys).agg(
         F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select(*keys, "first"), "copies")
@@ -355,7 +359,7 @@ def dedup_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     done = common.saved(results(marked.filter("size(runs) > 0"), with_text), "results")
 
     rows = base.select("doc_id", "doc", *keys, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
-                       *["text"] * with_text)
+                       "others", *["text"] * with_text)
     out = rows.join(copies, keys, "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
     out = out.join(done, ["doc", "text_key"], "left")
     none = F.array().cast("array<struct<start:long,length:long>>")
@@ -365,4 +369,5 @@ def dedup_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
         "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (x, s) -> x + s.length)").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), "spans",
         F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *[F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept", "text")).alias("kept")] * with_text)
+        *[F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept", "text")).alias("kept")] * with_text,
+        *[F.col("others")[c].alias(c) for c in keep])
