@@ -41,17 +41,12 @@ class SumOfSquares:
 
     def level_for(self, size: int) -> int:
         n, top = self.counts, self.capacity - size
-        # n[h + size] gains one and n[h] loses one: the change of the sum of squares, halved
-        change = n[size:self.capacity + 1] - n[:top + 1]
-        change[1:] += 1
-        change[0] = n[size]
-        if top:
-            change[:-1][n[:top] == 0] = np.iinfo(np.int64).max
-            change[0] = n[size]
-        # a full window leaves the sum
-        change[top] = -n[top] if top else 0
-        if top and not n[top]:
-            change[top] = np.iinfo(np.int64).max
+        gain = 2 * n[size:] + 1         # of the level reached
+        gain[top] = 0                   # a full window leaves the sum
+        loss = 1 - 2 * n[:top + 1]      # of the level left
+        loss[0] = 0                     # a new window leaves none
+        change = gain + loss
+        change[1:][n[1:top + 1] == 0] = np.iinfo(np.int64).max
         best = change.min()
         return int(np.flatnonzero(change == best)[-1])
 
