@@ -84,25 +84,32 @@ def exact_quantiles(df: DataFrame, value_col: str, by=(), probs=(0.5, 0.9, 0.99)
 
     Quantile ``p`` of ``n`` values is the value at 0-based rank
     ``max(ceil(n * p) - 1, 0)`` in ascending order (an observed value). Plan:
-    value histogram per group (map-side counts), range partitions over
-    ``(group, value)`` so a hot group's values are spread in order, running
-    counts inside each piece plus per-piece offsets, then one aggregate picks
+    value histogram per group (map-side counts), fixed pieces of the value range
+    so a hot group's values are spread in order, running counts inside each piece plus per-piece offsets, then one aggregate picks
     the value whose rank span holds each target rank.
     """
     by = list(by)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = min(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64)
     hist = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
-    h = hist.repartitionByRange(n_parts, *by, value_col).withColumn("_pid", F.spark_partition_id())
+    # pieces of the value range, by bounds found once and then fixed
+    bounds = sorted(set(hist.approxQuantile(value_col, [k / n_parts for k in range(1, n_parts)], 0.01))) if n_parts > 1 else []
+    piece = F.lit(0)
+    for bound in bounds:
+        piece = piece + (F.col(value_col) > F.lit(bound)).cast("int")
+    h = hist.withColumn("_pid", piece)
     wl = Window.partitionBy("_pid", *by).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("_local", F.coalesce(F.sum("_c").over(wl), F.lit(0)))
-    pieces = h.groupBy("_pid", *by).agg(F.sum("_c").alias("_pn"))
+    pieces = hist.withColumn("_pid", piece).groupBy("_pid", *by).agg(F.sum("_c").alias("_pn"))
     wk = Window.partitionBy(*by).orderBy("_pid")
-    pieces = (pieces.withColumn("_off", F.coalesce(F.sum("_pn").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                                                    F.lit(0)))
-                    .withColumn("_n", F.sum("_pn").over(Window.partitionBy(*by)))
-                    .select("_pid", *by, "_off", "_n"))
-    h = h.join(pieces, ["_pid", *by]).withColumn("_start", F.col("_off") + F.col("_local"))
+    pieces = pieces.select(
+        F.col("_pid").alias("_p__pid"), *[F.col(c).alias(f"_p_{c}") for c in by],
+        F.coalesce(F.sum("_pn").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_pn").over(Window.partitionBy(*by)).alias("_n"))
+    same = F.lit(True)
+    for c in ["_pid", *by]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    h = h.join(pieces, same).withColumn("_start", F.col("_off") + F.col("_local"))
     picks = []
     for p, name in zip(probs, names):
         r = F.greatest(F.ceil(F.col("_n").cast("double") * F.lit(float(p))) - F.lit(1), F.lit(0))

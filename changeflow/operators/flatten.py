@@ -2,8 +2,8 @@
 
 The document is parsed once (``parse_document``) with only the fields the
 requested entities read. An array level becomes one ``posexplode`` over
-``slice(array, 1, cap)``: the cap is applied before rows are generated, and
-the element position is kept (``pos`` / ``pos2``) as the order of the row
+``slice(array, 1, cap)`` where a cap is asked for, over the whole array
+otherwise; the element position is kept (``pos`` / ``pos2``) as the order of the row
 inside its event. Rows whose required key leaf is NULL are dropped.
 
 ``flatten_union`` is the index-access form (one projection per array index,
@@ -66,13 +66,13 @@ def _project(spec: EntitySpec, id_col: str, elems, meta, on_error: str, position
     return cols
 
 
-def flatten(df: DataFrame, spec: EntitySpec, *, caps=COMPAT, skip=(), on_error: str = "null",
+def flatten(df: DataFrame, spec: EntitySpec, *, caps=None, skip=(), on_error: str = "null",
             id_col: str = "id", doc: str = DOC, meta=None) -> DataFrame:
     """Rows of ``spec`` out of each parsed document.
 
     ``df`` holds ``id_col``, the parsed ``doc`` and metadata columns (all
-    other columns are carried as ``meta`` unless given). ``caps``: ``"compat"``
-    = the spec's caps, ``None`` = no cap, or a tuple per level. ``skip``:
+    other columns are carried as ``meta`` unless given). ``caps``: ``None`` = every
+    array element, ``"compat"`` = the spec's caps, or a tuple per level. ``skip``:
     position tuples left out (the staging driver mask is ``spec.staging_skip``).
     """
     if doc not in df.columns:
@@ -146,8 +146,8 @@ def flatten_union(df: DataFrame, spec: EntitySpec, *, caps=COMPAT, skip=(), on_e
     return out
 
 
-def flatten_events(events: DataFrame, spec: EntitySpec, *, how: str = "coalesce", staging: bool = True,
-                   caps=COMPAT, on_error: str = "null") -> DataFrame:
+def flatten_events(events: DataFrame, spec: EntitySpec, *, how: str = "coalesce", staging: bool = False,
+                   caps=None, on_error: str = "null") -> DataFrame:
     """Flatten image rows (``id, data, op, event_time, seq``) of one entity.
 
     ``staging=True`` applies the staging mask of the spec (``staging_skip``).
@@ -157,7 +157,7 @@ def flatten_events(events: DataFrame, spec: EntitySpec, *, how: str = "coalesce"
     return flatten(events, spec, caps=caps, skip=skip, on_error=on_error, meta=meta)
 
 
-def vanished_children(events: DataFrame, spec: EntitySpec, caps=COMPAT,
+def vanished_children(events: DataFrame, spec: EntitySpec, caps=None,
                       on_error: str = "null") -> DataFrame:
     """Synthetic ``d`` rows for children present in an event's before-image
     and absent from its after-image (an update that dropped array elements).

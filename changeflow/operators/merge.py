@@ -133,11 +133,11 @@ def advance_watermarks(batch: DataFrame, watermarks: DataFrame, by: str = "entit
     """Per-entity watermarks ``(by, watermark)`` advanced over ``batch``:
     ``COALESCE(MAX(col) of rows past the old watermark, old watermark)``.
 
-    The watermark table has one row per entity (a fixed, small set), so it
-    is broadcast to the staging scan; the max is a partial aggregate.
+    The watermark table has one row per entity (a fixed, small set), so
+    Spark may broadcast it by its size; the max is a partial aggregate.
     """
     wm = watermarks.select(by, F.col("watermark").alias("_last"))
-    newer = (batch.join(F.broadcast(wm), by).filter(F.col(col) > F.col("_last"))
+    newer = (batch.join(wm, by).filter(F.col(col) > F.col("_last"))
              .groupBy(by).agg(F.max(col).alias("_m")))
     return wm.join(newer, by, "left").select(by, F.coalesce("_m", "_last").alias("watermark"))
 

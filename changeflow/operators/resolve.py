@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeflow.functions.time import epoch_millis
 from changeflow.schemas import ORDER_COLUMNS
 
 ARRIVAL_ORDER = ("seq", "pos", "pos2")
@@ -47,19 +48,17 @@ def current_state(stg: DataFrame, keys, order=ORDER_COLUMNS, method: str = "wind
 
 
 def history(stg: DataFrame, keys, order=ORDER_COLUMNS, time_col: str = "event_time",
-            method: str = "range", partitions: int | None = None) -> DataFrame:
+            method: str = "slices", slice_ms: int = 86_400_000) -> DataFrame:
     """Every event of a key in order, numbered (``version``), with the time the
     next event of the same key took over (``valid_to``, NULL for the current).
 
-    ``method="window"``: ``row_number`` / ``lead`` over ``PARTITION BY key``;
-    one task sorts all events of a key.
-
-    ``method="range"`` (default, skew-safe): range-partition on ``(key,
-    order)``, so the events of a hot key are spread over consecutive
-    partitions in order. Rows are numbered inside their partition; a small
-    aggregate per ``(partition, key)`` gives each piece its offset and the
-    first time of the next piece of the same key. Every group any task sorts
-    is at most one range partition.
+    ``method="slices"`` (default, skew-safe) deals the events of a key out by fixed
+    slices of their time, which come first in the order: rows are numbered inside
+    their slice, and a small aggregate per ``(key, slice)`` gives each slice its
+    offset and the first time of the key's next one. The slice is an expression of
+    the row alone, and keys are joined null-safely. No task sorts more than one
+    slice of a key. ``method="window"``: ``row_number`` / ``lead`` over
+    ``PARTITION BY key``; one task sorts all events of a key.
     """
     keys = list(keys)
     order = order_columns(stg, order)
@@ -67,25 +66,27 @@ def history(stg: DataFrame, keys, order=ORDER_COLUMNS, time_col: str = "event_ti
         w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order])
         return (stg.withColumn("version", F.row_number().over(w))
                    .withColumn("valid_to", F.lead(time_col).over(w)))
-    if method != "range":
-        raise ValueError("method must be 'range' or 'window'")
-    n = partitions or int(stg.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # range partitions split a hot key's events into ordered pieces
-    s = stg.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
-    wp = Window.partitionBy("_pid", *keys).orderBy(*[F.col(c).asc() for c in order])
-    s = (s.withColumn("_rn", F.row_number().over(wp))
-          .withColumn("_lead", F.lead(time_col).over(wp)))
-    # one row per piece: its size and first time, then offsets along the key
-    pieces = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min_by(time_col, "_rn").alias("_t0"))
-    wk = Window.partitionBy(*keys).orderBy("_pid")
-    pieces = (pieces.withColumn("_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                                                    F.lit(0)))
-                    .withColumn("_next_t", F.lead("_t0").over(wk))
-                    .select("_pid", *keys, "_off", "_next_t"))
-    return (s.join(pieces, ["_pid", *keys])
+    if method != "slices":
+        raise ValueError("method must be 'slices' or 'window'")
+    if not order or order[0] != time_col:
+        raise ValueError("method='slices' needs the time column first in the order")
+    s = stg.withColumn("_slice", F.floor(epoch_millis(time_col) / F.lit(slice_ms)))
+    inside = Window.partitionBy("_slice", *keys).orderBy(*[F.col(c).asc() for c in order])
+    s = (s.withColumn("_rn", F.row_number().over(inside))
+          .withColumn("_lead", F.lead(time_col).over(inside))
+          .withColumn("_last", F.lead(F.lit(True)).over(inside).isNull()))
+    pieces = stg.withColumn("_slice", F.floor(epoch_millis(time_col) / F.lit(slice_ms)))
+    pieces = pieces.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"))
+    along = Window.partitionBy(*keys).orderBy(F.col("_slice").asc())
+    before = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select(F.col("_slice").alias("_p__slice"), *[F.col(k).alias(f"_p_{k}") for k in keys],
+                           F.coalesce(before, F.lit(0)).alias("_off"), F.lead("_t0").over(along).alias("_next_t"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+                                       for c in ["_slice", *keys]])
+    return (s.join(pieces, same)
              .withColumn("version", (F.col("_off") + F.col("_rn")).cast("int"))
-             .withColumn("valid_to", F.coalesce(F.col("_lead"), F.col("_next_t")))
-             .drop("_pid", "_rn", "_lead", "_off", "_next_t"))
+             .withColumn("valid_to", F.when(F.col("_last"), F.col("_next_t")).otherwise(F.col("_lead")))
+             .select(*stg.columns, "version", "valid_to"))
 
 
 def max_arrival(stg: DataFrame, keys, order=ARRIVAL_ORDER) -> DataFrame:

@@ -147,7 +147,7 @@ def customer_documents(spark: SparkSession, sf_dir: str, orders_filter=None) ->
                           F.col("c_nationkey").cast("string").alias("phone"),
                           F.struct(F.concat(key, F.lit(" Main St")).alias("street"),
                                    F.col("n_name").alias("city"), F.col("r_name").alias("state"),
-                                   F.lpad(key, 5, "0").alias("zip")).alias("address")).alias("contact"),
+                                   F.lpad(key, F.greatest(F.lit(5), F.length(key)), "0").alias("zip")).alias("address")).alias("contact"),
                  ).alias("policyholder"),
         F.transform("os", lambda x: x["cov"]).alias("coverages"),
         F.transform("os", lambda x: x["veh"]).alias("vehicles"),

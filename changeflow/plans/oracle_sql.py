@@ -32,7 +32,7 @@ POLICY_COLS = """c_custkey AS policy_id, c_name AS policy_number, c_mktsegment A
   c_name AS holder_first_name, n_name AS holder_last_name, CAST(NULL AS DATE) AS holder_dob,
   CAST(c_custkey AS VARCHAR) || '@example.com' AS holder_email, CAST(c_nationkey AS VARCHAR) AS holder_phone,
   CAST(c_custkey AS VARCHAR) || ' Main St' AS holder_street, n_name AS holder_city, r_name AS holder_state,
-  lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS holder_zip, make_timestamp(c_custkey * 1000000) AS source_event_time"""
+  lpad(CAST(c_custkey AS VARCHAR), greatest(5, length(CAST(c_custkey AS VARCHAR)))::INT, '0') AS holder_zip, make_timestamp(c_custkey * 1000000) AS source_event_time"""
 
 POLICY_FROM = """C LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day
   FROM orders GROUP BY o_custkey) d ON d.o_custkey = C.c_custkey"""
@@ -95,20 +95,20 @@ ORACLE: dict[str, str] = {
         CAST(value AS DECIMAL(12,2)) AS v FROM events""",
     # ---- flatten --------------------------------------------------------------------------------
     "flatten_root": f"WITH {DOCS} SELECT {POLICY_COLS} FROM {POLICY_FROM}",
-    "flatten_array_round_trip": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O WHERE r0 <= 5",
+    "flatten_array_round_trip": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     "flatten_union_equiv": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O WHERE r0 <= 5",
-    "flatten_vehicles": f"WITH {DOCS} SELECT {VEHICLE_COLS} FROM O WHERE r0 <= 3",
-    "flatten_claims": f"WITH {DOCS} SELECT {CLAIM_COLS} FROM O WHERE r0 <= 5",
+    "flatten_vehicles": f"WITH {DOCS} SELECT {VEHICLE_COLS} FROM O",
+    "flatten_claims": f"WITH {DOCS} SELECT {CLAIM_COLS} FROM O",
     "flatten_nested": f"""WITH {DOCS} SELECT {DRIVER_COLS} FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey
-        WHERE r0 <= 3 AND r1 <= 3""",
+       """,
     "flatten_nested_masked": f"""WITH {DOCS} SELECT {DRIVER_COLS} FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey
-        WHERE r0 <= 3 AND r1 <= 3 AND NOT (r0 = 3 AND r1 = 3)""",
+        WHERE NOT (r0 = 3 AND r1 = 3)""",
     "flatten_uncapped": f"""WITH {DOCS} SELECT {DRIVER_COLS} FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey""",
     "vanished_children": f"""WITH {DOCS},
-        B AS (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS coverage_type FROM O WHERE r0 <= 5),
+        B AS (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS coverage_type FROM O),
         A AS (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS coverage_type FROM (
               SELECT o.*, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS ra
-              FROM orders o WHERE o.o_orderstatus <> 'F') WHERE ra <= 5)
+              FROM orders o WHERE o.o_orderstatus <> 'F'))
         SELECT B.o_custkey AS policy_id, B.coverage_type, 'd' AS op FROM B
         WHERE NOT EXISTS (SELECT 1 FROM A WHERE A.o_custkey = B.o_custkey AND A.coverage_type = B.coverage_type)""",
     # ---- resolve --------------------------------------------------------------------------------
@@ -201,26 +201,26 @@ ORACLE: dict[str, str] = {
         WHERE o.id IS NULL OR n.id IS NULL OR o.acct <> n.acct""",
     # ---- streaming and publish ----
     "stream_equals_batch": f"""WITH {DOCS},
-        F5 AS (SELECT o_custkey, o_orderkey, o_totalprice, c_acctbal FROM O WHERE r0 <= 5),
+        F5 AS (SELECT o_custkey, o_orderkey, o_totalprice, c_acctbal FROM O),
         S5 AS (SELECT o_custkey, o_orderkey, o_totalprice, c_acctbal FROM (
                SELECT O.*, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rs
-               FROM O WHERE o_orderstatus <> 'F') WHERE rs <= 5),
+               FROM O WHERE o_orderstatus <> 'F')),
         B AS (SELECT c_custkey FROM C WHERE c_mktsegment = 'BUILDING'),
         K AS (SELECT * FROM F5 WHERE o_custkey NOT IN (SELECT c_custkey FROM B)
               UNION SELECT * FROM S5 WHERE o_custkey NOT IN (SELECT c_custkey FROM B)
               UNION SELECT * FROM F5 WHERE o_custkey IN (SELECT c_custkey FROM B)
                     AND NOT EXISTS (SELECT 1 FROM S5 WHERE S5.o_orderkey = F5.o_orderkey))
         SELECT {COVERAGE_COLS} FROM K""",
-    "atomic_publish": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O WHERE r0 <= 5",
+    "atomic_publish": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     # ---- checks ---------------------------------------------------------------------------------
     "parent_child_counts": f"""WITH {DOCS} SELECT C.c_custkey AS policy_id, COALESCE(n, 0) AS n_children FROM C
-        LEFT JOIN (SELECT o_custkey, count(*) AS n FROM O WHERE r0 <= 3 GROUP BY o_custkey) x ON x.o_custkey = C.c_custkey
+        LEFT JOIN (SELECT o_custkey, count(*) AS n FROM O GROUP BY o_custkey) x ON x.o_custkey = C.c_custkey
         WHERE C.c_mktsegment = 'BUILDING'""",
     "orphans": f"""WITH {DOCS} SELECT {COVERAGE_COLS} FROM O
-        WHERE r0 <= 5 AND o_custkey IN (SELECT c_custkey FROM C WHERE c_mktsegment = 'BUILDING')""",
+        WHERE o_custkey IN (SELECT c_custkey FROM C WHERE c_mktsegment = 'BUILDING')""",
     "unique_violations": """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
         GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
-    "null_violations": f"""WITH {DOCS}, V AS (SELECT {VEHICLE_COLS} FROM O WHERE r0 <= 3)
+    "null_violations": f"""WITH {DOCS}, V AS (SELECT {VEHICLE_COLS} FROM O)
         SELECT 'policy_id' AS column_name, count(*) FILTER (WHERE policy_id IS NULL) AS n_null FROM V
         UNION ALL SELECT 'vin', count(*) FILTER (WHERE vin IS NULL) FROM V
         UNION ALL SELECT 'year_made', count(*) FILTER (WHERE year_made IS NULL) FROM V
@@ -228,15 +228,15 @@ ORACLE: dict[str, str] = {
     "key_conflicts": f"""WITH {DOCS},
         D AS (SELECT o_custkey AS policy_id, 'V' || CAST(o_orderkey AS VARCHAR) AS vehicle_vin,
                      CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS license_number
-              FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey WHERE r0 <= 3 AND r1 <= 3),
+              FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey),
         X AS (SELECT count(*) AS n FROM D GROUP BY policy_id, vehicle_vin, license_number HAVING count(*) > 1)
         SELECT 'driver' AS table_name, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows FROM X HAVING count(*) > 0""",
     "row_counts": f"""WITH {DOCS} SELECT table_name, n_rows, n_rows >= 1 AS ok FROM (
         SELECT 'policy' AS table_name, (SELECT count(*) FROM C) AS n_rows
-        UNION ALL SELECT 'coverage', (SELECT count(*) FROM O WHERE r0 <= 5)
-        UNION ALL SELECT 'vehicle', (SELECT count(*) FROM O WHERE r0 <= 3)
-        UNION ALL SELECT 'driver', (SELECT count(*) FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey WHERE r0 <= 3 AND r1 <= 3)
-        UNION ALL SELECT 'claim', (SELECT count(*) FROM O WHERE r0 <= 5))""",
+        UNION ALL SELECT 'coverage', (SELECT count(*) FROM O)
+        UNION ALL SELECT 'vehicle', (SELECT count(*) FROM O)
+        UNION ALL SELECT 'driver', (SELECT count(*) FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey)
+        UNION ALL SELECT 'claim', (SELECT count(*) FROM O))""",
     "envelope_shape": "SELECT count(*) AS n_events, CAST(0 AS BIGINT) AS n_missing_after, CAST(0 AS BIGINT) AS n_missing_before FROM events",
     "lag_percentiles": f"""WITH {L}, G AS (SELECT op, ts_ms - epoch_ms(event_time) AS lag FROM L)
         SELECT op, quantile_disc(lag, 0.5) AS p50_ms, quantile_disc(lag, 0.9) AS p90_ms,

@@ -116,7 +116,10 @@ class TableSet:
             version = vs[-1] if vs else None
         if version is None:
             return {"version": 0, "tables": {n: {} for n in self.specs}, "progress": {}, "buckets": self.buckets}
-        return json.loads(self.fs.read_text(f"{self._mdir()}/m-{version:020d}.json"))
+        m = json.loads(self.fs.read_text(f"{self._mdir()}/m-{version:020d}.json"))
+        if m["buckets"] != self.buckets:
+            raise ValueError(f"the tables have {m['buckets']} buckets, not {self.buckets}")
+        return m
 
     def _publish(self, m: dict) -> bool:
         final = f"{self._mdir()}/m-{m['version']:020d}.json"
@@ -179,9 +182,10 @@ class TableSet:
         spec = self.specs[name]
         cur = self.read_buckets(name, bks, m)
         new = merge(cur).select(*self.stored_columns(name))
-        path = f"{self.root}/{name}/v={version:020d}"
+        # a folder of its own for each attempt: what an aborted one left is never read
+        path = f"{self.root}/{name}/v={version:020d}-{uuid.uuid4().hex}"
         (new.withColumn("_bucket", bucket_of(spec.id_column, self.buckets))
-            .write.mode("overwrite").partitionBy("_bucket").parquet(path))
+            .write.mode("errorifexists").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(path))
         written = {n.split("=", 1)[1] for n in self.fs.list_names(path) if n.startswith("_bucket=")}
         return path, bks, written
 

@@ -83,15 +83,23 @@ def test_driver_caps_and_staging_mask(spark):
     vehicles = [{"vin": f"V{i}", "drivers": [{"name": f"n{j}", "license_number": f"L{i}{j}"} for j in range(4)]}
                 for i in range(4)]
     log = [ev("c", 1000, 1, 1, after=doc(vehicles=vehicles))]
-    assert direct_rows(decode(msgs(spark, log)))["driver"].count() == 9   # direct: 3 x 3
-    assert _stage(spark, log)["driver"].count() == 8                      # staging: vehicles[2].drivers[2] left out
-    assert _stage(spark, log, caps=None, staging=False)["driver"].count() == 16
+    assert direct_rows(decode(msgs(spark, log)))["driver"].count() == 16
+    assert _stage(spark, log)["driver"].count() == 16
+    assert _stage(spark, log, caps="compat")["driver"].count() == 9       # asked for: 3 x 3
+    assert _stage(spark, log, caps="compat", staging=True)["driver"].count() == 8   # without vehicles[2].drivers[2]
 
 
 def test_six_coverages_capped_at_five(spark):
     log = [ev("c", 1000, 1, 1, after=doc(coverages=[cov(f"t{i}") for i in range(6)]))]
-    assert _stage(spark, log)["coverage"].count() == 5
-    assert _stage(spark, log, caps=None)["coverage"].count() == 6
+    assert _stage(spark, log)["coverage"].count() == 6
+    assert _stage(spark, log, caps="compat")["coverage"].count() == 5
+
+
+def test_shift_inside_array_deletes_nothing(spark):
+    before = doc(coverages=[cov(t) for t in "abcde"])
+    after = doc(coverages=[cov(t) for t in "zabcde"])
+    env = decode(msgs(spark, [ev("u", 2000, 1, 1, before=before, after=after)]))
+    assert vanished_children(env, COVERAGE).count() == 0
 
 
 def test_duplicate_child_higher_position_wins(spark):

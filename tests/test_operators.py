@@ -23,11 +23,13 @@ def _skewed_log(spark, n=3000):
         F.lit(0).alias("pos"), F.lit(0).alias("pos2"))
 
 
-def test_history_range_equals_window_on_hot_key(spark):
+def test_history_slices_equal_window_on_hot_and_null_keys(spark):
     log = _skewed_log(spark)
-    cols = ["policy_id", "seq", "version", "valid_to"]
-    a = history(log, ["policy_id"], method="range", partitions=6).select(*cols)
-    b = history(log, ["policy_id"], method="window").select(*cols)
+    nulls = log.limit(50).withColumn("policy_id", F.lit(None).cast(log.schema["policy_id"].dataType))
+    log = log.unionByName(nulls)
+    a = history(log, ["policy_id"], slice_ms=60_000)
+    b = history(log, ["policy_id"], method="window").select(*a.columns)
+    assert a.count() == log.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.filter("policy_id = 7").agg(F.max("version")).collect()[0][0] == 1000
 

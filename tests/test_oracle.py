@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from changeflow.plans.oracle_sql import ORACLE
+from changeflow.plans.registry import QUERIES
 from tests.conftest import SF_SMALL
 from tools.check_oracle import TABLES, key, norm
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +25,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(QUERIES) - set(ORACLE)
     assert not missing
 
 

@@ -59,6 +59,7 @@ def test_incremental_bound_is_pushed_to_the_scan(spark, workdir):
     assert "GreaterThanOrEqual(event_time" in pushed
 
 
-def test_history_is_range_partitioned(spark, workdir):
+def test_history_is_dealt_by_slices(spark, workdir):
     stg = _staging(spark, workdir).read("coverage")
-    assert "rangepartitioning" in plan(history(stg, COVERAGE.keys)).lower()
+    p = plan(history(stg, COVERAGE.keys)).lower()
+    assert "hashpartitioning(_slice" in p and "rangepartitioning" not in p
