@@ -18,13 +18,16 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def variant_text(v: Column) -> Column:
+    """A scalar variant as text; NULL for a JSON null, an object or an array."""
+    kind = F.schema_of_variant(v)
+    return F.when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), F.try_variant_get(v, "$", "string"))
+
+
 def json_value(doc: Column | str, path: str, dtype: str = "string",
                on_error: str = "null") -> Column:
     v = F.try_variant_get(F.try_parse_json(_col(doc)), path, "variant")
-    kind = F.schema_of_variant(v)
-    scalar = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-    text = F.when(scalar, F.try_variant_get(v, "$", "string"))
-    return cast_leaf(text, dtype, on_error)
+    return cast_leaf(variant_text(v), dtype, on_error)
 
 
 def json_text(doc: Column | str, key: str) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions.casts import cast_errors, cast_leaf
+from changeflow.functions.json import variant_text
 from changeflow.schemas import EntitySpec, document_schema
 
 DOC = "_doc"
@@ -45,9 +46,9 @@ def _get(base: Column, path) -> Column:
 
 def _leaf_text(spec: EntitySpec, lf, elems) -> Column:
     if not spec.arrays:
-        return _get(elems[0], lf.path)
+        return variant_text(_get(elems[0], lf.path))
     lvl = lf.level if lf.level >= 0 else len(spec.arrays) - 1
-    return _get(elems[lvl], lf.path)
+    return variant_text(_get(elems[lvl], lf.path))
 
 
 def _project(spec: EntitySpec, id_col: str, elems, meta, on_error: str, positions) -> list[Column]:
@@ -157,22 +158,42 @@ def flatten_events(events: DataFrame, spec: EntitySpec, *, how: str = "coalesce"
     return flatten(events, spec, caps=caps, skip=skip, on_error=on_error, meta=meta)
 
 
+def _child_keys(spec: EntitySpec, doc: Column, on_error: str) -> Column:
+    """The keys of all array elements of a parsed document, one text each."""
+    leaves = [lf for k in spec.child_keys for lf in spec.leaves if lf.out == k]
+
+    def walk(parent: Column, lvl: int, elems: list) -> Column:
+        arr = parent.getField(spec.arrays[lvl])
+        if lvl == len(spec.arrays) - 1:
+            return F.transform(arr, lambda e: F.to_json(F.struct(*[
+                cast_leaf(_leaf_text(spec, lf, [*elems, e]), lf.dtype, on_error).alias(lf.out) for lf in leaves])))
+        inner = F.transform(arr, lambda e: walk(e, lvl + 1, [*elems, e]))
+        return F.flatten(F.filter(inner, lambda x: x.isNotNull()))
+
+    return F.coalesce(walk(doc, 0, []), F.array().cast("array<string>"))
+
+
 def vanished_children(events: DataFrame, spec: EntitySpec, caps=None,
                       on_error: str = "null") -> DataFrame:
     """Synthetic ``d`` rows for children present in an event's before-image
     and absent from its after-image (an update that dropped array elements).
 
     ``events`` are decoded envelopes (``before``, ``after``, ``op``,
-    ``event_time``, ``seq``). One anti join on ``(seq, key)``.
+    ``event_time``, ``seq``). The keys of both images are compared inside the row,
+    so nothing is shuffled, and only events that lost a child are exploded. The
+    after-image counts whole; ``caps`` bounds the elements of the before-image.
     """
     if not spec.arrays:
         raise ValueError("vanished_children applies to array entities")
-    base = events.filter(F.col("op") == "u").filter(F.col("before.data").isNotNull())
-    meta = ["event_time", "seq"]
-    b = flatten(base.select(F.col("before.id").alias("id"), F.col("before.data").alias("data"), *meta),
-                spec, caps=caps, on_error=on_error, meta=meta)
-    a = flatten(base.select(F.col("after.id").alias("id"), F.col("after.data").alias("data"), *meta),
-                spec, caps=caps, on_error=on_error, meta=meta)
-    gone = b.join(a.select("seq", *spec.keys), ["seq", *spec.keys], "left_anti")
-    cols = [c for c in b.columns if c not in ("event_time", "seq", "pos", "pos2")]
-    return gone.select(*cols, F.lit("d").alias("op"), "event_time", "seq", "pos", "pos2")
+    schema = document_schema([spec])
+    base = (events.filter((F.col("op") == "u") & F.col("before.data").isNotNull())
+            .select(F.col("before.id").alias("id"), F.col("after.id").alias("_after_id"), "event_time", "seq",
+                    F.from_json(F.col("before.data"), schema).alias(DOC),
+                    F.from_json(F.col("after.data"), schema).alias("_after")))
+    had, has = _child_keys(spec, F.col(DOC), on_error), _child_keys(spec, F.col("_after"), on_error)
+    gone = F.when(F.col("id").eqNullSafe(F.col("_after_id")), F.array_except(had, has)).otherwise(had)
+    lost = base.withColumn("_gone", gone).filter(F.size("_gone") > 0)
+    rows = flatten(lost, spec, caps=caps, on_error=on_error, meta=["event_time", "seq", "_gone"])
+    rows = rows.filter(F.array_contains("_gone", F.to_json(F.struct(*spec.child_keys))))
+    cols = [c for c in rows.columns if c not in ("event_time", "seq", "pos", "pos2", "_gone")]
+    return rows.select(*cols, F.lit("d").alias("op"), "event_time", "seq", "pos", "pos2")

@@ -97,7 +97,10 @@ def merge_batch(target: DataFrame, batch: DataFrame, keys, columns=None, order=O
     latest row of the slice per key is inserted unless it is a delete.
     ``exact=True`` also ranks the stored row of a touched key (the target then
     carries ``event_time`` and the arrival columns), so an older event arriving
-    later does not overwrite newer state.
+    later does not overwrite newer state. A target that carries ``op`` too keeps a
+    deleted key as a tombstone (``op = 'd'``), so that an event older than the delete
+    can't revive it; :func:`drop_deletes` gives the visible rows. Without ``op``
+    every stored row counts as live and deletes aren't remembered.
     """
     keys = list(keys)
     columns = list(columns or target.columns)
@@ -107,10 +110,14 @@ def merge_batch(target: DataFrame, batch: DataFrame, keys, columns=None, order=O
             raise ValueError("exact=True needs a target that stores the order columns "
                              f"{list(order)} (e.g. TableSet(keep_order=True))")
         cand_cols = list(dict.fromkeys([*columns, "op", *order_cols]))
-        stored = (target.join(batch.select(*keys).distinct(), keys, "left_semi")
-                  .withColumn("op", F.lit("u")))
+        tombstones = "op" in target.columns
+        stored = target.join(batch.select(*keys).distinct(), keys, "left_semi")
+        if not tombstones:
+            stored = stored.withColumn("op", F.lit("u"))
         cand = batch.select(*cand_cols).unionByName(stored.select(*cand_cols))
-        latest = drop_deletes(latest_per_key(cand, keys, order_cols, method))
+        latest = latest_per_key(cand, keys, order_cols, method)
+        if not tombstones:
+            latest = drop_deletes(latest)
     else:
         latest = drop_deletes(latest_per_key(batch, keys, order, method))
     touched = batch.select(*keys).distinct()

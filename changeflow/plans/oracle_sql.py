@@ -166,14 +166,7 @@ ORACLE: dict[str, str] = {
         SELECT * FROM t1 WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE s2.policy_id = t1.policy_id
               AND s2.event_type = t1.event_type AND s2.k = t1.k)
         UNION ALL {_latest('s2', keys='policy_id, event_type, k')}""",
-    "batch_merge_exact": f"""WITH {L},
-        s1 AS (SELECT * FROM L WHERE arrival_time < {SPLIT}),
-        s2 AS (SELECT * FROM L WHERE seq > (SELECT COALESCE(max(seq), 0) FROM s1)),
-        t1 AS ({_latest('s1')}),
-        cand AS (SELECT policy_id, event_type, 'u' AS op, event_time, seq, k, value FROM t1
-                 WHERE policy_id IN (SELECT policy_id FROM s2)
-                 UNION ALL SELECT policy_id, event_type, op, event_time, seq, k, value FROM s2)
-        SELECT * FROM t1 WHERE policy_id NOT IN (SELECT policy_id FROM s2) UNION ALL {_latest('cand')}""",
+    "batch_merge_exact": f"WITH {L} {_latest('L')}",
     "watermark_advance": f"""WITH {L},
         E AS (SELECT DISTINCT event_type FROM L),
         w1 AS (SELECT E.event_type, COALESCE(m, 0) AS wm1 FROM E LEFT JOIN (

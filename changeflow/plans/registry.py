@@ -16,7 +16,7 @@ from changeflow.functions.casts import cast_leaf
 from changeflow.functions.json import json_patch, json_text, json_value
 from changeflow.functions.time import epoch_millis, event_time_from_ms
 from changeflow.operators import checks
-from changeflow.operators.filters import filter_ops, image, since_watermark
+from changeflow.operators.filters import drop_deletes, filter_ops, image, since_watermark
 from changeflow.operators.flatten import flatten, flatten_union, parse_document, vanished_children
 from changeflow.operators.merge import (
     advance_watermarks, apply_deletes, batch_metrics, merge_batch, merge_delete_insert, merge_upsert,
@@ -267,9 +267,12 @@ def q_batch_merge_triple_key(spark, d):
 
 
 def q_batch_merge_exact(spark, d):
-    log, s1, s2 = _slices(spark, d)
-    t1 = merge_batch(_empty(log).select(*LCOLS), s1, ["policy_id"])
-    return merge_batch(t1, s2, ["policy_id"], exact=True)
+    log = change_log(spark, d)
+    state = _empty(log).select(*LCOLS)
+    # slices by arrival; late events and tombstones meet the rows stored before
+    for part in (log.filter(F.col("arrival_time") < _split()), log.filter(F.col("arrival_time") >= _split())):
+        state = merge_batch(state, part, ["policy_id"], exact=True)
+    return drop_deletes(state)
 
 
 def q_watermark_advance(spark, d):

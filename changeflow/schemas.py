@@ -1,9 +1,10 @@
 """Declared schemas: the change envelope, the policy document and the five
 normalized entities flattened out of it.
 
-Nothing is inferred. Document leaves are parsed as STRING and cast to the
-output type afterwards (a typed ``from_json`` schema would turn the quoted
-``"2"`` into NULL for INT / BOOLEAN, while the pipeline casts the text).
+Nothing is inferred. Document leaves are parsed as VARIANT, of which scalars are
+taken as text and cast to the output type afterwards (a typed ``from_json`` schema
+would turn the quoted ``"2"`` into NULL for INT / BOOLEAN, while the pipeline casts the
+text; a STRING leaf would return objects as text and lose digits of long numbers).
 """
 
 from __future__ import annotations
@@ -194,7 +195,7 @@ STAGING_META = ("op", "event_time", "seq", "pos", "pos2")
 
 
 def document_schema(specs) -> T.StructType:
-    """The part of the document the given entities read, all leaves STRING.
+    """The part of the document the given entities read, all leaves VARIANT.
 
     Parsing with exactly this schema prunes everything else out of the JSON
     parser's output (one parse serves all requested entities).
@@ -217,7 +218,7 @@ def document_schema(specs) -> T.StructType:
         fields = {}
         for (kind, name), child in node.items():
             if kind == "leaf":
-                fields.setdefault(name, T.StringType())
+                fields.setdefault(name, T.VariantType())
             elif kind == "obj":
                 fields[name] = build(child)
             else:

@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from changeflow.schemas import ENTITIES, EntitySpec
 
 # hidden columns kept with each row when a table set keeps the order of its rows
-ORDER_FIELDS = [("event_time", T.TimestampNTZType()), ("seq", T.LongType()), ("pos", T.IntegerType()),
-                ("pos2", T.IntegerType())]
+ORDER_FIELDS = [("op", T.StringType()), ("event_time", T.TimestampNTZType()), ("seq", T.LongType()),
+                ("pos", T.IntegerType()), ("pos2", T.IntegerType())]
 
 
 def bucket_of(col: str | Column, buckets: int) -> Column:
@@ -92,9 +92,10 @@ class TableSet:
     """Keyed tables of several entities with one shared manifest."""
 
     def __init__(self, spark: SparkSession, root: str, specs=None, buckets: int = 64, keep_order: bool = False):
-        """``keep_order=True`` stores each row's ``event_time, seq, pos, pos2``
+        """``keep_order=True`` stores each row's ``op, event_time, seq, pos, pos2``
         as hidden columns (needed by the exact merge, which ranks the stored
-        row against newer events); public reads leave them out."""
+        row against newer events, and keeps deleted keys as rows with op ``d``);
+        public reads leave out both the columns and the deleted rows."""
         self.keep_order = keep_order
         self.spark = spark
         self.root = root.rstrip("/")
@@ -151,7 +152,11 @@ class TableSet:
     def read(self, name: str, version: int | None = None, hidden: bool = False) -> DataFrame:
         m = self.manifest(version)
         df = self._frame(name, sorted(m["tables"].get(name, {}).values()))
-        return df if hidden else df.select(*self.specs[name].columns)
+        if hidden:
+            return df
+        if self.keep_order:
+            df = df.filter(~F.col("op").eqNullSafe("d"))
+        return df.select(*self.specs[name].columns)
 
     def read_all(self, version: int | None = None, hidden: bool = False) -> dict[str, DataFrame]:
         return {n: self.read(n, version, hidden) for n in self.specs}
@@ -184,7 +189,8 @@ class TableSet:
         new = merge(cur).select(*self.stored_columns(name))
         # a folder of its own for each attempt: what an aborted one left is never read
         path = f"{self.root}/{name}/v={version:020d}-{uuid.uuid4().hex}"
-        (new.withColumn("_bucket", bucket_of(spec.id_column, self.buckets))
+        # one shuffle by bucket: few files per bucket, and AQE splits a bucket that is too large for a task
+        (new.withColumn("_bucket", bucket_of(spec.id_column, self.buckets)).hint("rebalance", "_bucket")
             .write.mode("errorifexists").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(path))
         written = {n.split("=", 1)[1] for n in self.fs.list_names(path) if n.startswith("_bucket=")}
         return path, bks, written

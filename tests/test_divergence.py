@@ -1,12 +1,15 @@
 """One small log per ledger item (FIXTURES §7): compat result and exact result."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from changeflow.operators.filters import filter_ops, image, with_change_meta
+from changeflow.functions.json import json_value
+from changeflow.operators.filters import drop_deletes, filter_ops, image, with_change_meta
 from changeflow.operators.flatten import flatten, flatten_events, parse_document, vanished_children
 from changeflow.operators.merge import merge_batch, run_model
 from changeflow.plans.pipelines import decode, direct_rows, empty_output, split_rejects, stage
-from changeflow.schemas import COVERAGE, DRIVER, POLICY
+from changeflow.schemas import COVERAGE, DRIVER, POLICY, VEHICLE
 from changeflow.sources.changes import envelope_rejects, parse_envelope
 from tests.helpers import cov, doc, ev, msgs, rows
 
@@ -181,3 +184,37 @@ def test_direct_upsert_late_event_compat_and_exact(spark):
     cols = POLICY.columns + ["event_time", "seq", "pos", "pos2"]
     e1 = merge_upsert(b1.select(*cols).filter(F.lit(False)), b1, POLICY.keys, exact=True)
     assert rows(merge_upsert(e1, b2, POLICY.keys, exact=True), "status") == [("new",)]
+
+
+def test_exact_merge_remembers_deletes(spark):
+    d, late = doc(status="first"), doc(status="late")
+    log = [ev("c", 10_000, 1, 1, after=d), ev("d", 30_000, 1, 2, before=d), ev("u", 20_000, 1, 3, before=d, after=late)]
+    cols = POLICY.columns + ["op", "event_time", "seq", "pos", "pos2"]
+    state = _stage(spark, log)["policy"].select(*cols).filter(F.lit(False))
+    for event in log:                                                 # three slices
+        state = merge_batch(state, _stage(spark, [event])["policy"], POLICY.keys, cols, exact=True)
+    assert rows(state, "op") == [("d",)]                              # the tombstone
+    assert drop_deletes(state).count() == 0
+
+
+def test_flatten_keeps_scalars_only(spark):
+    d = doc(policy_number=12345678901234567.5, status={"a": 1}, policyholder={"first_name": [1], "last_name": "{}"},
+            coverages=[{"type": {"x": 1}, "limit": 1}, {"type": "k", "limit": "7.5"}, {"type": None}])
+    text = json.dumps(d).replace("1.2345678901234568e+16", "12345678901234567.5")
+    df = spark.createDataFrame([(1, text)], "id long, data string").withColumn("event_time", F.lit(None).cast("timestamp_ntz"))
+    got = flatten(df, POLICY).first()
+    assert (got["policy_number"], got["status"], got["holder_first_name"], got["holder_last_name"]) == \
+        ("12345678901234567.5", None, None, "{}")
+    assert df.select(json_value("data", "$.policy_number")).first()[0] == got["policy_number"]
+    assert rows(flatten(df, COVERAGE), "coverage_type", "coverage_limit") == [("k", 7.5)]
+
+
+def test_vanished_children_of_two_levels_and_other_ids(spark):
+    def v(vin, *licenses):
+        return {"vin": vin, "drivers": [{"license_number": x, "name": "n"} for x in licenses]}
+    before, after = doc(vehicles=[v("a", "1", "2"), v("b", "1"), {"vin": "c"}]), doc(vehicles=[v("b", "1"), v("a", "2")])
+    env = decode(msgs(spark, [ev("u", 1000, 1, 1, before=before, after=after)]))
+    gone = vanished_children(env, DRIVER)
+    assert rows(gone, "vehicle_vin", "license_number", "op") == [("a", "1", "d")]
+    assert rows(vanished_children(env, VEHICLE), "vin") == [("c",)]
+    assert "Exchange" not in gone._jdf.queryExecution().executedPlan().toString()

@@ -72,3 +72,30 @@ def test_exact_transactional_merge_through_tables(spark, workdir):
             assert "event_time" not in tables.read("policy").columns
             assert "event_time" in tables.read("policy", hidden=True).columns
     assert results == {False: ["old"], True: ["new"]}
+
+
+def test_exact_tables_hide_deleted_rows_and_keep_them_dead(spark, workdir):
+    from changeflow.sinks import StagingStore
+    from changeflow.streaming.jobs import merge_once, staging_batch
+    from tests.helpers import cov, doc, ev, msgs
+    d = doc(coverages=[cov("a")])
+    store, tables = StagingStore(spark, f"{workdir}/stg"), TableSet(spark, f"{workdir}/t", buckets=4, keep_order=True)
+    for b, event in enumerate([ev("c", 10_000, 1, 1, after=d), ev("d", 30_000, 1, 2, before=d),
+                               ev("u", 20_000, 1, 3, before=d, after=d)]):
+        staging_batch(store)(msgs(spark, [event]), b)
+        merge_once(store, tables, exact=True)
+        assert tables.read("coverage").count() == (1 if b == 0 else 0)
+    assert [r["op"] for r in tables.read("coverage", hidden=True).collect()] == ["d"]
+
+
+def test_direct_batch_keeps_rejects(spark, workdir):
+    from changeflow.streaming.jobs import direct_batch
+    from tests.helpers import doc, ev, msgs
+    no_vin = doc(vehicles=[{"make": "x", "drivers": [{"name": "n", "license_number": "L1"}]}])
+    tables = TableSet(spark, f"{workdir}/t", buckets=4)
+    batch = msgs(spark, [("{", 1), ev("x", 1000, 1, 2, after=doc()), ev("c", 1000, 2, 3, after=no_vin)])
+    direct_batch(tables)(batch, 0)
+    direct_batch(tables)(batch, 0)
+    got = sorted((r["seq"], r["reason"]) for r in spark.read.parquet(f"{tables.root}/rejects").collect())
+    assert got == [(1, "unparsable_or_no_op"), (2, "unknown_op"), (3, "driver:null_key")]
+    assert [r["policy_id"] for r in tables.read("policy").collect()] == [2]
