@@ -181,6 +181,12 @@ ORACLE: dict[str, str] = {
         SELECT event_type AS entity, count(*) FILTER (WHERE rn = 1 AND op <> 'd') AS rows_merged,
                count(*) FILTER (WHERE rn = 1) AS keys_touched, COALESCE(max(seq), 0) AS watermark
         FROM r GROUP BY event_type""",
+    "merge_result_json": f"""WITH {L},
+        r AS (SELECT event_type, op, seq, row_number() OVER (PARTITION BY event_type, policy_id
+              ORDER BY event_time DESC, seq DESC) AS rn FROM L)
+        SELECT event_type AS entity, '{{"rows_merged":' || count(*) FILTER (WHERE rn = 1 AND op <> 'd')
+               || ',"watermark":' || COALESCE(max(seq), 0) || '}}' AS result FROM r GROUP BY event_type""",
+    "peek_changes": f"WITH {L} SELECT seq, op, policy_id FROM L ORDER BY seq LIMIT 10",
     # ---- sources --------------------------------------------------------------------------------
     "snapshot_events": """SELECT c_custkey AS id, 'r' AS op, CAST(0 AS BIGINT) AS ts_ms, true AS no_before,
         c_name AS name FROM customer""",
@@ -205,6 +211,7 @@ ORACLE: dict[str, str] = {
                     AND NOT EXISTS (SELECT 1 FROM S5 WHERE S5.o_orderkey = F5.o_orderkey))
         SELECT {COVERAGE_COLS} FROM K""",
     "atomic_publish": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
+    "direct_stream": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     # ---- checks ---------------------------------------------------------------------------------
     "parent_child_counts": f"""WITH {DOCS} SELECT C.c_custkey AS policy_id, COALESCE(n, 0) AS n_children FROM C
         LEFT JOIN (SELECT o_custkey, count(*) AS n FROM O GROUP BY o_custkey) x ON x.o_custkey = C.c_custkey

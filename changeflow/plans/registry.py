@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.functions.casts import cast_leaf
-from changeflow.functions.json import json_patch, json_text, json_value
+from changeflow.functions.json import json_patch, json_text, json_value, summary_json
 from changeflow.functions.time import epoch_millis, event_time_from_ms
 from changeflow.operators import checks
 from changeflow.operators.filters import drop_deletes, filter_ops, image, since_watermark
@@ -25,7 +25,7 @@ from changeflow.operators.merge import (
 from changeflow.operators.resolve import current_state, dead_keys, dead_keys_correlated, history, latest_per_key
 from changeflow.plans.fixtures import change_envelopes, change_log, customer_documents, table
 from changeflow.schemas import CLAIM, COVERAGE, DRIVER, POLICY, VEHICLE
-from changeflow.sources.changes import envelope_rejects, parse_envelope
+from changeflow.sources.changes import envelope_rejects, parse_envelope, peek_changes
 from changeflow.sources.snapshots import diff_snapshots, snapshot_events
 
 SPLIT = "2024-01-16 00:00:00"
@@ -290,8 +290,17 @@ def q_merge_summary(spark, d):
     return batch_metrics(log, ["policy_id"], 0, by=["entity"])
 
 
+def q_merge_result_json(spark, d):
+    m = q_merge_summary(spark, d)
+    return m.select("entity", summary_json(F.col("rows_merged"), F.col("watermark")).alias("result"))
+
+
 # ---- sources --------------------------------------------------------------------------------------
 
+def q_peek_changes(spark, d):
+    return peek_changes(change_log(spark, d), 10).select("seq", "op", "policy_id")
+
+
 def _customer_rows(spark, d, acct=None):
     c = table(spark, d, "customer")
     acct = acct if acct is not None else F.col("c_acctbal")
@@ -458,14 +467,21 @@ def q_atomic_publish(spark, d):
             for v in rows.values():
                 v.unpersist()
     commit(0)
-    publish = tables._publish
-    tables._publish = lambda m: (_ for _ in ()).throw(RuntimeError("interrupted before the manifest"))
-    try:
-        commit(2)   # the deletes: data files of version 2 are written, the manifest is not
-    except RuntimeError:
-        pass
-    finally:
-        tables._publish = publish
+    commit(2)   # the deletes: version 2 leaves the files of version 1 as they are
+    return tables.read("coverage", version=1)
+
+
+def q_direct_stream(spark, d):
+    """Every phase by the direct job: neither deletes nor shrunk documents remove a row."""
+    from changeflow.sinks import TableSet
+    from changeflow.sources.changes import read_changes
+    from changeflow.streaming.jobs import start_direct
+    root = _scratch(spark, "direct")
+    per_phase = _write_phases(spark, d, root)
+    tables = TableSet(spark, f"{root}/out", specs=[COVERAGE], buckets=8)
+    opts = {"maxFilesPerTrigger": str(per_phase), "recursiveFileLookup": "true"}
+    start_direct(read_changes(spark, f"{root}/src", "parquet", opts), tables, f"{root}/ck",
+                 {"availableNow": True}).awaitTermination()
     return tables.read("coverage")
 
 
