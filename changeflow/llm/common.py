@@ -11,6 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 from changeflow.session import checkpoint_dir
+from changeflow.sinks.tables import HadoopFS
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,10 +39,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage
     is cut, and a lost executor costs no recomputation of what is before it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return _written(df, scratch_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that a later saved table makes superfluous: ``drop`` deletes exactly the
+    folder that this object made, once nothing that is still to run reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, scratch_path(spark, name)
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.root}/{name}-{uuid.uuid4().hex}")
+
+    def drop(self) -> None:
+        HadoopFS(self.spark, self.root).delete(self.root)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

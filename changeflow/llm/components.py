@@ -7,24 +7,26 @@ turns grows with the logarithm of the graph's size; nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.llm import common
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, saved: Callable[[DataFrame, str], DataFrame] = common.saved) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v); ``root`` is the smallest node
-    of its component, whose own row is included."""
+    of its component, whose own row is included. ``saved`` writes each turn's edges."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    e = common.saved(e, "edges")
+    e = saved(e, "edges")
     while not _flat(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.saved(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        e = saved(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

@@ -173,37 +173,38 @@ def several(members: DataFrame, value: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
-    found = common.saved(signatures(docs), "signatures")
-    classes = common.saved(
+    work = common.Scratch(docs.sparkSession, "near-dup")
+    found = work.saved(signatures(docs), "signatures")
+    classes = work.saved(
         found.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(
             F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands", "odd")]), "classes")
-    banded = common.saved(several(classes.select("rep", F.explode("bands").alias("key")).distinct(), "rep"), "buckets")
+    banded = work.saved(several(classes.select("rep", F.explode("bands").alias("key")).distinct(), "rep"), "buckets")
     candidates = banded.select("rep").distinct()
-    texts = common.saved(docs.select("doc_id", "text").filter("text is not null").join(
+    texts = work.saved(docs.select("doc_id", "text").filter("text is not null").join(
         candidates.withColumnRenamed("rep", "doc_id"), "doc_id").distinct(), "texts")
-    own = common.saved(classes.select("rep", "n_shingles", "sig", "odd").join(candidates, "rep"), "candidates")
+    own = work.saved(classes.select("rep", "n_shingles", "sig", "odd").join(candidates, "rep"), "candidates")
     sigs = own.select("rep", "sig")
     # no bound, as n is null, where rows with the same doc_id have different texts
     bounds = own.groupBy("rep").agg(F.when(F.count("*") == 1, F.max("n_shingles")).alias("n"), F.first("odd").alias("odd"))
-    live = common.saved(banded.join(bounds, "rep").withColumn("comp", F.col("rep")), "buckets")
+    live = work.saved(banded.join(bounds, "rep").withColumn("comp", F.col("rep")), "buckets")
 
     differ = " + ".join(f"bit_count(odd[{k}] ^ hub_odd[{k}])" for k in range(SLOTS // 64))
     possible = f"coalesce({100 + percent} * ({differ}) <= {100 - percent} * (n + hub_n), true)"
     links, roots, n_hubs = None, None, 1
     while not live.isEmpty():
-        hubs = common.saved(live.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(n_hubs)).alias("part")).agg(
+        hubs = work.saved(live.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(n_hubs)).alias("part")).agg(
             F.min(F.struct("rep", "comp", "n", "odd")).alias("hub")).select("key", "hub.*"), "hubs")
         met = (live.join(hubs.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "comp", "n", "odd")]), "key")
                .filter(f"comp <> hub_comp and {possible}")
                .select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct())
-        new = common.saved(confirmed(common.saved(likely(met, sigs, percent / 100, miss), "pairs"), texts, percent), "links")
+        new = work.saved(confirmed(work.saved(likely(met, sigs, percent / 100, miss), "pairs"), texts, percent), "links")
         rest = live.join(hubs.select("key", "rep"), ["key", "rep"], "left_anti")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            roots = common.saved(components(links), "roots")
+            roots = work.saved(components(links, work.saved), "roots")
             rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
                 "key", "rep", "n", "odd", F.coalesce("root", "comp").alias("comp"))
-        live = common.saved(several(rest, "comp"), "buckets")
+        live = work.saved(several(rest, "comp"), "buckets")
         n_hubs = min(n_hubs * HUBS_TIMES, HUBS_MOST)
 
     named = classes.select("set_key", "rep")
@@ -212,8 +213,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
             "set_key", F.coalesce("root", "rep").alias("class_id"))
     else:
         named = named.withColumnRenamed("rep", "class_id")
-    named = common.saved(named, "named")
+    named = work.saved(named, "named")
     out = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id",
-                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = common.saved(out.select("doc_id", "n_shingles", "component_id",
+                                  F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "verdicts")
+    work.drop()
+    return out

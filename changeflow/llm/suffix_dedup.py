@@ -122,6 +122,7 @@ def found_segments(docs: DataFrame) -> DataFrame:
             first = rest[np.maximum.accumulate(np.where(group, np.arange(len(rest)), 0))]
             dup = np.zeros(len(order), bool)
             dup[rest] = (doc[rest] != doc[first]) | (key[rest] != key[first]) | (start[rest] != start[first])
+            gram[dup] = content[dup] = 0        # of no further use
             return pa.RecordBatch.from_arrays(
                 [pa.array(dup), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc),
                  pa.array(key), pa.array(start), pa.array(n.astype(np.int32))], schema=SEGMENT)
@@ -205,8 +206,8 @@ def marked_segments(found: DataFrame) -> DataFrame:
 
     # what is a copy already needs no company
     route = F.when(F.col("dup"), F.xxhash64("doc", "start")).otherwise(F.col("gram"))
-    return (found.withColumn("route", route).repartition("route")
-            .sortWithinPartitions("gram", "content", "doc", "text_key", "start").drop("route").mapInArrow(run, SEGMENT_DDL))
+    return (found.repartition(route).sortWithinPartitions("gram", "content", "doc", "text_key", "start")
+            .mapInArrow(run, SEGMENT_DDL).select("dup", F.expr("if(dup, null, gram)").alias("gram"), "doc", "text_key", "start", "n"))
 
 
 def variant_bytes(marked: DataFrame) -> DataFrame:
@@ -336,33 +337,39 @@ def dedup_passages(docs: DataFrame, with_text: bool = False, keep: tuple[str, ..
                        F.xxhash64(F.lit("second"), text).alias("second_key"), text.alias("text"),
                        F.struct(F.lit(None).cast("int").alias("none"), *keep).alias("others"))
     keys = ["text_key", "second_key"]
-    copies = common.saved(base.filter(F.octet_length("text") >= WIDTH).groupBy(*keys).agg(
+    early, late = (common.Scratch(docs.sparkSession, name) for name in ("suffix-early", "suffix-late"))
+    copies = early.saved(base.filter(F.octet_length("text") >= WIDTH).groupBy(*keys).agg(
         F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select(*keys, "first"), "copies")
-    later = base.select("doc", *keys).join(copies, keys).filter("doc > first").select("doc", *keys).distinct()
+    later = common.saved(
+        base.select("doc", *keys).join(copies, keys).filter("doc > first").select("doc", *keys).distinct(), "later-copies")
     firsts = base.filter(F.octet_length("text") >= WIDTH).join(later, ["doc", *keys], "left_anti").select(
         "doc", "text_key", F.encode("text", "UTF-8").alias("text"))
-    firsts = common.saved(firsts, "texts")
+    firsts = early.saved(firsts, "texts")
 
-    segs = common.saved(marked_segments(found_segments(firsts)), "segments")
+    segs = early.saved(marked_segments(found_segments(firsts)), "segments")
     per_text = segs.groupBy("doc", "text_key").agg(
         F.collect_list(F.when(F.col("dup"), F.struct("start", "n"))).alias("dups"),
         F.collect_list(F.when(~F.col("dup"), F.struct("gram", "start", "n"))).alias("variants"))
-    marked = common.saved(firsts.join(per_text, ["doc", "text_key"]).dropDuplicates(["doc", "text_key"]), "marked")
+    marked = late.saved(firsts.join(per_text, ["doc", "text_key"]).dropDuplicates(["doc", "text_key"]), "marked")
+    early.drop()
 
-    variants = common.saved(variant_bytes(marked), "variants")
+    variants = late.saved(variant_bytes(marked), "variants")
     crowded = variants.groupBy("gram").count().filter(F.col("count") > MOST_VARIANTS).select("gram", F.lit(True).alias("crowded"))
-    variants = variants.join(common.saved(crowded, "crowded"), "gram", "left")
+    variants = variants.join(late.saved(crowded, "crowded"), "gram", "left")
     runs = indexed(variants.filter("crowded is null")).unionByName(by_window(variants.filter("crowded")))
     runs = runs.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("more"))
     marked = marked.select("doc", "text_key", "text", "dups").join(runs, ["doc", "text_key"], "left").select(
         "doc", "text_key", "text", F.concat("dups", F.coalesce("more", F.array().cast("array<struct<start:long,n:int>>"))).alias("runs"))
     done = common.saved(results(marked.filter("size(runs) > 0"), with_text), "results")
+    late.drop()
 
-    rows = base.select("doc_id", "doc", *keys, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
-                       "others", *["text"] * with_text)
-    out = rows.join(copies, keys, "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
-    out = out.join(done, ["doc", "text_key"], "left")
+    # no text is both looked into and a later copy
     none = F.array().cast("array<struct<start:long,length:long>>")
+    removed = done.withColumn("copy", F.lit(False)).unionByName(
+        later.select("doc", "text_key", F.lit(True).alias("copy")), allowMissingColumns=True)
+    rows = base.select("doc_id", "doc", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
+                       "others", *["text"] * with_text)
+    out = rows.join(removed, ["doc", "text_key"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("length")))
     out = out.withColumn("spans", F.when(F.col("copy"), whole).otherwise(F.coalesce("spans", none)))
     return out.select(
