@@ -9,10 +9,11 @@ best set is split until one segmentation is left; the first k to arrive are a sa
 without replacement. A segmentation's inclusion score is its chance to be above the
 first one that isn't returned.
 
-Blanks start pieces and pieces never hold one further on, so the lattice is a chain
-of the lattices of words, which are remembered. The vocabulary gives ranks, not
-probabilities; piece r has one in proportion to 1 / (r + 2). A character that no
-piece has is spelled by its UTF-8 bytes.
+Pieces hold blanks at their beginning only, one or a run of them, so the lattice is a
+chain of the lattices of words, each with the whole run of blanks before it; these are
+remembered. A vocabulary with a piece that holds a blank further on gets one lattice
+for the whole text. The vocabulary gives ranks, not probabilities; piece r has one in
+proportion to 1 / (r + 2). A character that no piece has is spelled by its UTF-8 bytes.
 
 Defined results: a null or empty text has one empty segmentation with score 1; if a
 text has fewer than k segmentations, all are returned; the seed is the row's key, so
@@ -23,6 +24,7 @@ table gives no row; columns besides the keys and ``text`` aren't read.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from math import exp, log
 from random import Random
@@ -37,6 +39,7 @@ from changeflow.llm.packing import batched
 BLANK = "▁"
 STAND_IN = "\ud800"       # for BLANK in a text: no text of Spark's has a lone surrogate
 SPELLED = {STAND_IN: BLANK}
+WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 REMEMBERED = 100_000
 Arc = tuple     # (end, piece ids, chance)
 _loaded: dict[str, "Pieces"] = {}
@@ -54,8 +57,8 @@ class Pieces:
         plain.sort(key=lambda i: (-sp.get_score(i), i))
         self.text = {i: sp.id_to_piece(i) for i in plain}
         total = log(sum(1 / (r + 2) for r in range(n)))
-        self.pieces = {self.text[i]: (i, -log(r + 2) - total) for r, i in enumerate(plain)
-                       if BLANK not in self.text[i].lstrip(BLANK)}
+        self.pieces = {self.text[i]: (i, -log(r + 2) - total) for r, i in enumerate(plain)}
+        self.chained = all(BLANK not in p.lstrip(BLANK) for p in self.pieces)
         self.longest = max(map(len, self.pieces))
         self.byte_score = -log(n + 2) - total
         self._words: dict[str, list[list[Arc]]] = {}
@@ -84,9 +87,11 @@ class Pieces:
         return arcs
 
     def words(self, text: str) -> list[str]:
-        """The text's words, each with the blank before it. The sign that stands for a
-        blank in the vocabulary is spelled by its bytes, so that it stays itself."""
-        return [BLANK + part.replace(BLANK, STAND_IN) for part in text.split(" ")]
+        """The text's words, each with the run of blanks before it: no piece goes from one
+        into the next. The sign that stands for a blank in the vocabulary is spelled by
+        its bytes, so that it stays itself."""
+        held = BLANK + text.replace(BLANK, STAND_IN).replace(" ", BLANK)
+        return WORD.findall(held) if self.chained else [held]
 
     def decode(self, ids: list[int]) -> str:
         whole = b"".join(self.of_byte[i] if i in self.of_byte else self.text[i].replace(BLANK, " ").encode() for i in ids)
