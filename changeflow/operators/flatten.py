@@ -7,7 +7,8 @@ otherwise; the element position is kept (``pos`` / ``pos2``) as the order of the
 inside its event. Rows whose required key leaf is NULL are dropped.
 
 ``flatten_union`` is the index-access form (one projection per array index,
-unioned); it gives the same rows and is kept as a cross-check.
+unioned; without caps, one projection over the indexes that each row's arrays
+have); it gives the same rows and is kept as a cross-check.
 """
 
 from __future__ import annotations
@@ -121,16 +122,20 @@ def flatten(df: DataFrame, spec: EntitySpec, *, caps=None, skip=(), on_error: st
 
 def flatten_union(df: DataFrame, spec: EntitySpec, *, caps=COMPAT, skip=(), on_error: str = "null",
                   id_col: str = "id", doc: str = DOC, meta=None) -> DataFrame:
-    """Index-access form: one projection per array index, unioned."""
+    """Index-access form: one projection per array index, unioned.
+
+    A level without a cap takes its indexes from the sizes of each row's own
+    arrays, so every element comes out and the plan doesn't grow with them.
+    """
     if doc not in df.columns:
         df = parse_document(df, spec, out=doc)
     if meta is None:
         meta = [c for c in df.columns if c not in (id_col, doc, "data", "before", "after")]
     caps = _caps(spec, caps)
-    if any(c is None for c in caps):
-        raise ValueError("flatten_union needs a finite cap per level")
     if not spec.arrays:
         return flatten(df, spec, caps=caps, on_error=on_error, id_col=id_col, doc=doc, meta=meta)
+    if any(c is None for c in caps):
+        return _flatten_indexed(df, spec, caps, skip, on_error, id_col, doc, meta)
     branches = []
     for idx in product(*[range(c) for c in caps]):
         if idx in set(map(tuple, skip)):
@@ -147,6 +152,26 @@ def flatten_union(df: DataFrame, spec: EntitySpec, *, caps=COMPAT, skip=(), on_e
     return out
 
 
+def _flatten_indexed(df: DataFrame, spec: EntitySpec, caps, skip, on_error: str, id_col: str, doc: str,
+                     meta) -> DataFrame:
+    """``flatten_union`` over the indexes that each row's arrays have."""
+    cur = df.select(F.col(id_col), *[F.col(m) for m in meta], F.col(doc).alias("_e_root"))
+    parent, elems = F.col("_e_root"), []
+    for lvl, (arr, cap) in enumerate(zip(spec.arrays, caps)):
+        a = parent.getField(arr)
+        n = F.size(a) if cap is None else F.least(F.size(a), F.lit(cap))
+        cur = cur.withColumn(f"_p{lvl}", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+        parent = F.try_element_at(a, F.col(f"_p{lvl}") + 1)
+        elems.append(parent)
+    for pos in skip:
+        cur = cur.filter(~reduce(lambda x, y: x & y, [F.col(f"_p{i}") == F.lit(v) for i, v in enumerate(pos)]))
+    positions = [F.col("_p0").alias("pos"), (F.col("_p1") if len(spec.arrays) > 1 else F.lit(0)).alias("pos2")]
+    out = cur.select(*_project(spec, id_col, elems, meta, on_error, positions))
+    if spec.required:
+        out = out.filter(F.col(spec.required).isNotNull())
+    return out
+
+
 def flatten_events(events: DataFrame, spec: EntitySpec, *, how: str = "coalesce", staging: bool = False,
                    caps=None, on_error: str = "null") -> DataFrame:
     """Flatten image rows (``id, data, op, event_time, seq``) of one entity.

@@ -97,6 +97,7 @@ ORACLE: dict[str, str] = {
     "flatten_root": f"WITH {DOCS} SELECT {POLICY_COLS} FROM {POLICY_FROM}",
     "flatten_array_round_trip": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     "flatten_union_equiv": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O WHERE r0 <= 5",
+    "flatten_union_uncapped": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     "flatten_vehicles": f"WITH {DOCS} SELECT {VEHICLE_COLS} FROM O",
     "flatten_claims": f"WITH {DOCS} SELECT {CLAIM_COLS} FROM O",
     "flatten_nested": f"""WITH {DOCS} SELECT {DRIVER_COLS} FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey

@@ -125,6 +125,10 @@ def q_flatten_union_equiv(spark, d):
     return flatten_union(_docs(spark, d, COVERAGE), COVERAGE).select(*COVERAGE.columns)
 
 
+def q_flatten_union_uncapped(spark, d):
+    return flatten_union(_docs(spark, d, COVERAGE), COVERAGE, caps=None).select(*COVERAGE.columns)
+
+
 def q_flatten_vehicles(spark, d):
     return flatten(_docs(spark, d, VEHICLE), VEHICLE).select(*VEHICLE.columns)
 
