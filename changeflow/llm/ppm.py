@@ -7,11 +7,12 @@ and is looked up in the next shorter one, down to 1/256 for every byte (method C
 without exclusions). A text's code length is the sum over its bytes, and the
 shortest code names its language. The statistics are frozen before scoring.
 
-All labelled training texts are counted, whole. The frozen model is one table of
-code lengths for all languages, of at most ``max_cells`` numbers: contexts are kept
-from the most frequent down, and one that isn't kept is served by its suffix. It
-is built on the driver and sent to each executor once; its size is bounded by
-``max_grams`` counted grams and ``max_cells``, whatever the corpus has.
+All labelled training texts are counted, whole, and all counts make the model; it has
+a row of code lengths, one for each language, for every gram that any language has,
+and the escapes of every context. Orders 0 and 1 are one dense table. Orders 2 and 3
+are dealt into shards by the last two bytes of the context, of about ``cells`` numbers
+each; the driver and a worker hold one shard at a time, so memory is bounded by
+``cells``, not by the corpus. Every text is scored against all shards.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as
 is every text if nothing was learned; ties go to the smaller name; texts with a
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ from changeflow.llm import common
 ORDER = 3
 START = b"\n" * ORDER       # the context before a text
 GROUP_BYTES = 2 << 20       # texts are coded about this many bytes at a time
+STEP_CELLS = 2 << 20        # code lengths looked up at a time
 
 
 def grams(texts: list[bytes]) -> np.ndarray:
@@ -88,96 +91,127 @@ def count_grams(docs: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray      # of each byte; 0: not learned
-    size: int               # number of symbols
-    state: np.ndarray       # of each ORDER symbols
-    cost: np.ndarray        # bits: (state * size + symbol, language)
+    base: Broadcast             # the shard of each two context bytes; bits of each context byte and byte
+    shards: list[Broadcast]     # of orders 3 and 2: grams, their bits, contexts, their escapes' bits
 
 
-def fit(counts: DataFrame, max_grams: int = 2_000_000, max_cells: int = 8_000_000) -> Model | None:
+def chances(table: np.ndarray, keys: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of sorted grams with counts (gram, language), the contexts' escapes,
+    and the grams' probabilities; ``shorter`` has those of the next order."""
+    known, first, of = np.unique(keys >> 8, return_index=True, return_inverse=True)
+    total, distinct = np.add.reduceat(table, first), np.add.reduceat(table > 0, first, dtype=np.float64)
+    both = np.maximum(total + distinct, 1)
+    escape = np.where(total > 0, distinct / both, 1.0)
+    return known, escape, np.where(table > 0, table / both[of], escape[of] * shorter)
+
+
+def bits(prob: np.ndarray) -> np.ndarray:
+    return -np.log2(prob).astype(np.float32)
+
+
+def fit(counts: DataFrame, cells: int = 4_000_000) -> Model | None:
     """The frozen model of (lang, gram, n); None without counts."""
+    spark = counts.sparkSession
     counts = common.saved(counts, "grams")
-    if counts.count() > max_grams:
-        counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
-    t = counts.toArrow()
-    if not t.num_rows:
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(set(t["lang"].unique().to_pylist()))
-    lang = pc.index_in(t["lang"], pa.array(langs)).to_numpy()
-    gram, n = t["gram"].to_numpy(), t["n"].to_numpy().astype(np.float64)
-    symbol = np.zeros(256, np.int64)
-    used = np.unique([gram >> s & 255 for s in (0, 8, 16, 24)])
-    symbol[used] = np.arange(1, len(used) + 1)
-    size = len(used) + 1
-    parts = [symbol[gram >> s & 255] for s in (24, 16, 8, 0)]
-    last = parts[-1]
-    cells = size * len(langs)
-
-    def contexts(order: int) -> np.ndarray:
-        code = np.zeros(len(gram), np.int64)
-        for p in parts[ORDER - order:ORDER]:
-            code = code * size + p
-        return code
-
-    # how often a context must occur to be kept: a suffix occurs as often at least
-    sums = np.concatenate([np.bincount(np.unique(contexts(k), return_inverse=True)[1], n) for k in range(1, ORDER + 1)])
-    room = max(1, max_cells // cells)
-    least = np.sort(sums)[::-1][room] + 1 if len(sums) > room else 1
-
-    state = np.zeros(1, np.int64)
-    prob = np.full((1, size, len(langs)), 1 / 256)
-    rows, made = [], 0
-    for order in range(ORDER + 1):
-        code = contexts(order)
-        known, where = np.unique(code, return_inverse=True)
-        keep = np.bincount(where, n) >= least if order else np.ones(1, bool)
-        known, place = known[keep], np.cumsum(keep) - 1
-        table = np.zeros((len(known), size, len(langs)))
-        inside = keep[where]
-        np.add.at(table, (place[where[inside]], last[inside], lang[inside]), n[inside])
-        total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-        shorter = prob[state[known % size ** (order - 1)] if order else state]
-        both = np.maximum(total + distinct, 1)
-        table = np.where(table > 0, table / both, np.where(total > 0, distinct / both, 1.0) * shorter)
-        # what serves each context: itself if kept, or what serves its suffix
-        served = np.tile(state, size) if order else np.zeros(1, np.int64)
-        served[known] = made + np.arange(len(known))
-        # a longer context needs its suffix's row, of whatever order serves that
-        rows.append(table)
-        made += len(known)
-        prob, state = np.concatenate(rows), served
-    cost = -np.log2(prob).astype(np.float32).reshape(-1, len(langs))
-    return Model(langs, symbol.astype(np.int32), size, state.astype(np.int32), cost)
+    number = pa.array(langs)
+
+    def summed(t: pa.Table, keys: np.ndarray) -> np.ndarray:
+        table = np.zeros((len(keys), len(langs)))
+        at = np.searchsorted(keys, t["gram"].to_numpy()), pc.index_in(t["lang"], number).to_numpy()
+        np.add.at(table, at, t["n"].to_numpy().astype(np.float64))
+        return table
+
+    ones = counts.groupBy("lang", F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    table = summed(ones, np.arange(1 << 16))
+    _, _, prob = chances(table.reshape(256, 256, -1).sum(0), np.arange(256), np.float64(1 / 256))
+    _, _, prob = chances(table, np.arange(1 << 16), np.tile(prob, (256, 1)))
+
+    # shards: runs of neighbouring pairs of context bytes
+    pair = F.expr("(gram >> 8) & 65535").alias("pair")
+    sizes = np.zeros(1 << 16, np.int64)
+    for p, n in counts.select("gram").distinct().groupBy(pair).count().toArrow().to_pandas().itertuples(index=False):
+        sizes[p] = n
+    shard_of = ((np.cumsum(sizes) - sizes) * len(langs) // cells).astype(np.int64)
+    used = np.unique(shard_of[sizes > 0])
+    shard_of = np.minimum(np.searchsorted(used, shard_of), len(used) - 1)
+    if len(used) > 1:
+        deal = spark.createDataFrame([(int(p), int(shard_of[p])) for p in np.flatnonzero(sizes)], "pair int, shard int")
+        path = common.scratch_path(spark, "shards")
+        (counts.withColumn("pair", pair.cast("int")).join(deal, "pair").drop("pair")
+         .repartition("shard").write.option("compression", "zstd").partitionBy("shard").parquet(path))
+        dealt = spark.read.schema("lang string, gram long, n long, shard int").parquet(path)
+
+    def shard(t: pa.Table) -> list[tuple]:
+        keys = np.unique(t["gram"].to_numpy())
+        table = summed(t, keys)
+        keys2, of = np.unique(keys & 0xFFFFFF, return_inverse=True)
+        table2 = np.zeros((len(keys2), len(langs)))
+        np.add.at(table2, of, table)
+        known2, escape2, prob2 = chances(table2, keys2, prob[keys2 & 0xFFFF])
+        known, escape, prob3 = chances(table, keys, prob2[of])
+        return [(k.astype(np.uint32), bits(p), c.astype(np.uint32), bits(e))
+                for k, p, c, e in ((keys, prob3, known, escape), (keys2, prob2, known2, escape2))]
+
+    sc = spark.sparkContext
+    parts = (dealt.filter(F.col("shard") == k) if len(used) > 1 else counts for k in range(len(used)))
+    return Model(langs, sc.broadcast((shard_of.astype(np.int32), bits(prob))), [sc.broadcast(shard(x.toArrow())) for x in parts])
+
+
+def gram_bits(levels: list[tuple], base: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Bits of each gram under each language, by the longest order that has it."""
+    if not levels:
+        return base[grams]
+    keys, cost, known, escape = levels[0]
+    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+    out = cost[at]
+    missed = np.flatnonzero(keys[at] != grams)
+    if len(missed):
+        g = grams[missed]
+        at = np.minimum(np.searchsorted(known, g >> 8), len(known) - 1)
+        paid = np.where((known[at] == g >> 8)[:, None], escape[at], np.float32(0))
+        out[missed] = paid + gram_bits(levels[1:], base, g & (0xFFFFFF if len(levels) == 2 else 0xFFFF))
+    return out
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of each text (none empty) under each language."""
-    held = model.symbol[np.frombuffer(b"".join(START + t for t in texts), np.uint8)]
-    a = model.size
-    state = model.state[(held[:-3] * a + held[1:-2]) * a + held[2:-1]]
-    bits = model.cost[state * a + held[3:]]
-    ends = np.cumsum([len(t) + ORDER for t in texts]) - ORDER
-    at = np.stack([ends - [len(t) for t in texts], ends], 1).ravel()
-    return np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), np.float32)]), at, axis=0, dtype=np.float64)[::2]
+    shard_of, base = model.base.value
+    held = grams(texts)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    dealt = shard_of[held >> 8 & 0xFFFF] if len(model.shards) > 1 else None
+    out = np.zeros((len(texts), len(model.langs)))
+    step = max(1, STEP_CELLS // len(model.langs))
+    for k, shard in enumerate(model.shards):
+        at = np.flatnonzero(dealt == k) if dealt is not None else np.arange(len(held))
+        for lo in range(0, len(at), step):
+            some = at[lo:lo + step]
+            of = owner[some]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            out[of[first]] += np.add.reduceat(gram_bits(shard.value, base, held[some]), first, axis=0, dtype=np.float64)
+        if dealt is not None:
+            vars(shard).pop("_value", None)     # one shard is held at a time
+    return out
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score): score is the language's posterior probability, all
     languages being equally likely before."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    frozen = spark.sparkContext.broadcast(model)
+    common.ship(docs.sparkSession)
+    m = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = frozen.value
+        most = GROUP_BYTES * (1 if m is None or len(m.shards) == 1 else 8)
         for batch in batches:
             names, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             group: list[tuple[int, bytes]] = []
 
             def code() -> None:
-                bits = code_lengths(m, [t for _, t in group])
-                best = bits.argmin(1)
-                weight = np.exp2(bits.min(1)[:, None] - bits)
+                length = code_lengths(m, [t for _, t in group])
+                best = length.argmin(1)
+                weight = np.exp2(length.min(1)[:, None] - length)
                 for (k, _), b, s in zip(group, best, 1 / weight.sum(1)):
                     names[k], scores[k] = m.langs[b], float(s)
                 group.clear()
@@ -188,7 +222,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if m is not None and text and any(map(str.isalpha, text)):
                     group.append((k, text.encode()))
                     held += len(text)
-                    if held > GROUP_BYTES:
+                    if held > most:
                         code()
                         held = 0
             if group:

@@ -3,9 +3,10 @@
 from math import exp, log
 from random import Random
 
+import numpy as np
 import public_tokenizers as P
 
-from changeflow.llm import sampling
+from changeflow.llm import ppm, sampling
 
 PIECES = P.path("piece_bpe_32k.model")
 
@@ -45,3 +46,28 @@ def test_segmentations_use_pieces_of_blanks():
         assert all(abs(score - log(want[ids])) < 1e-9 for ids, score in got.items())
         assert abs(sum(map(exp, got.values())) - 1) < 1e-9
         assert any("▁▁" in pieces.text[i] for ids in got for i in ids if i in pieces.text)
+
+
+def test_rare_language_keeps_its_counts(spark):
+    """More than two million counts: a language whose counts are the smallest stays, with all of its contexts."""
+    hot = spark.range(2_200_000).selectExpr("'hot' AS lang", "id * 1951 AS gram", "9L AS n")
+    text = "ein seltener satz"
+    rare = ppm.count_grams(spark.createDataFrame([(text, "rare")], "text string, lang string"))
+    model = ppm.fit(hot.unionByName(rare))
+    assert model.langs == ["hot", "rare"]
+    alone = ppm.fit(rare)
+    want, got = ppm.code_lengths(alone, [text.encode()]), ppm.code_lengths(model, [text.encode()])
+    assert abs(want[0, 0] - got[0, 1]) < 1e-3
+    docs = spark.createDataFrame([(1, text), (2, "seltener")], "doc_id long, text string")
+    assert {r.lang_pred for r in ppm.predict(docs, model).collect()} == {"rare"}
+
+
+def test_shards_give_the_same_code_lengths(spark):
+    rows = [("the cat sat on the mat", "en"), ("die katze sass auf der matte", "de"), ("le chat était là", "fr")]
+    counts = ppm.count_grams(spark.createDataFrame(rows, "text string, lang string"))
+    one, many = ppm.fit(counts), ppm.fit(counts, cells=30)
+    assert len(one.shards) == 1 < 3 < len(many.shards)
+    texts = [t.encode() for t, _ in rows] + [b"zq\xff9", b"x", "là sat der".encode() * 9]
+    assert np.abs(ppm.code_lengths(one, texts) - ppm.code_lengths(many, texts)).max() < 1e-9
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in ppm.predict(docs, many).collect()} == {k: lang for k, (_, lang) in enumerate(rows)}
