@@ -57,9 +57,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    sampled = sampling.sample_segmentations(common.read_table(spark, sf_dir, "conversations"), ["conv_id", "turn"],
-                                            public_tokenizers.path("piece_bpe_32k.model"))
-    return sampled.select("conv_id", "turn", "rank", F.size("ids").cast("long").alias("n_pieces"),
+    sampled = sampling.sample_segmentations(documents(spark, sf_dir), ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
+    return sampled.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"),
                           F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "log_prob", "inclusion",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -7,7 +7,11 @@ set of segmentations that share a beginning has the largest Gumbel-perturbed log
 probability of its members, drawn under the one of the set it was split from. The
 best set is split until one segmentation is left; the first k to arrive are a sample
 without replacement. A segmentation's inclusion score is its chance to be above the
-first one that isn't returned.
+first one that isn't returned; under 5e-324 it is 0, as for long texts, and
+``log_prob`` tells. Of the sets split off, only as many as can still be
+returned are kept. Once these are full and a set's chance to come before the last of
+them is under rounding (2 ** -53), the rest of a segmentation is drawn word by word,
+so that a long text takes time in proportion to its length and no memory for its sets.
 
 Pieces hold blanks at their beginning only, one or a run of them, so the lattice is a
 chain of the lattices of words, each with the whole run of blanks before it; these are
@@ -23,10 +27,11 @@ table gives no row; columns besides the keys and ``text`` aren't read.
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections.abc import Iterator
-from math import exp, log
+from array import array
+from bisect import bisect, insort
+from collections.abc import Iterator, Sequence
+from math import exp, expm1, log
 from random import Random
 
 import pyarrow as pa
@@ -39,12 +44,76 @@ from changeflow.llm.packing import batched
 BLANK = "▁"
 STAND_IN = "\ud800"       # for BLANK in a text: no text of Spark's has a lone surrogate
 SPELLED = {STAND_IN: BLANK}
-WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
-REMEMBERED = 100_000
+WORD = re.compile(f"{BLANK}+[^{BLANK}]*")     # with the run of blanks before it
+REMEMBERED = 1_500_000      # arcs and pieces of words that are remembered
+SHORT_WORD = 40           # signs up to which a word's sums are plain products
+LEAST = 1e-200            # and the least of these that may be
+LONG_WORD = 2048          # signs from which on a word's arcs are made as they are asked for
+OFTEN, FEW = 8, 200       # a word drawn so often gets a table of its segmentations, if it has so few
+UNDER = 40.0              # in logs, more than the 53 bits of a random number
+OUT_IDS = 1 << 18         # ids in a batch of results
 Arc = tuple     # (end, piece ids, chance)
 _loaded: dict[str, "Pieces"] = {}
 
 
+class Word:
+    """A word's lattice: the arcs from each place that lead to its end, with their chances."""
+
+    __slots__ = ("arcs", "drawn", "sums", "found")
+
+    def __init__(self, arcs: Sequence[list[Arc]]):
+        self.arcs, self.drawn, self.sums, self.found = arcs, 0, None, []
+
+    def tabulate(self) -> int:
+        """Make the table of all segmentations with running sums of their chances, if
+        they are few; the number of ids in it."""
+        n = len(self.arcs)
+        ways = [0] * n + [1]
+        for i in range(n - 1, -1, -1):
+            ways[i] = sum(ways[a[0]] for a in self.arcs[i])
+            if ways[i] > FEW:
+                return 0
+        tails: list[list[tuple]] = [[] for _ in range(n)] + [[((), 0.0)]]
+        for i in range(n - 1, -1, -1):
+            tails[i] = [(arc[1] + ids, log(arc[2]) + s) for arc in self.arcs[i] if arc[2] for ids, s in tails[arc[0]]]
+        self.found, total, sums = tails[0], 0.0, []
+        for _, s in self.found:
+            total += exp(s)
+            sums.append(total)
+        self.sums = sums[:-1]
+        return sum(len(ids) for ids, _ in self.found)
+
+    def draw(self, at: int, ids: list[int], random: Random) -> float:
+        """Draw a segmentation from a place on into ``ids``; its log probability."""
+        score = 0.0
+        while at < len(self.arcs):
+            arcs = self.arcs[at]
+            arc = arcs[0]
+            if len(arcs) > 1:
+                r = random.random()
+                for arc in arcs:
+                    r -= arc[2]
+                    if r < 0:
+                        break
+                score += log(arc[2])
+            ids += arc[1]
+            at = arc[0]
+        return score
+
+
+class Places(Sequence):
+    """The arcs of a long word, made from its inside sums as they are asked for."""
+
+    def __init__(self, pieces: "Pieces", word: str, inside: array):
+        self.pieces, self.word, self.inside = pieces, word, inside
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def __getitem__(self, i: int) -> list[Arc]:
+        return [(j, ids, exp(s - self.inside[i])) for j, ids, s in self.pieces.arcs(self.word, i, self.inside)]
+
+
 class Pieces:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -57,45 +126,82 @@ class Pieces:
         plain.sort(key=lambda i: (-sp.get_score(i), i))
         self.text = {i: sp.id_to_piece(i) for i in plain}
         total = log(sum(1 / (r + 2) for r in range(n)))
-        self.pieces = {self.text[i]: (i, -log(r + 2) - total) for r, i in enumerate(plain)}
-        self.chained = all(BLANK not in p.lstrip(BLANK) for p in self.pieces)
+        self.pieces = {self.text[i]: ((i,), -log(r + 2) - total, exp(-log(r + 2) - total)) for r, i in enumerate(plain)}
+        # no piece goes from one word into the next, unless one holds a blank further on
+        self.word = WORD if all(BLANK not in p.lstrip(BLANK) for p in self.pieces) else re.compile("(?s).+")
         self.longest = max(map(len, self.pieces))
         self.byte_score = -log(n + 2) - total
-        self._words: dict[str, list[list[Arc]]] = {}
+        self.spelled = {i: t.replace(BLANK, " ").encode() for i, t in self.text.items()} | self.of_byte
+        self.words: dict[str, Word] = {}
+        self._held = 0
+
+    def arcs(self, word: str, i: int, inside: Sequence[float]) -> list[tuple]:
+        """(end, piece ids, log weight of all that begins so) from a place of a word."""
+        found = []
+        for j in range(i + 1, min(len(word), i + self.longest) + 1):
+            piece = self.pieces.get(word[i:j])
+            if piece:
+                found.append((j, piece[0], piece[1] + inside[j]))
+        if not found or found[0][0] > i + 1:
+            ids = tuple(self.byte_ids[b] for b in SPELLED.get(word[i], word[i]).encode())
+            found.append((i + 1, ids, self.byte_score * len(ids) + inside[i + 1]))
+        return found
 
-    def lattice(self, word: str) -> list[list[Arc]]:
-        """Arcs from each place of a word that lead to its end, with their chances."""
-        if word in self._words:
-            return self._words[word]
+    def short(self, word: str) -> list[list[Arc]]:
+        """The arcs of a short word by plain products, or none if these get too small."""
         n = len(word)
-        inside, arcs = [0.0] * (n + 1), [[] for _ in range(n)]
+        inside, arcs, get, longest = [0.0] * n + [1.0], [[] for _ in word], self.pieces.get, self.longest
         for i in range(n - 1, -1, -1):
             found = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = self.pieces.get(word[i:j])
+            for j in range(i + 1, min(n, i + longest) + 1):
+                piece = get(word[i:j])
                 if piece:
-                    found.append((j, (piece[0],), piece[1] + inside[j]))
+                    found.append((j, piece[0], piece[2] * inside[j]))
             if not found or found[0][0] > i + 1:
                 ids = tuple(self.byte_ids[b] for b in SPELLED.get(word[i], word[i]).encode())
-                found.append((i + 1, ids, self.byte_score * len(ids) + inside[i + 1]))
-            top = max(f[2] for f in found)
-            inside[i] = top + log(sum(exp(f[2] - top) for f in found))
-            arcs[i] = [(j, ids, exp(s - inside[i])) for j, ids, s in found]
-        if len(self._words) >= REMEMBERED:
-            self._words.clear()
-        self._words[word] = arcs
+                found.append((i + 1, ids, exp(self.byte_score * len(ids)) * inside[i + 1]))
+            total = 0.0
+            for f in found:
+                total += f[2]
+            if total < LEAST:
+                return []
+            inside[i] = total
+            arcs[i] = [(j, ids, x / total) for j, ids, x in found]
         return arcs
 
-    def words(self, text: str) -> list[str]:
-        """The text's words, each with the run of blanks before it: no piece goes from one
-        into the next. The sign that stands for a blank in the vocabulary is spelled by
-        its bytes, so that it stays itself."""
-        held = BLANK + text.replace(BLANK, STAND_IN).replace(" ", BLANK)
-        return WORD.findall(held) if self.chained else [held]
+    def lattice(self, word: str) -> Word:
+        if word in self.words:
+            return self.words[word]
+        n = len(word)
+        arcs: Sequence[list[Arc]] = self.short(word) if n < SHORT_WORD else []
+        size = sum(map(len, arcs))
+        if not arcs:
+            inside, size = array("d", bytes(8 * (n + 1))), n
+            arcs = Places(self, word, inside)
+            for i in range(n - 1, -1, -1):
+                found = self.arcs(word, i, inside)
+                top = max(f[2] for f in found)
+                inside[i] = top + log(sum(exp(f[2] - top) for f in found))
+            if n < LONG_WORD:
+                arcs = [arcs[i] for i in range(n)]
+                size = sum(map(len, arcs))
+        self.remember(size)
+        self.words[word] = Word(arcs)
+        return self.words[word]
+
+    def remember(self, size: int) -> None:
+        self._held += size
+        if self._held > REMEMBERED:
+            self.words.clear()
+            self._held = size
+
+    def held(self, text: str) -> str:
+        """The text as its lattice has it. The sign that stands for a blank in the
+        vocabulary is spelled by its bytes, so that it stays itself."""
+        return BLANK + text.replace(BLANK, STAND_IN).replace(" ", BLANK)
 
     def decode(self, ids: list[int]) -> str:
-        whole = b"".join(self.of_byte[i] if i in self.of_byte else self.text[i].replace(BLANK, " ").encode() for i in ids)
-        return whole.decode()[1:]
+        return b"".join(map(self.spelled.__getitem__, ids)).decode()[1:]
 
 
 def load(path: str) -> Pieces:
@@ -112,46 +218,78 @@ def below(location: float, top: float, random: Random) -> float:
 def sample(pieces: Pieces, text: str, k: int, random: Random) -> list[tuple[list[int], float, float, float]]:
     """Up to ``k`` distinct segmentations (ids, log probability, perturbed, inclusion),
     best perturbed first."""
-    lattices = [pieces.lattice(w) for w in pieces.words(text)]
-    last = len(lattices)
+    held = pieces.held(text)
+    at_word = pieces.word.match
+
+    def word_at(start: int) -> tuple[Word, int]:
+        found = at_word(held, start)
+        return pieces.lattice(found[0]), found.end()
+
     # a set: its best perturbed score, a number, the path before, the log probability of
-    # that, its word, its place there, and the arcs that it may go on by
+    # that, where its word starts, its place there, and the arcs that it may go on by
     best = -log(-log(1 - random.random() or 1e-300) or 1e-300)
-    heap: list[tuple] = [(-best, 0, None, 0.0, 0, 0, lattices[0][0])]
+    waiting: list[tuple] = [(-best, 0, None, 0.0, 0, 0, word_at(0)[0].arcs[0])]
     made = 1
     out: list[tuple] = []
-    while heap and len(out) < k:
-        top, _, path, score, w, at, arcs = heapq.heappop(heap)
+    while waiting and len(out) < k:
+        top, _, path, score, start, at, arcs = waiting.pop(0)
         top = -top
+        room = k - len(out)         # those still to return, and the first one that isn't
+        del waiting[room:]
+        word, end = word_at(start)
         while True:
-            total = sum(a[2] for a in arcs)
             if len(arcs) == 1:
                 arc = arcs[0]
             else:
-                r = random.random() * total
+                r = random.random() * sum(a[2] for a in arcs)
                 for arc in arcs:
                     r -= arc[2]
                     if r < 0:
                         break
-                rest = [a for a in arcs if a is not arc]
-                mass = sum(a[2] for a in rest)
+                mass = sum(a[2] for a in arcs if a is not arc)
                 if mass > 0:
                     g = below(score + log(mass), top, random)
-                    heapq.heappush(heap, (-g, made, path, score, w, at, rest))
-                    made += 1
+                    if len(waiting) < room or -g < waiting[-1][0]:
+                        insort(waiting, (-g, made, path, score, start, at, [a for a in arcs if a is not arc]))
+                        made += 1
+                        del waiting[room:]
             path, score, at = (path, arc[1]), score + log(arc[2]), arc[0]
-            if at == len(lattices[w]):
-                w, at = w + 1, 0
-                if w == last:
+            if at == len(word.arcs):
+                start, at = end, 0
+                if start == len(held):
                     break
-            arcs = lattices[w][at]
-        ids: list[int] = []
+                word, end = word_at(start)
+            if len(waiting) == room and score < -waiting[-1][0] - UNDER:
+                break
+            arcs = word.arcs[at]
+        parts = []
         while path:
             path, part = path
-            ids.extend(reversed(part))
-        out.append((ids[::-1], score, top))
-    bound = -heap[0][0] if heap else None
-    return [(ids, s, g, 1.0 if bound is None else 1 - exp(-exp(min(s - bound, 50.0)))) for ids, s, g in out]
+            parts.append(part)
+        ids = [i for part in reversed(parts) for i in part]
+        if start < len(held):
+            score += word.draw(at, ids, random) + draw_words(pieces, held, end, ids, random)
+        out.append((ids, score, top))
+    bound = -waiting[0][0] if waiting else None
+    return [(ids, s, g, 1.0 if bound is None else -expm1(-exp(min(s - bound, 50.0)))) for ids, s, g in out]
+
+
+def draw_words(pieces: Pieces, held: str, start: int, ids: list[int], random: Random) -> float:
+    """Draw segmentations of the words from ``start`` on into ``ids``; their log probability."""
+    score, words, draw = 0.0, pieces.words, random.random
+    for found in pieces.word.finditer(held, start):
+        text = found[0]
+        word = words.get(text) or pieces.lattice(text)
+        if word.sums is not None:
+            part = word.found[bisect(word.sums, draw())]
+            ids += part[0]
+            score += part[1]
+            continue
+        word.drawn += 1
+        if word.drawn == OFTEN and len(text) < LONG_WORD:
+            pieces.remember(word.tabulate())
+        score += word.draw(0, ids, random)
+    return score
 
 
 def sample_segmentations(table: DataFrame, keys: list[str], vocabulary: str, k: int = 4, seed: int = 7) -> DataFrame:
@@ -166,7 +304,9 @@ def sample_segmentations(table: DataFrame, keys: list[str], vocabulary: str, k:
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for *key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                texts = batch.column(len(keys))
+                for n, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:len(keys)]))):
+                    text = texts[n].as_py()
                     name = ":".join("null" if x is None else str(x) for x in (seed, *key))
                     if not text:
                         yield *key, 1, [], 0.0, 0.0, 1.0, ""
@@ -174,7 +314,14 @@ def sample_segmentations(table: DataFrame, keys: list[str], vocabulary: str, k:
                     for rank, (ids, s, g, p) in enumerate(sample(pieces, text, k, Random(xxhash.xxh3_64_intdigest(name))), 1):
                         yield *key, rank, ids, s, g, p, pieces.decode(ids)
 
-        yield from batched(rows(), schema, 1024)
+        held, size = [], 0
+        for row in rows():
+            held.append(row)
+            size += len(row[len(keys) + 1])
+            if size > OUT_IDS or len(held) == 1024:
+                yield from batched(iter(held), schema)
+                held, size = [], 0
+        yield from batched(iter(held), schema)
 
     return table.select(*keys, "text").mapInArrow(
         run, ", ".join(f"{c} long" for c in keys) + ", rank int, ids array<int>, log_prob double, perturbed double, "

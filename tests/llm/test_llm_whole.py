@@ -1,5 +1,7 @@
 """The whole job: blank runs against enumeration over the full vocabulary."""
 
+import hashlib
+from collections import Counter
 from math import exp, log
 from random import Random
 
@@ -7,6 +9,9 @@ import numpy as np
 import public_tokenizers as P
 
 from changeflow.llm import ppm, sampling
+from changeflow.llm.queries import QUERIES
+from tests.conftest import SF_SMALL
+from tests.llm.test_llm_edges import LONG
 
 PIECES = P.path("piece_bpe_32k.model")
 
@@ -71,3 +76,40 @@ def test_shards_give_the_same_code_lengths(spark):
     assert np.abs(ppm.code_lengths(one, texts) - ppm.code_lengths(many, texts)).max() < 1e-9
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in ppm.predict(docs, many).collect()} == {k: lang for k, (_, lang) in enumerate(rows)}
+
+
+def test_documents_are_segmented_whole(spark):
+    got = QUERIES["op7_gumbel_segmentations"](spark, SF_SMALL).collect()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    assert {r.doc_id for r in got} == {d.doc_id for d in docs}
+    want = {(d.doc_id, hashlib.sha256((d.text or "").encode()).hexdigest()) for d in docs}
+    assert {(r.doc_id, r.decoded_sha256) for r in got} == want
+
+
+def test_long_texts_are_segmented(spark):
+    """The long documents of test_llm_edges, one long word, and one long run of blanks."""
+    texts = {3: LONG, 4: LONG, 5: "a" * 30_000, 6: " " * 30_000 + "x", 7: "日本" * 9_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sampling.sample_segmentations(docs, ["doc_id"], PIECES).collect()
+    assert sorted((r.doc_id, r.rank) for r in rows if r.doc_id < 7) == [(d, k) for d in (3, 4, 5, 6) for k in (1, 2, 3, 4)]
+    assert all(r.decoded == texts[r.doc_id] for r in rows)
+    assert len({(r.doc_id, tuple(r.ids)) for r in rows}) == len(rows)
+
+
+def test_late_words_are_drawn_by_their_chances():
+    """After many words the rest is drawn word by word: its last word and its log probability are right."""
+    pieces = sampling.load(PIECES)
+    text = "of the people " * 20 + "in"
+    logs = {i: score for i, score, _ in ((p[0][0], p[1], 0) for p in pieces.pieces.values())}
+    want, last = {ids: exp(s) for ids, s, *_ in ((tuple(g[0]), *g[1:]) for g in sampling.sample(pieces, "in", 99, Random(0)))}, Counter()
+    norm = sum(log(sum(exp(sum(logs[i] for i in ids)) for ids in spelled(pieces, w))) for w in text.split())
+    for seed in range(3000):
+        for k, (ids, score, *_) in enumerate(sampling.sample(pieces, text, 2, Random(seed))):
+            assert seed > 20 or abs(sum(logs[i] for i in ids) - norm - score) < 1e-6
+            if k == 0:
+                last[next(w for w in want if tuple(ids[-len(w):]) == w and pieces.text[w[0]].startswith("▁"))] += 1
+    assert all(abs(last[ids] / 3000 - p) < 0.03 for ids, p in want.items())
+
+
+def spelled(pieces, word):
+    return [tuple(g[0]) for g in sampling.sample(pieces, word, 10_000, Random(0))]
