@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm import chat, common, lines, near_dup, packing, ppm, quality, sampling, suffix_dedup, token_counts, topk
+from changeflow.llm import chat, common, lines, near_dup, packing, ppm, quality, sampling, suffix_dedup, token_counts, topk, trie
 from changeflow.llm.oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +76,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(common.read_table(spark, sf_dir, "conversations")).drop("turn_conv_id", "turn_pos")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_minhash_near_dedup, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_chat_format, op7_gumbel_segmentations, op8_exact_topk, op9_token_counts, op10_packing)}
+    op1_quality_rules, op2_minhash_near_dedup, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_chat_format, op7_gumbel_segmentations, op8_exact_topk, op9_token_counts, op10_packing,
+    op11_prefix_trie)}
 
 __all__ = ["QUERIES", "ORACLE"]
