@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm import chat, common, lines, near_dup, packing, ppm, quality, sampling, secrets, suffix_dedup, token_counts, topk, trie
+from changeflow.llm import align, chat, common, lines, near_dup, packing, ppm, quality, sampling, secrets, suffix_dedup, token_counts, topk, trie
 from changeflow.llm.oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,12 +80,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(common.read_table(spark, sf_dir, "conversations")).drop("turn_conv_id", "turn_pos")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align_corpus(documents(spark, sf_dir), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir)).drop("found")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_minhash_near_dedup, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_chat_format, op7_gumbel_segmentations, op8_exact_topk, op9_token_counts, op10_packing,
-    op11_prefix_trie, op13_secret_scan)}
+    op11_prefix_trie, op12_tokenizer_alignment, op13_secret_scan)}
 
 __all__ = ["QUERIES", "ORACLE"]
