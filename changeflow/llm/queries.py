@@ -59,7 +59,7 @@ def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sampled = sampling.sample_segmentations(documents(spark, sf_dir), ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
     return sampled.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"),
-                          F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "log_prob", "inclusion",
+                          F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "log_prob", "inclusion", "log_inclusion",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -7,8 +7,8 @@ set of segmentations that share a beginning has the largest Gumbel-perturbed log
 probability of its members, drawn under the one of the set it was split from. The
 best set is split until one segmentation is left; the first k to arrive are a sample
 without replacement. A segmentation's inclusion score is its chance to be above the
-first one that isn't returned; under 5e-324 it is 0, as for long texts, and
-``log_prob`` tells. Of the sets split off, only as many as can still be
+first one that isn't returned; for long texts it is under 5e-324, so its logarithm
+is returned beside it. Of the sets split off, only as many as can still be
 returned are kept. Once these are full and a set's chance to come before the last of
 them is under rounding (2 ** -53), the rest of a segmentation is drawn word by word,
 so that a long text takes time in proportion to its length and no memory for its sets.
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect, insort
+from bisect import insort
 from collections.abc import Iterator, Sequence
 from math import exp, expm1, log
 from random import Random
@@ -49,7 +49,6 @@ REMEMBERED = 1_500_000      # arcs and pieces of words that are remembered
 SHORT_WORD = 40           # signs up to which a word's sums are plain products
 LEAST = 1e-200            # and the least of these that may be
 LONG_WORD = 2048          # signs from which on a word's arcs are made as they are asked for
-OFTEN, FEW = 8, 200       # a word drawn so often gets a table of its segmentations, if it has so few
 UNDER = 40.0              # in logs, more than the 53 bits of a random number
 OUT_IDS = 1 << 18         # ids in a batch of results
 Arc = tuple     # (end, piece ids, chance)
@@ -59,29 +58,10 @@ _loaded: dict[str, "Pieces"] = {}
 class Word:
     """A word's lattice: the arcs from each place that lead to its end, with their chances."""
 
-    __slots__ = ("arcs", "drawn", "sums", "found")
+    __slots__ = ("arcs",)
 
     def __init__(self, arcs: Sequence[list[Arc]]):
-        self.arcs, self.drawn, self.sums, self.found = arcs, 0, None, []
-
-    def tabulate(self) -> int:
-        """Make the table of all segmentations with running sums of their chances, if
-        they are few; the number of ids in it."""
-        n = len(self.arcs)
-        ways = [0] * n + [1]
-        for i in range(n - 1, -1, -1):
-            ways[i] = sum(ways[a[0]] for a in self.arcs[i])
-            if ways[i] > FEW:
-                return 0
-        tails: list[list[tuple]] = [[] for _ in range(n)] + [[((), 0.0)]]
-        for i in range(n - 1, -1, -1):
-            tails[i] = [(arc[1] + ids, log(arc[2]) + s) for arc in self.arcs[i] if arc[2] for ids, s in tails[arc[0]]]
-        self.found, total, sums = tails[0], 0.0, []
-        for _, s in self.found:
-            total += exp(s)
-            sums.append(total)
-        self.sums = sums[:-1]
-        return sum(len(ids) for ids, _ in self.found)
+        self.arcs = arcs
 
     def draw(self, at: int, ids: list[int], random: Random) -> float:
         """Draw a segmentation from a place on into ``ids``; its log probability."""
@@ -216,8 +196,8 @@ def below(location: float, top: float, random: Random) -> float:
 
 
 def sample(pieces: Pieces, text: str, k: int, random: Random) -> list[tuple[list[int], float, float, float]]:
-    """Up to ``k`` distinct segmentations (ids, log probability, perturbed, inclusion),
-    best perturbed first."""
+    """Up to ``k`` distinct segmentations (ids, log probability, perturbed, inclusion and
+    its logarithm), best perturbed first."""
     held = pieces.held(text)
     at_word = pieces.word.match
 
@@ -271,33 +251,31 @@ def sample(pieces: Pieces, text: str, k: int, random: Random) -> list[tuple[list
             score += word.draw(at, ids, random) + draw_words(pieces, held, end, ids, random)
         out.append((ids, score, top))
     bound = -waiting[0][0] if waiting else None
-    return [(ids, s, g, 1.0 if bound is None else -expm1(-exp(min(s - bound, 50.0)))) for ids, s, g in out]
+    found = []
+    for ids, s, g in out:
+        chance = 1.0 if bound is None else -expm1(-exp(min(s - bound, 50.0)))
+        # far under the bound, 1 - exp(-x) is x
+        found.append((ids, s, g, chance, log(chance) if chance > 1e-200 else s - bound))
+    return found
 
 
 def draw_words(pieces: Pieces, held: str, start: int, ids: list[int], random: Random) -> float:
-    """Draw segmentations of the words from ``start`` on into ``ids``; their log probability."""
-    score, words, draw = 0.0, pieces.words, random.random
+    """Draw segmentations of the words from ``start`` on into ``ids``; their log probability.
+    What is remembered of words met before never changes which random numbers are used, so
+    a key and a text draw the same on any task."""
+    score, words = 0.0, pieces.words
     for found in pieces.word.finditer(held, start):
-        text = found[0]
-        word = words.get(text) or pieces.lattice(text)
-        if word.sums is not None:
-            part = word.found[bisect(word.sums, draw())]
-            ids += part[0]
-            score += part[1]
-            continue
-        word.drawn += 1
-        if word.drawn == OFTEN and len(text) < LONG_WORD:
-            pieces.remember(word.tabulate())
+        word = words.get(found[0]) or pieces.lattice(found[0])
         score += word.draw(0, ids, random)
     return score
 
 
 def sample_segmentations(table: DataFrame, keys: list[str], vocabulary: str, k: int = 4, seed: int = 7) -> DataFrame:
-    """(*keys, rank, ids, log_prob, perturbed, inclusion, decoded) for each text; the
+    """(*keys, rank, ids, log_prob, perturbed, inclusion, log_inclusion, decoded) for each text; the
     keys are long numbers; ``decoded`` is read back from the ids."""
     common.ship(table.sparkSession)
     schema = pa.schema([*((c, pa.int64()) for c in keys), ("rank", pa.int32()), ("ids", pa.list_(pa.int32())),
-                        ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("decoded", pa.string())])
+                        ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(vocabulary)
@@ -309,10 +287,10 @@ def sample_segmentations(table: DataFrame, keys: list[str], vocabulary: str, k:
                     text = texts[n].as_py()
                     name = ":".join("null" if x is None else str(x) for x in (seed, *key))
                     if not text:
-                        yield *key, 1, [], 0.0, 0.0, 1.0, ""
+                        yield *key, 1, [], 0.0, 0.0, 1.0, 0.0, ""
                         continue
-                    for rank, (ids, s, g, p) in enumerate(sample(pieces, text, k, Random(xxhash.xxh3_64_intdigest(name))), 1):
-                        yield *key, rank, ids, s, g, p, pieces.decode(ids)
+                    for rank, (ids, *scores) in enumerate(sample(pieces, text, k, Random(xxhash.xxh3_64_intdigest(name))), 1):
+                        yield *key, rank, ids, *scores, pieces.decode(ids)
 
         held, size = [], 0
         for row in rows():
@@ -325,4 +303,4 @@ def sample_segmentations(table: DataFrame, keys: list[str], vocabulary: str, k:
 
     return table.select(*keys, "text").mapInArrow(
         run, ", ".join(f"{c} long" for c in keys) + ", rank int, ids array<int>, log_prob double, perturbed double, "
-                                                    "inclusion double, decoded string")
+                                                    "inclusion double, log_inclusion double, decoded string")

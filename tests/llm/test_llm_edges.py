@@ -24,7 +24,7 @@ OPERATORS = {
     "ppm": ppm.identify,
     "counts": lambda d: token_counts.token_counts(d, BPE),
     "packing": lambda d: packing.pack_documents(d, BPE),
-    "sampling": lambda d: sampling.sample_segmentations(d.filter("doc_id is null or doc_id not in (3, 4)"), ["doc_id"], P.path("piece_bpe_32k.model")),
+    "sampling": lambda d: sampling.sample_segmentations(d, ["doc_id"], P.path("piece_bpe_32k.model")),
 }
 
 

@@ -164,7 +164,7 @@ def test_segmentations_are_distinct_and_fair():
     for seed in range(n):
         got = sampling.sample(pieces, "the in", 3, Random(seed))
         first[tuple(got[0][0])] += 1
-        for ids, score, _, inclusion in got:
+        for ids, score, _, inclusion, _ in got:
             weight[tuple(ids)] += exp(score) / inclusion
     for ids, score, *_ in every[:5]:
         assert abs(first[tuple(ids)] / n - exp(score)) < 0.03

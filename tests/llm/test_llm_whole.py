@@ -113,3 +113,31 @@ def test_late_words_are_drawn_by_their_chances():
 
 def spelled(pieces, word):
     return [tuple(g[0]) for g in sampling.sample(pieces, word, 10_000, Random(0))]
+
+
+def test_samples_go_by_key_and_text_alone(spark, monkeypatch):
+    """Neither the order of rows, nor their partitions, nor what a worker saw before or forgot changes a sample."""
+    words = "the of people internationalization rough thing in und nicht".split()
+    rng = Random(4)
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 120)))) for k in range(60)] + [(7, "again"), (7, "again"), (None, "x y")] * 2
+    pieces = sampling.load(PIECES)
+    want = {(k, t): sampling.sample(sampling.Pieces(PIECES) if k == 5 else pieces, t, 4, Random(k or 0)) for k, t in rows}
+    monkeypatch.setattr(sampling, "REMEMBERED", 50)
+    rng.shuffle(rows)
+    assert all(sampling.sample(pieces, t, 4, Random(k or 0)) == want[k, t] for k, t in rows)
+    seen = []
+    for n in (1, 7):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        seen.append(sorted(map(str, sampling.sample_segmentations(df, ["doc_id"], PIECES).collect())))
+    assert seen[0] == seen[1]
+
+
+def test_odd_rows_of_segmentations(spark):
+    rows = [(1, None), (2, ""), (None, "a b"), (3, "a b"), (3, "a b"), (4, LONG)]
+    got = sampling.sample_segmentations(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], PIECES).collect()
+    assert [(r.rank, r.ids, r.inclusion, r.log_inclusion, r.decoded) for r in got if r.doc_id in (1, 2)] == [(1, [], 1.0, 0.0, "")] * 2
+    repeated = sorted((r.rank, tuple(r.ids), r.log_prob) for r in got if r.doc_id == 3)
+    assert repeated[::2] == repeated[1::2] and all(r.decoded == "a b" for r in got if r.doc_id in (None, 3))
+    last = [r for r in got if r.doc_id == 4]
+    assert all(r.decoded == LONG and r.inclusion == 0 and r.log_inclusion < -1000 for r in last) and len(last) == 4
