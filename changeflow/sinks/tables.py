@@ -28,6 +28,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,7 @@ class HadoopFS:
     def __init__(self, spark: SparkSession, root: str):
         jvm = spark.sparkContext._jvm
         self._jvm = jvm
+        self._gateway = spark.sparkContext._gateway
         self._Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -67,6 +69,16 @@ class HadoopFS:
             return []
         return [s.getPath().getName() for s in self.fs.listStatus(self._Path(p))]
 
+    def list_times(self, p: str) -> list[tuple[str, float]]:
+        """Names in a folder with their modification times, in seconds."""
+        if not self.exists(p):
+            return []
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in self.fs.listStatus(self._Path(p))]
+
+    def size(self, p: str) -> int:
+        """Bytes of all files below a path."""
+        return self.fs.getContentSummary(self._Path(p)).getLength()
+
     def write_text(self, p: str, text: str, overwrite: bool = False) -> None:
         out = self.fs.create(self._Path(p), overwrite)
         try:
@@ -84,6 +96,20 @@ class HadoopFS:
     def rename(self, src: str, dst: str) -> bool:
         return bool(self.fs.rename(self._Path(src), self._Path(dst)))
 
+    def rename_new(self, src: str, dst: str) -> bool:
+        """Rename onto a name that must not exist yet; False if it does."""
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf())
+        Rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self._gateway.new_array(Rename, 1)
+        how[0] = Rename.NONE
+        try:
+            context.rename(self._Path(src), self._Path(dst), how)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def delete(self, p: str) -> None:
         self.fs.delete(self._Path(p), True)
 
@@ -129,7 +155,7 @@ class TableSet:
         self.fs.mkdirs(self._mdir())
         tmp = f"{self._mdir()}/.tmp-{uuid.uuid4().hex}.json"
         self.fs.write_text(tmp, json.dumps(m, sort_keys=True))
-        ok = self.fs.rename(tmp, final)
+        ok = self.fs.rename_new(tmp, final)
         if not ok:
             self.fs.delete(tmp)
         return ok
