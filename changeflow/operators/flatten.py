@@ -120,7 +120,7 @@ def flatten(df: DataFrame, spec: EntitySpec, *, caps=None, skip=(), on_error: st
     return out
 
 
-def flatten_union(df: DataFrame, spec: EntitySpec, *, caps=COMPAT, skip=(), on_error: str = "null",
+def flatten_union(df: DataFrame, spec: EntitySpec, *, caps=None, skip=(), on_error: str = "null",
                   id_col: str = "id", doc: str = DOC, meta=None) -> DataFrame:
     """Index-access form: one projection per array index, unioned.
 

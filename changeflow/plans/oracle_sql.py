@@ -96,7 +96,7 @@ ORACLE: dict[str, str] = {
     # ---- flatten --------------------------------------------------------------------------------
     "flatten_root": f"WITH {DOCS} SELECT {POLICY_COLS} FROM {POLICY_FROM}",
     "flatten_array_round_trip": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
-    "flatten_union_equiv": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O WHERE r0 <= 5",
+    "flatten_union_equiv": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     "flatten_union_uncapped": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     "flatten_vehicles": f"WITH {DOCS} SELECT {VEHICLE_COLS} FROM O",
     "flatten_claims": f"WITH {DOCS} SELECT {CLAIM_COLS} FROM O",
@@ -211,7 +211,37 @@ ORACLE: dict[str, str] = {
               UNION SELECT * FROM F5 WHERE o_custkey IN (SELECT c_custkey FROM B)
                     AND NOT EXISTS (SELECT 1 FROM S5 WHERE S5.o_orderkey = F5.o_orderkey))
         SELECT {COVERAGE_COLS} FROM K""",
-    "atomic_publish": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
+    "atomic_publish": f"""WITH {DOCS},
+        E AS (SELECT 'policy' AS entity, c_custkey AS policy_id, NULL AS key1, NULL AS key2, 'O' AS st FROM C
+              UNION ALL SELECT 'coverage', o_custkey, CAST(o_orderkey AS VARCHAR), NULL, o_orderstatus FROM O
+              UNION ALL SELECT 'vehicle', o_custkey, 'V' || CAST(o_orderkey AS VARCHAR), NULL, o_orderstatus FROM O
+              UNION ALL SELECT 'claim', o_custkey, 'C' || CAST(o_orderkey AS VARCHAR), NULL, o_orderstatus FROM O
+              UNION ALL SELECT DISTINCT 'driver', o_custkey, 'V' || CAST(o_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR) || '-'
+                     || CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), o_orderstatus
+                     FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey)
+        SELECT v.version, entity, policy_id, key1, key2 FROM E JOIN C ON C.c_custkey = policy_id,
+               (VALUES (1), (2), (3)) v(version)
+        WHERE v.version < 3 OR c_mktsegment <> 'BUILDING' OR st = 'F'""",
+    "merge_on_read": f"""WITH {L}, N AS (SELECT max(seq) + 1 AS n FROM L),
+        S AS (SELECT L.*, CASE WHEN 2 * seq < n THEN 0 ELSE 1 + (2 * seq - n) * 50 // n END AS s FROM L, N),
+        T AS (SELECT *, max(s) OVER (PARTITION BY policy_id, k) AS last_s FROM S),
+        R AS (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY event_time DESC, seq DESC) AS rn FROM T WHERE s = last_s)
+        SELECT folded, policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value
+        FROM R, (VALUES (false), (true)) f(folded) WHERE rn = 1 AND op <> 'd'""",
+    "merge_on_read_exact": f"""WITH {L}
+        SELECT folded, policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value
+        FROM (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY event_time DESC, seq DESC) AS rn FROM L),
+             (VALUES (false), (true)) f(folded) WHERE rn = 1 AND op <> 'd'""",
+    "models_incremental": f"""WITH {L}, N AS (SELECT max(seq) + 1 AS n FROM L),
+        S AS (SELECT L.*, seq * 6 // n AS s FROM L, N),
+        runs AS (SELECT DISTINCT policy_id, k, s AS run FROM S),
+        seen AS (SELECT r.run, S.*, row_number() OVER (PARTITION BY S.policy_id, S.k, run ORDER BY event_time DESC, seq DESC) AS rt,
+                        row_number() OVER (PARTITION BY S.policy_id, S.k, run ORDER BY seq DESC) AS ra
+                 FROM runs r JOIN S ON S.policy_id = r.policy_id AND S.k = r.k AND S.s <= r.run),
+        says AS (SELECT t.*, CASE WHEN a.op = 'd' THEN 'd' WHEN t.op <> 'd' THEN 'u' END AS does
+                 FROM seen t JOIN seen a ON t.policy_id = a.policy_id AND t.k = a.k AND t.run = a.run WHERE t.rt = 1 AND a.ra = 1),
+        fin AS (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY run DESC) AS rn FROM says WHERE does IS NOT NULL)
+        SELECT policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value FROM fin WHERE rn = 1 AND does = 'u'""",
     "direct_stream": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     # ---- checks ---------------------------------------------------------------------------------
     "parent_child_counts": f"""WITH {DOCS} SELECT C.c_custkey AS policy_id, COALESCE(n, 0) AS n_children FROM C

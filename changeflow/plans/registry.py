@@ -8,6 +8,7 @@ columns equal the oracle SQL of the same name (``oracle_sql.ORACLE``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from changeflow.operators.merge import (
 )
 from changeflow.operators.resolve import current_state, dead_keys, dead_keys_correlated, history, latest_per_key
 from changeflow.plans.fixtures import change_envelopes, change_log, customer_documents, table
-from changeflow.schemas import CLAIM, COVERAGE, DRIVER, POLICY, VEHICLE
+from changeflow.schemas import CLAIM, COVERAGE, DRIVER, POLICY, VEHICLE, EntitySpec, Leaf
 from changeflow.sources.changes import envelope_rejects, parse_envelope, peek_changes
 from changeflow.sources.snapshots import diff_snapshots, snapshot_events
 
@@ -449,30 +450,89 @@ def q_stream_equals_batch(spark, d):
     return tables.read("coverage")
 
 
+ENTITY_SPECS = (POLICY, COVERAGE, VEHICLE, DRIVER, CLAIM)
+
+
+def _keys_of(df: DataFrame, spec, version: int) -> DataFrame:
+    """(version, entity, policy_id, key1, key2): the keys of an entity's rows."""
+    keys = [F.col(k).cast("string") for k in spec.child_keys] + [F.lit(None).cast("string")] * 2
+    return df.select(F.lit(version).alias("version"), F.lit(spec.name).alias("entity"), "policy_id",
+                     keys[0].alias("key1"), keys[1].alias("key2"))
+
+
 def q_atomic_publish(spark, d):
+    """All phases, each published for all five tables at once; the rows of each version."""
     from pyspark import StorageLevel
 
     from changeflow.operators.merge import merge_batch as mb
-    from changeflow.plans.pipelines import decode, stage
+    from changeflow.plans.pipelines import decode, parsed_images, stage_parsed
     from changeflow.sinks import TableSet
     from changeflow.sources.changes import read_change_log
     root = _scratch(spark, "publish")
-    _write_phases(spark, d, root, phases=(0, 2))
+    _write_phases(spark, d, root)
     tables = TableSet(spark, f"{root}/out", buckets=8)
-
-    def commit(phase: int):
-        rows = stage(decode(read_change_log(spark, f"{root}/src/phase{phase}")), [POLICY, COVERAGE])
-        rows = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in rows.items()}
+    for phase in range(3):
+        images = parsed_images(decode(read_change_log(spark, f"{root}/src/phase{phase}"))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return tables.commit({s.name: (rows[s.name], lambda cur, x=rows[s.name], sp=s: mb(cur, x, sp.keys,
-                                                                                                sp.columns))
-                                  for s in (POLICY, COVERAGE)})
+            rows = stage_parsed(images)
+            tables.commit({s.name: (rows[s.name], lambda cur, x=rows[s.name], sp=s: mb(cur, x, sp.keys, sp.columns))
+                           for s in ENTITY_SPECS})
         finally:
-            for v in rows.values():
-                v.unpersist()
-    commit(0)
-    commit(2)   # the deletes: version 2 leaves the files of version 1 as they are
-    return tables.read("coverage", version=1)
+            images.unpersist()
+    return reduce(DataFrame.unionByName, [_keys_of(tables.read(s.name, version=v), s, v) for v in (1, 2, 3) for s in ENTITY_SPECS])
+
+
+#: the change log as an entity, by (policy_id, k)
+LOG = EntitySpec("log", ("policy_id", "k"), (Leaf("k", (), "int"), Leaf("event_type", ()), Leaf("event_id", (), "bigint"),
+                                             Leaf("value", (), "double")), time_column="source_event_time")
+
+
+def _log_rows(spark, d) -> tuple[DataFrame, int]:
+    """The change log as rows of LOG, and one more than its last ``seq``."""
+    log = change_log(spark, d).withColumn("source_event_time", F.col("event_time")).withColumn("event_id", F.col("seq"))
+    n = log.agg(F.coalesce(F.max("seq"), F.lit(-1)) + 1).first()[0]
+    return log.select(*LOG.columns, "op", "event_time", "seq", "pos", "pos2"), n
+
+
+def _merged_on_read(spark, d, commits: int, exact: bool):
+    """Half of the log at once, the rest in small commits; the rows before and after folding."""
+    from changeflow.sinks import ChangeTables
+    log, n = _log_rows(spark, d)
+    tables = ChangeTables(spark, f"{_scratch(spark, 'changes')}/t", [LOG], buckets=8, exact=exact)
+    tables.append({"log": log.filter(F.col("seq") * 2 < n)})
+    tables.fold(everything=True)
+    part = F.floor((F.col("seq") * 2 - n) * commits / F.lit(n))
+    for k in range(commits):
+        # bounds on seq itself reach the scan
+        lo, hi = (n + -(-n * k // commits)) // 2, (n + -(-n * (k + 1) // commits)) // 2 + 1
+        tables.append({"log": log.filter((F.col("seq") >= lo) & (F.col("seq") <= hi) & (F.col("seq") * 2 >= n) & (part == k))})
+    before = tables.manifest()["version"]
+    tables.fold(everything=True)
+    cols = ["policy_id", "k", "event_type", "event_id", "source_event_time", "value"]
+    return tables.read("log", version=before).select(F.lit(False).alias("folded"), *cols).unionByName(
+        tables.read("log").select(F.lit(True).alias("folded"), *cols))
+
+
+def q_merge_on_read(spark, d):
+    return _merged_on_read(spark, d, 50, exact=False)
+
+
+def q_merge_on_read_exact(spark, d):
+    return _merged_on_read(spark, d, 8, exact=True)
+
+
+def q_models_incremental(spark, d):
+    """Six model runs, each from its own staging batch and the touched keys' states."""
+    from changeflow.sinks import StagingStore
+    from changeflow.streaming.jobs import merge_once, model_tables
+    root = _scratch(spark, "models")
+    log, n = _log_rows(spark, d)
+    store, tables = StagingStore(spark, f"{root}/stg", [LOG]), model_tables(spark, f"{root}/out", [LOG], buckets=8)
+    for b in range(6):
+        store.append("log", log.filter(F.floor(F.col("seq") * 6 / F.lit(n)) == b), b)
+        store.mark(b)
+        merge_once(store, tables, mode="models_incremental")
+    return tables.read("log").select("policy_id", "k", "event_type", "event_id", "source_event_time", "value")
 
 
 def q_direct_stream(spark, d):

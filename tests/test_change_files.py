@@ -39,7 +39,8 @@ def rows_of(df):
 
 @pytest.mark.parametrize("exact", [False, True])
 def test_merge_on_read_equals_rewriting(spark, workdir, exact):
-    tables = ChangeTables(spark, f"{workdir}/t", [ITEM], buckets=3, exact=exact, fold_commits=3)
+    # a folder above that is named like a commit's
+    tables = ChangeTables(spark, f"{workdir}/changes-{'0' * 32}/t", [ITEM], buckets=3, exact=exact, fold_commits=3)
     cols = tables.stored_columns("item")
     state = spark.createDataFrame([], tables._schema("item"))
     for k, batch in enumerate(batches(spark, 3)):

@@ -83,4 +83,4 @@ def test_explode_equals_index_union(spark, seed):
                                         "coalesce(after.data, before.data) AS data", "op", "event_time", "seq"),
                          COVERAGE)
     cols = COVERAGE.columns + ["pos"]
-    assert as_set(flatten(img, COVERAGE, caps="compat"), cols) == as_set(flatten_union(img, COVERAGE), cols)
+    assert as_set(flatten(img, COVERAGE, caps="compat"), cols) == as_set(flatten_union(img, COVERAGE, caps="compat"), cols)
