@@ -53,6 +53,29 @@ def since_watermark(stg: DataFrame, lo, hi=None, col: str = "seq") -> DataFrame:
     return stg.filter(cond)
 
 
+def since_positions(events: DataFrame, positions: dict, until: dict | None = None, by: str = "partition",
+                    col: str = "seq") -> DataFrame:
+    """Rows at or past a position vector, partition -> next offset, and before ``until``.
+
+    A log's offsets grow within a partition only, so one number can't tell what is new. A
+    partition that ``positions`` doesn't name is new as a whole; one that ``until`` doesn't
+    name has no rows yet. The bounds are literals per partition, which a scan can use.
+    """
+    def at(vector: dict, past: bool):
+        cond = ~F.col(by).isin([int(p) for p in vector]) if past else F.lit(False)
+        for p, n in sorted(vector.items()):
+            cond = cond | ((F.col(by) == int(p)) & (F.col(col) >= n if past else F.col(col) < n))
+        return cond
+    out = events.filter(at(positions, True)) if positions else events
+    return out if until is None else out.filter(at(until, False))
+
+
+def next_positions(events: DataFrame, positions: dict, by: str = "partition", col: str = "seq") -> dict:
+    """The vector after ``events`` (one row per partition comes to the driver)."""
+    ends = {str(p): n for p, n in events.groupBy(by).agg((F.max(col) + 1).alias("n")).collect() if p is not None}
+    return {**positions, **{p: max(n, positions.get(p, 0)) for p, n in ends.items()}}
+
+
 def max_time(target: DataFrame, col: str = "source_event_time",
              default: str = "1970-01-01 00:00:00") -> DataFrame:
     """One-row frame: ``COALESCE(MAX(col), default)`` over the whole target."""

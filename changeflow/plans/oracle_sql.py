@@ -242,6 +242,11 @@ ORACLE: dict[str, str] = {
                  FROM seen t JOIN seen a ON t.policy_id = a.policy_id AND t.k = a.k AND t.run = a.run WHERE t.rt = 1 AND a.ra = 1),
         fin AS (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY run DESC) AS rn FROM says WHERE does IS NOT NULL)
         SELECT policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value FROM fin WHERE rn = 1 AND does = 'u'""",
+    "log_resume": f"""WITH {L},
+        P AS (SELECT L.*, policy_id % 3 AS part, row_number() OVER (PARTITION BY policy_id % 3 ORDER BY seq) - 1 AS off,
+                     count(*) OVER (PARTITION BY policy_id % 3) AS n FROM L)
+        SELECT CAST(part AS INTEGER) AS partition, off AS seq, op, policy_id AS id FROM P
+        WHERE part = 1 OR part = 0 AND off >= n // 2""",
     "direct_stream": f"WITH {DOCS} SELECT {COVERAGE_COLS} FROM O",
     # ---- checks ---------------------------------------------------------------------------------
     "parent_child_counts": f"""WITH {DOCS} SELECT C.c_custkey AS policy_id, COALESCE(n, 0) AS n_children FROM C
@@ -273,3 +278,6 @@ ORACLE: dict[str, str] = {
         SELECT op, quantile_disc(lag, 0.5) AS p50_ms, quantile_disc(lag, 0.9) AS p90_ms,
                quantile_disc(lag, 0.99) AS p99_ms, max(lag) AS max_ms, count(*) AS n_rows FROM G GROUP BY op""",
 }
+
+# the same rows by another way
+ORACLE["lost_checkpoint"] = ORACLE["stream_equals_batch"]

@@ -549,6 +549,37 @@ def q_direct_stream(spark, d):
     return tables.read("coverage")
 
 
+def q_log_resume(spark, d):
+    """A log in three partitions, read again from a position vector: half of partition 0, all
+    of 1 (which the vector doesn't name), nothing of 2."""
+    from changeflow.sources.partitioned_log import append_log, read_log
+    path = f"{_scratch(spark, 'log')}/log"
+    log = change_envelopes(spark, d).withColumn("p", F.get_json_object("value", "$.after.id"))
+    key = F.coalesce(F.col("p"), F.get_json_object("value", "$.before.id")).cast("long")
+    ends = append_log(log, path, F.pmod(key, F.lit(3)), 3)
+    rest = parse_envelope(read_log(spark, path, {"0": ends["0"] // 2, "2": ends["2"]}))
+    return rest.select("partition", "seq", "op", F.coalesce("after.id", "before.id").alias("id"))
+
+
+def q_lost_checkpoint(spark, d):
+    """Staging that loses its checkpoint between the updates and the deletes, and goes on by
+    the positions that the store keeps; merged on read."""
+    from changeflow.sinks import ChangeTables, StagingStore
+    from changeflow.sources.changes import read_change_log
+    from changeflow.sources.partitioned_log import append_log, stream_log
+    from changeflow.streaming.jobs import merge_once, start_staging
+    root = _scratch(spark, "lost")
+    _write_phases(spark, d, root)
+    store, tables = StagingStore(spark, f"{root}/stg"), ChangeTables(spark, f"{root}/out", buckets=8)
+    for part, phases in enumerate(((0, 1), (2,))):
+        for phase in phases:
+            # a key has one partition in every phase
+            append_log(read_change_log(spark, f"{root}/src/phase{phase}"), f"{root}/log", F.col("seq") % 10**9 % 3, 3)
+        start_staging(stream_log(spark, f"{root}/log"), store, f"{root}/ck{part}", {"availableNow": True}).awaitTermination()
+        merge_once(store, tables)
+    return tables.read("coverage")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +47,18 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_changeflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="changeflow-py-"), "changeflow_src.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for d, _, names in os.walk(root):
+            for p in (os.path.join(d, n) for n in names if n.endswith(".py")):
+                z.write(p, os.path.join("changeflow", os.path.relpath(p, root)))
+    sc.addPyFile(out)
+    sc._changeflow_shipped = True
