@@ -41,48 +41,53 @@ from changeflow.llm import bpe, common
 
 BLANK = "▁"
 CUT = re.compile(r"(?<=\S) (?=\S)")
+BESIDE = re.compile(r" (?:(?<=\s )|(?=\s))")     # a blank beside white space
 CONTAINER_BITS = 16
 MOST_LISTED = 4096              # beyond, a list is longer than the bits
 BLOCK_LINKS = 2_000_000         # a task's links are turned into bitmaps when they are as many
-Entry = tuple[int, bytes, str]  # n_a + (n_b << 32), its pairs, its groups as text
 
 
 class Aligner:
     """Both tokenizers; ``text`` aligns one text. At most ``cache`` pieces are remembered."""
 
-    def __init__(self, a_path: str, b_path: str, cache: int = 300_000):
+    def __init__(self, a_path: str, b_path: str, cache: int = 600_000):
         import sentencepiece
 
-        self.a = bpe.load(a_path, special=False)._coder
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.n_b = self.b.get_piece_size()
+        coder = bpe.load(a_path, special=False)
+        self.a, self.b = coder._coder, sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.n_a, self.n_b = coder.n_vocab, self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(BLANK in p.lstrip(BLANK) for i, p in enumerate(pieces) if not self.b.is_byte(i))
-        self.seen: dict[str, Entry | None] = {}
+        ordinary = self.a._mergeable_ranks.items()
+        self.a_size, self.b_size = np.zeros(self.n_a, np.int64), np.array([*map(len, self.b_bytes)])
+        for token, i in ordinary:
+            self.a_size[i] = len(token)
+        # each id as text, with what follows it inside a group and at its side's end
+        self.written = [b"%d%s" % (i, c) for i in range(self.n_a) for c in (b",", b"|")]
+        self.written += [b"%d%s" % (i, c) for i in range(self.n_b) for c in (b",", b";")]
+        self.seen: dict[str, tuple[bytes, bytes] | bool] = {}
         self.most = cache
 
-    def entry(self, piece: str) -> Entry | None:
-        """The alignment of a blank and ``piece``; None if its bytes don't come back."""
-        a, b = self.a.encode_ordinary(" " + piece), self.b.encode(piece)
-        a_bytes, b_bytes = self.a.decode_tokens_bytes(a), [self.b_bytes[i] for i in b]
-        whole = f" {piece}".encode()
-        found = None
-        if b"".join(a_bytes) == whole == b"".join(b_bytes):
-            a_ends = np.cumsum(np.fromiter(map(len, a_bytes), np.int64, len(a)))
-            b_ends = np.cumsum(np.fromiter(map(len, b_bytes), np.int64, len(b)))
-            _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-            pairs = np.array(a, np.int64)[at_a] * self.n_b + np.array(b, np.int64)[at_b]
-            groups, i, j = [], 0, 0
-            for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-                groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-                i, j = p, q
-            found = len(a) + (len(b) << 32), pairs.tobytes(), ";".join(groups)
-        if len(piece) <= 64:
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            self.seen[piece] = found
-        return found
+    def learn(self, pieces: list[str]) -> None:
+        """Remember both tokenizers' ids of each piece with the blank before it; False if
+        its bytes don't come back. The pieces are encoded as one text, and cut again."""
+        whole = f" {' '.join(pieces)}".encode()
+        a, b = np.array(self.a.encode_ordinary(whole.decode()), np.uint32), np.array(self.b.encode(" ".join(pieces)), np.uint32)
+        sound = b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole and self.a.decode_bytes(a.tolist()) == whole
+        if not sound and len(pieces) > 1:
+            for piece in pieces:
+                self.learn([piece])
+            return
+        if not sound:
+            self.seen[pieces[0]] = False
+            return
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        cut_a, cut_b = (4 * np.searchsorted(np.cumsum(size[ids]), ends, "right") for ids, size in ((a, self.a_size), (b, self.b_size)))
+        a, b, i, j = a.tobytes(), b.tobytes(), 0, 0
+        for piece, p, q in zip(pieces, cut_a.tolist(), cut_b.tolist()):
+            self.seen[piece] = a[i:p], b[j:q]
+            i, j = p, q
 
     def pieces(self, text: str, size: int = 1 << 18) -> Iterator[list[str]]:
         """The text's pieces, about ``size`` characters at a time."""
@@ -94,30 +99,56 @@ class Aligner:
             m = CUT.search(text, at + size)
             part = text[at:m.start()] if m else text[at:]
             at = m.end() if m else len(text)
-            pieces = part.split(" ")
-            # white space beside a blank: no cut there
-            if "" in pieces or any(p[0].isspace() or p[-1].isspace() for p in pieces):
-                pieces = CUT.split(part)
-            yield pieces
+            odd = part[0].isspace() or part[-1].isspace() or BESIDE.search(part)
+            yield CUT.split(part) if odd else part.split(" ")
 
-    def text(self, text: str | None) -> tuple[int, int, bytes, str] | None:
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        found = list(map(self.seen.get, pieces))
+        if None in found:
+            if len(self.seen) > self.most:
+                self.seen.clear()
+            self.learn(list(dict.fromkeys(p for p in pieces if p not in self.seen)))
+            found = list(map(self.seen.get, pieces))
+            for p in filter(lambda p: len(p) > 64, pieces):
+                self.seen.pop(p, None)      # long ones don't come again
+        if False in found:
+            return None
+        a, b = zip(*found)
+        return np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.uint32)
+
+    def aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """The pairs linked, and the groups as text, each with a semicolon behind it."""
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        both = np.zeros(a_ends[-1] + 1, np.int8)
+        both[a_ends] = 1
+        both[b_ends] += 1
+        a_last, b_last = both[a_ends] == 2, both[b_ends] == 2
+        at_a, at_b = np.flatnonzero(a_last), np.flatnonzero(b_last)
+        pairs = a[at_a].astype(np.int64) * self.n_b + b[at_b]
+        # a token's place: its number, and how many of the other side are in the groups before
+        # (for B, in its own too)
+        b_before, a_before = np.append(0, at_b + 1), at_a + 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + b_before[np.cumsum(a_last) - a_last]] = 2 * a.astype(np.int64) + a_last
+        codes[np.arange(len(b)) + a_before[np.cumsum(b_last) - b_last]] = 2 * (b.astype(np.int64) + self.n_a) + b_last
+        return pairs, b"".join(map(self.written.__getitem__, codes.tolist()))
+
+    def text(self, text: str | None) -> tuple[int, int, np.ndarray, str] | None:
         """Numbers of A and B tokens, the pairs linked, and the digest of the groups."""
         if not text:
             return None
-        count, pairs, digest, between = 0, [], hashlib.sha256(), ""
-        get, new, missing = self.seen.get, self.entry, (0, b"", "")
+        n_a, n_b, pairs, digest, held = 0, 0, [], hashlib.sha256(), b""
         for pieces in self.pieces(text):
-            entries = [get(p, missing) for p in pieces]
-            if missing in entries:
-                entries = [new(p) if e is missing else e for p, e in zip(pieces, entries)]
-            if None in entries:
+            found = self.ids(pieces)
+            if found is None:
                 return None
-            counts, linked, groups = zip(*entries)
-            count += sum(counts)
-            pairs.append(b"".join(linked))
-            digest.update((between + ";".join(groups)).encode())
-            between = ";"
-        return count & 0xFFFFFFFF, count >> 32, b"".join(pairs), digest.hexdigest()
+            linked, groups = self.aligned(*found)
+            n_a, n_b = n_a + len(found[0]), n_b + len(found[1])
+            pairs.append(linked)
+            digest.update(held)
+            held = groups
+        digest.update(held[:-1])
+        return n_a, n_b, np.concatenate(pairs), digest.hexdigest()
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
@@ -189,8 +220,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 if found is None:
                     rows.append((at, doc_id, 0, 0, 0, ""))
                     continue
-                n_a, n_b, linked, digest = found
-                links = np.frombuffer(linked, np.int64)
+                n_a, n_b, links, digest = found
                 rows.append((at, doc_id, n_a, n_b, len(links), digest))
                 if at >> CONTAINER_BITS != container or held >= BLOCK_LINKS:
                     yield from flush()
