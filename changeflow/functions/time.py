@@ -34,3 +34,16 @@ def epoch_millis(ts: Column | str) -> Column:
     sec = F.extract(F.lit("SECOND"), ts)  # decimal seconds with microseconds
     return (days * F.lit(86_400_000) + F.hour(ts).cast("long") * F.lit(3_600_000)
             + F.minute(ts).cast("long") * F.lit(60_000) + F.floor(sec * F.lit(1000)).cast("long"))
+
+
+def run_time(at: Column | None = None) -> Column:
+    """The time of a run as a zone-less UTC timestamp, the same in all rows of a query:
+    ``at`` where a run is given its time, else the clock."""
+    if at is not None:
+        return at.cast("timestamp_ntz")
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+
+
+def elapsed_ms(start: Column | str, end: Column | None = None) -> Column:
+    """Milliseconds from ``start`` to ``end`` (default: now), both zone-less UTC timestamps."""
+    return epoch_millis(run_time(end)) - epoch_millis(start)

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 
 def unique_violations(df: DataFrame, keys) -> DataFrame:
-    """Keys present more than once (``unique`` test / primary-key conflict)."""
+    """Keys present more than once (``unique`` test / primary-key conflict). A key with a
+    NULL part equals no other and is left to :func:`null_violations`."""
     keys = list(keys)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
+    return df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
 def null_violations(df: DataFrame, cols) -> DataFrame:

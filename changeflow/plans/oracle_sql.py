@@ -242,6 +242,17 @@ ORACLE: dict[str, str] = {
                  FROM seen t JOIN seen a ON t.policy_id = a.policy_id AND t.k = a.k AND t.run = a.run WHERE t.rt = 1 AND a.ra = 1),
         fin AS (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY run DESC) AS rn FROM says WHERE does IS NOT NULL)
         SELECT policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value FROM fin WHERE rn = 1 AND does = 'u'""",
+    "merge_lag": f"""WITH {L}, N AS (SELECT max(seq) + 1 AS n FROM L), S AS (SELECT L.*, seq * 6 // n AS s FROM L, N),
+        T AS (SELECT *, max(s) OVER (PARTITION BY policy_id, k) AS last_s, max(arrival_time) OVER (PARTITION BY s) AS merged_at FROM S),
+        R AS (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY event_time DESC, seq DESC) AS rn FROM T WHERE s = last_s),
+        G AS (SELECT merged_at, epoch_ms(merged_at) - epoch_ms(event_time) AS lag FROM R WHERE rn = 1 AND op <> 'd')
+        SELECT merged_at, quantile_disc(lag, 0.5) AS p50_ms, quantile_disc(lag, 0.9) AS p90_ms,
+               quantile_disc(lag, 0.99) AS p99_ms, max(lag) AS max_ms, count(*) AS n_rows FROM G GROUP BY merged_at""",
+    "history_as_of": f"""WITH {L},
+        H AS (SELECT *, lead(event_time) OVER (PARTITION BY policy_id, k ORDER BY event_time, seq) AS valid_to FROM L)
+        SELECT held_at, policy_id, k, seq AS event_id, event_type, event_time AS valid_from, valid_to
+        FROM H, (VALUES (TIMESTAMP '2024-01-05 12:00:00'), (TIMESTAMP '2024-01-16 00:00:00'), (TIMESTAMP '2024-01-29 06:30:00')) v(held_at)
+        WHERE event_time <= held_at AND (valid_to IS NULL OR valid_to > held_at) AND op <> 'd'""",
     "log_resume": f"""WITH {L},
         P AS (SELECT L.*, policy_id % 3 AS part, row_number() OVER (PARTITION BY policy_id % 3 ORDER BY seq) - 1 AS off,
                      count(*) OVER (PARTITION BY policy_id % 3) AS n FROM L)
@@ -258,22 +269,25 @@ ORACLE: dict[str, str] = {
         GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
     "null_violations": f"""WITH {DOCS}, V AS (SELECT {VEHICLE_COLS} FROM O)
         SELECT 'policy_id' AS column_name, count(*) FILTER (WHERE policy_id IS NULL) AS n_null FROM V
-        UNION ALL SELECT 'vin', count(*) FILTER (WHERE vin IS NULL) FROM V
-        UNION ALL SELECT 'year_made', count(*) FILTER (WHERE year_made IS NULL) FROM V
-        UNION ALL SELECT 'make', count(*) FILTER (WHERE make IS NULL) FROM V""",
+        UNION ALL SELECT 'vin', count(*) FILTER (WHERE vin IS NULL OR policy_id % 11 = 0) FROM V
+        UNION ALL SELECT 'year_made', count(*) FILTER (WHERE year_made IS NULL OR policy_id % 13 = 0) FROM V
+        UNION ALL SELECT 'make', count(*) FILTER (WHERE make IS NULL OR policy_id % 17 = 0) FROM V""",
     "key_conflicts": f"""WITH {DOCS},
         D AS (SELECT o_custkey AS policy_id, 'V' || CAST(o_orderkey AS VARCHAR) AS vehicle_vin,
                      CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS license_number
               FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey),
         X AS (SELECT count(*) AS n FROM D GROUP BY policy_id, vehicle_vin, license_number HAVING count(*) > 1)
-        SELECT 'driver' AS table_name, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows FROM X HAVING count(*) > 0""",
+        SELECT 'driver' AS table_name, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows FROM X HAVING count(*) > 0
+        UNION ALL SELECT 'policy', count(*), 2 * count(*) FROM C WHERE c_custkey % 7 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'claim', count(*), 2 * count(*) FROM O WHERE o_custkey % 5 = 0 HAVING count(*) > 0""",
     "row_counts": f"""WITH {DOCS} SELECT table_name, n_rows, n_rows >= 1 AS ok FROM (
         SELECT 'policy' AS table_name, (SELECT count(*) FROM C) AS n_rows
         UNION ALL SELECT 'coverage', (SELECT count(*) FROM O)
         UNION ALL SELECT 'vehicle', (SELECT count(*) FROM O)
         UNION ALL SELECT 'driver', (SELECT count(*) FROM O JOIN LI ON LI.l_orderkey = O.o_orderkey)
         UNION ALL SELECT 'claim', (SELECT count(*) FROM O))""",
-    "envelope_shape": "SELECT count(*) AS n_events, CAST(0 AS BIGINT) AS n_missing_after, CAST(0 AS BIGINT) AS n_missing_before FROM events",
+    "envelope_shape": f"""WITH {L} SELECT count(*) AS n_events, count(*) FILTER (WHERE op <> 'd' AND seq % 13 = 0) AS n_missing_after,
+        count(*) FILTER (WHERE op = 'd' AND seq % 17 = 0) AS n_missing_before FROM L""",
     "lag_percentiles": f"""WITH {L}, G AS (SELECT op, ts_ms - epoch_ms(event_time) AS lag FROM L)
         SELECT op, quantile_disc(lag, 0.5) AS p50_ms, quantile_disc(lag, 0.9) AS p90_ms,
                quantile_disc(lag, 0.99) AS p99_ms, max(lag) AS max_ms, count(*) AS n_rows FROM G GROUP BY op""",

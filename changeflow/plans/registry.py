@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from changeflow.functions.casts import cast_leaf
 from changeflow.functions.json import json_patch, json_text, json_value, summary_json
-from changeflow.functions.time import epoch_millis, event_time_from_ms
+from changeflow.functions.time import elapsed_ms, epoch_millis, event_time_from_ms
 from changeflow.operators import checks
 from changeflow.operators.filters import drop_deletes, filter_ops, image, since_watermark
 from changeflow.operators.flatten import flatten, flatten_union, parse_document, vanished_children
@@ -323,7 +323,9 @@ def q_snapshot_diff(spark, d):
     old = _customer_rows(spark, d).filter(F.col("id") % 5 != 0)
     acct = F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
     new = _customer_rows(spark, d, acct).filter(F.col("id") % 7 != 0)
-    ev = diff_snapshots(old, new, 0)
+    # rows without an id are left to the rejects
+    lost = new.filter(F.col("id") % 9 == 0).withColumn("id", F.lit(None).cast("long"))
+    ev = diff_snapshots(old, new.unionByName(lost), 0, seq=1)
     return ev.select(F.coalesce("after.id", "before.id").alias("id"), "op",
                      json_value("before.data", "$.c_acctbal", "decimal(12,2)").alias("before_acct"),
                      json_value("after.data", "$.c_acctbal", "decimal(12,2)").alias("after_acct"))
@@ -344,11 +346,17 @@ def q_orphans(spark, d):
 
 
 def q_unique_violations(spark, d):
-    return checks.unique_violations(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+    li = table(spark, d, "lineitem")
+    # planted: rows without a line number, which repeat no key
+    none = li.filter(F.col("l_linenumber") == 1).withColumn("l_linenumber", F.lit(None).cast(li.schema["l_linenumber"].dataType))
+    return checks.unique_violations(li.unionByName(none).unionByName(none), ["l_orderkey", "l_linenumber"])
 
 
 def q_null_violations(spark, d):
     v = flatten(_docs(spark, d, VEHICLE), VEHICLE)
+    # planted: some rows lose a value
+    for col, every in (("vin", 11), ("year_made", 13), ("make", 17)):
+        v = v.withColumn(col, F.when(F.col("policy_id") % every != 0, F.col(col)))
     return checks.null_violations(v, ["policy_id", "vin", "year_made", "make"])
 
 
@@ -360,6 +368,10 @@ def _entity_tables(spark, d):
 def q_key_conflicts(spark, d):
     t = _entity_tables(spark, d)
     specs = {s.name: s for s in (POLICY, COVERAGE, VEHICLE, DRIVER, CLAIM)}
+    # planted: repeated rows, and rows without a key, which conflict with none
+    for name, every in (("policy", 7), ("claim", 5)):
+        again = t[name].filter(F.col("policy_id") % every == 0)
+        t[name] = t[name].unionByName(again).unionByName(again.withColumn("policy_id", F.lit(None).cast("long")))
     found = checks.key_conflicts({n: (df, specs[n].keys) for n, df in t.items()})
     return found.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_rows").alias("n_rows"))
 
@@ -369,7 +381,11 @@ def q_row_counts(spark, d):
 
 
 def q_envelope_shape(spark, d):
-    return checks.envelope_shape(parse_envelope(change_envelopes(spark, d)))
+    env = parse_envelope(change_envelopes(spark, d))
+    # planted: images that are missing
+    env = env.withColumn("after", F.when(F.col("seq") % 13 != 0, F.col("after"))).withColumn(
+        "before", F.when(F.col("seq") % 17 != 0, F.col("before")))
+    return checks.envelope_shape(env)
 
 
 def q_lag_percentiles(spark, d):
@@ -549,6 +565,40 @@ def q_direct_stream(spark, d):
     return tables.read("coverage")
 
 
+def q_merge_lag(spark, d):
+    """Six commits, each at the time of its last arrival; lag from event to merge of the rows
+    that the table has in the end, by the time stored with them."""
+    from changeflow.sinks import ChangeTables
+    spec = EntitySpec("log", LOG.keys, (*LOG.leaves, Leaf("merged_at", (), "timestamp_ntz")), time_column=LOG.time_column)
+    log, n = _log_rows(spark, d)
+    log = log.join(change_log(spark, d).select("seq", "arrival_time"), "seq")
+    tables = ChangeTables(spark, f"{_scratch(spark, 'lag')}/t", [spec], buckets=8)
+    for b in range(6):
+        part = log.filter(F.floor(F.col("seq") * 6 / F.lit(n)) == b)
+        last = part.agg(F.max("arrival_time").cast("string")).first()[0]
+        tables.append({"log": part}, run_at=F.lit(last).cast("timestamp_ntz"))
+    rows = tables.read("log").withColumn("lag_ms", elapsed_ms("source_event_time", F.col("merged_at")))
+    return checks.lag_stats(rows, "lag_ms", by=["merged_at"])
+
+
+AS_OF = ("2024-01-05 12:00:00", "2024-01-16 00:00:00", "2024-01-29 06:30:00")
+
+
+def q_history_as_of(spark, d):
+    """The timeline from batches in no order of time, and what held at three times."""
+    from changeflow.operators.timeline import add_to_timeline, as_of, timeline_spec
+    from changeflow.sinks import ChangeTables
+    log, _ = _log_rows(spark, d)
+    line = timeline_spec(LOG)
+    tables = ChangeTables(spark, f"{_scratch(spark, 'line')}/t", [line], buckets=8)
+    for b in (2, 0, 3, 1):
+        add_to_timeline(tables, LOG, log.filter(F.col("seq") % 4 == b))
+    rows = tables.read(line.name)
+    return reduce(DataFrame.unionByName, [
+        as_of(rows, F.lit(t).cast("timestamp_ntz")).select(F.lit(t).cast("timestamp_ntz").alias("held_at"), "policy_id", "k", "event_id",
+                                                           "event_type", "valid_from", "valid_to") for t in AS_OF])
+
+
 def q_log_resume(spark, d):
     """A log in three partitions, read again from a position vector: half of partition 0, all
     of 1 (which the vector doesn't name), nothing of 2."""

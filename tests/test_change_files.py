@@ -43,7 +43,7 @@ def test_merge_on_read_equals_rewriting(spark, workdir, exact):
     tables = ChangeTables(spark, f"{workdir}/changes-{'0' * 32}/t", [ITEM], buckets=3, exact=exact, fold_commits=3)
     cols = tables.stored_columns("item")
     state = spark.createDataFrame([], tables._schema("item"))
-    for k, batch in enumerate(batches(spark, 3)):
+    for k, batch in enumerate(batches(spark, 3, n=5)):
         state = spark.createDataFrame(
             merge_batch(state, batch, ITEM.keys, cols, exact=exact).collect(), state.schema)
         tables.append({"item": batch}, progress={"k": k})
@@ -56,7 +56,7 @@ def test_merge_on_read_equals_rewriting(spark, workdir, exact):
     tables.fold(everything=True)
     assert rows_of(tables.read("item")) == want == rows_of(tables.read("item", version=before))
     m = tables.manifest()
-    assert m["tables"]["item"]["changes"] == [] and m["progress"] == {"k": 6} and tables.due() == {}
+    assert m["tables"]["item"]["changes"] == [] and m["progress"] == {"k": 4} and tables.due() == {}
 
 
 def one_key(spark, key):
@@ -136,7 +136,7 @@ def test_incremental_models_equal_full_rescans(spark, workdir, seed):
     store = StagingStore(spark, f"{workdir}/stg", [ITEM])
     tables = model_tables(spark, f"{workdir}/t", [ITEM], buckets=2, fold_commits=3)
     target, log = spark.createDataFrame([], ITEM.output_schema()), None
-    for b, batch in enumerate(batches(spark, seed, n=8, keys=5)):
+    for b, batch in enumerate(batches(spark, seed, n=5, keys=4)):
         staged(spark, store, "item", batch, b)
         log = batch if log is None else log.unionByName(batch)
         full = run_model(target, log, ITEM.keys, ITEM.columns)
@@ -166,15 +166,77 @@ def test_incremental_models_read_new_slices_only(spark, workdir):
 def test_scenario_in_change_tables(spark, workdir):
     store = StagingStore(spark, f"{workdir}/stg")
     plain, change = TableSet(spark, f"{workdir}/p", buckets=4), ChangeTables(spark, f"{workdir}/c", buckets=4)
-    models, exact = model_tables(spark, f"{workdir}/m", buckets=4), ChangeTables(spark, f"{workdir}/e", buckets=4, exact=True)
+    models = model_tables(spark, f"{workdir}/m", buckets=4)
     for b, batch in enumerate(scenario_messages()):
         staging_batch(store)(messages_frame(spark, batch), b)
-        last = merge_once(store, plain)
-        got = merge_once(store, change)
-        assert got["metrics"]["policy"] == last["metrics"]["policy"]
-        merge_once(store, models, mode="models_incremental")
-        merge_once(store, exact, exact=True)
-        for n in NAMES:
-            want = sorted(map(str, plain.read(n).collect()))
-            assert [sorted(map(str, t.read(n).collect())) for t in (change, models, exact)] == [want] * 3
+        if b in (1, 3):     # two merges of two batches each
+            last, got = merge_once(store, plain), merge_once(store, change)
+            assert got["metrics"]["policy"].items() >= last["metrics"]["policy"].items()
+            merge_once(store, models, mode="models_incremental")
+    for n in NAMES:
+        want = sorted(map(str, plain.read(n).collect()))
+        assert [sorted(map(str, t.read(n).collect())) for t in (change, models)] == [want] * 2
     assert json.loads(change.fs.read_text(f"{change._mdir()}/m-{1:020d}.json"))["version"] == 1
+
+
+def test_metrics_are_observed_by_the_write(spark, workdir):
+    spec = EntitySpec("item", ITEM.keys, (*ITEM.leaves, Leaf("merged_at", (), "timestamp_ntz")))
+    tables = ChangeTables(spark, f"{workdir}/t", [spec], buckets=2)
+    lags = []
+    for k, batch in enumerate(batches(spark, 6, n=3)):
+        at = f"2024-01-0{k + 2} 00:00:00"
+        m = tables.append({"item": batch}, run_at=F.lit(at).cast("timestamp_ntz"))
+        seen = m["metrics"]["item"]
+        latest = merge_batch(spark.createDataFrame([], tables._schema("item")), batch.withColumn("merged_at", F.lit(at).cast("timestamp_ntz")),
+                             ITEM.keys, spec.columns)
+        touched = batch.select(*ITEM.keys).distinct().count()
+        assert (seen["rows_merged"], seen["keys_touched"]) == (latest.count(), touched)
+        assert seen["max_seq"] == batch.agg(F.max("seq")).collect()[0][0]
+        assert {str(r[0]) for r in tables.read("item").filter(f"merged_at = '{at}'").select("merged_at").collect()} <= {at}
+        lags.append(touched)
+    got = tables.lag().collect()
+    assert [(r.entity, r.n_rows) for r in got] == [("item", sum(lags))] and 86_300_000 < got[0].p50_ms < 3 * 86_400_000
+    # an empty slice has metrics too, and adds no file
+    empty = tables.append({"item": batch.limit(0)})
+    assert empty["metrics"]["item"].get("rows_merged", 0) == 0 and empty["tables"] == m["tables"]
+
+
+def test_clock_columns(spark):
+    from changeflow.functions.time import elapsed_ms, run_time
+    at = F.lit("2024-01-02 00:00:01.5").cast("timestamp_ntz")
+    r = spark.range(3).select(elapsed_ms(F.lit("2024-01-02").cast("timestamp_ntz"), at).alias("ms"), run_time().alias("now"),
+                              elapsed_ms(run_time()).alias("none")).collect()
+    assert [x.ms for x in r] == [1500] * 3 and len({x.now for x in r}) == 1 and {x.none for x in r} == {0}
+    import datetime
+    assert abs((r[0].now - datetime.datetime.now(datetime.UTC).replace(tzinfo=None)).total_seconds()) < 60
+
+
+def test_a_burst_gives_one_version(spark, workdir):
+    from changeflow.streaming.jobs import merge_batch_handler, settled_batch, start_merge
+    store = StagingStore(spark, f"{workdir}/stg")
+    tables = ChangeTables(spark, f"{workdir}/out", buckets=2)
+    handler, messages = staging_batch(store), scenario_messages()
+    # a clock of its own: every look at it finds another batch, until the burst is over
+    now, left = [0.0], list(enumerate(messages))
+
+    def sleep(sec):
+        now[0] += sec
+        if left:
+            b, batch = left.pop(0)
+            handler(messages_frame(spark, batch), b)
+
+    assert settled_batch(store, 0.25, 100, clock=lambda: now[0], sleep=sleep) == 3
+    handle = merge_batch_handler(store, tables, quiet_sec=0.2)
+    handle(spark.createDataFrame([(0, 0)], "batch_id long, n_messages long"), 0)
+    assert tables.versions()[0] == 1 and tables.manifest()["progress"]["staging_batch"] == 3
+    assert handle.last["metrics"]["tables_seen"] == ["policy", "coverage", "vehicle", "driver", "claim"]
+    versions = tables.versions()
+    handle(spark.createDataFrame([(3, 0)], "batch_id long, n_messages long"), 1)      # a marker of the same burst
+    assert tables.versions() == versions and handle.last["metrics"]["tables_seen"] == []
+    # a burst without end is merged after the upper bound
+    now[0] = 0
+    assert settled_batch(store, 50, 3, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s)) == 3 and 3 <= now[0] < 4
+    other = ChangeTables(spark, f"{workdir}/other", buckets=2)
+    start_merge(store, other, f"{workdir}/ck", trigger={"availableNow": True}, quiet_sec=0.2, max_batches=1).awaitTermination()
+    assert other.manifest()["progress"]["staging_batch"] == 3
+    assert len({v for v in other.versions() if other.manifest(v)["progress"] != (other.manifest(v - 1)["progress"] if v > 1 else None)}) == 1

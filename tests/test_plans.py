@@ -63,3 +63,25 @@ def test_history_is_dealt_by_slices(spark, workdir):
     stg = _staging(spark, workdir).read("coverage")
     p = plan(history(stg, COVERAGE.keys)).lower()
     assert "hashpartitioning(_slice" in p and "rangepartitioning" not in p
+
+
+def test_direct_job_parses_a_document_once(spark, workdir, monkeypatch):
+    """All jobs of a direct batch but the one that fills the cache read parsed images."""
+    from changeflow.sinks import TableSet
+    from changeflow.streaming.jobs import direct_batch
+    tables, plans = TableSet(spark, f"{workdir}/t", buckets=2), []
+    commit = tables.commit
+
+    def spy(updates, **kw):
+        for name, (rows, merge) in updates.items():
+            plans.extend([plan(rows), plan(merge(tables.read_buckets(name, [0, 1], tables.manifest())))])
+        return commit(updates, **kw)
+
+    monkeypatch.setattr(tables, "commit", spy)
+    direct_batch(tables)(messages_frame(spark, scenario_messages()[0]), 0)
+    assert len(plans) == 10
+    for p in plans:
+        # what is above the cached relation; below it is the one plan that parses
+        assert "InMemoryTableScan" in p
+        above = p.split("InMemoryRelation")[0]
+        assert "from_json" not in above and "try_parse_json" not in above and "parse_json" not in above
