@@ -4,6 +4,7 @@ checkpoint folder (read from the session, set only where it is unset)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -36,10 +37,12 @@ def get_spark(app: str = "changeflow", master: str | None = None,
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is always used. Only
-    when it is unset (local tests) a folder is created and registered.
+    On a cluster this setting names shared storage and must be there. Only
+    in a local session without it (tests) a folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not fallback and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = fallback or tempfile.mkdtemp(prefix="changeflow-ckpt-")
         os.makedirs(d, exist_ok=True) if "://" not in d else None

@@ -23,6 +23,8 @@ renamed (atomic on POSIX and HDFS; on object stores use a conditional put).
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -222,35 +224,47 @@ class TableSet:
         return path, bks, written
 
     def commit(self, updates: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
-               progress: dict | None = None, metrics: dict | None = None, all_buckets: bool = False) -> dict:
+               progress: dict | None = None, metrics: dict | None = None, all_buckets: bool = False,
+               applied: Callable[[dict], bool] | None = None, tries: int = 6) -> dict:
         """Merge and publish one version.
 
         ``updates``: ``{entity: (touched_keys, merge)}`` where ``merge`` maps the
         current rows of the touched buckets to their new rows. Only those buckets
         are read and rewritten; the tables are written concurrently (one Spark
         job each), then one manifest publishes all of them. Returns it.
+
+        If another writer publishes first, the commit goes on from its version: tables whose
+        touched buckets it left alone keep what is written, the others are merged again.
+        ``applied(manifest)`` tells whether that version has these changes already; then
+        it is returned as it is.
         """
-        m = self.manifest()
-        version = m["version"] + 1
-        tables = {n: dict(v) for n, v in m["tables"].items()}
         if all_buckets:
             bks = {n: list(range(self.buckets)) for n in updates}
         else:
             bks = self.touched_buckets_all({n: (k, self.specs[n].id_column) for n, (k, _) in updates.items()})
-        todo = [(n, merge) for n, (_, merge) in updates.items() if bks.get(n)]
-        if todo:
-            with ThreadPoolExecutor(max_workers=len(todo)) as pool:
-                futures = {n: pool.submit(self._write, n, merge, bks[n], m, version) for n, merge in todo}
-                results = {n: f.result() for n, f in futures.items()}
-            for name, (path, buckets, written) in results.items():
+        todo = {n: merge for n, (_, merge) in updates.items() if bks.get(n)}
+        results: dict[str, tuple] = {}
+        for attempt in range(tries):
+            m = self.manifest()
+            if attempt and applied and applied(m):
+                return m
+            version, tables = m["version"] + 1, {n: dict(v) for n, v in m["tables"].items()}
+            read = {n: [tables.get(n, {}).get(str(b)) for b in bks[n]] for n in todo}
+            again = [n for n in todo if n not in results or results[n][0] != read[n]]
+            if again:
+                with ThreadPoolExecutor(max_workers=len(again)) as pool:
+                    futures = {n: pool.submit(self._write, n, todo[n], bks[n], m, version) for n in again}
+                    results |= {n: (read[n], *f.result()) for n, f in futures.items()}
+            for name, (_, path, buckets, written) in results.items():
                 entry = tables.setdefault(name, {})
                 for b in buckets:
                     if str(b) in written:
                         entry[str(b)] = f"{path}/_bucket={b}"
                     else:
                         entry.pop(str(b), None)
-        new_m = {"version": version, "tables": tables, "buckets": self.buckets,
-                 "progress": {**m.get("progress", {}), **(progress or {})}, "metrics": metrics or {}}
-        if not self._publish(new_m):
-            raise RuntimeError(f"version {version} was published concurrently")
-        return new_m
+            new_m = {"version": version, "tables": tables, "buckets": self.buckets,
+                     "progress": {**m.get("progress", {}), **(progress or {})}, "metrics": metrics or {}}
+            if self._publish(new_m):
+                return new_m
+            time.sleep(random.random() * min(0.05 * 2 ** attempt, 5))
+        raise RuntimeError(f"{tries} times another writer published first")

@@ -99,3 +99,46 @@ def test_direct_batch_keeps_rejects(spark, workdir):
     got = sorted((r["seq"], r["reason"]) for r in spark.read.parquet(f"{tables.root}/rejects").collect())
     assert got == [(1, "unparsable_or_no_op"), (2, "unknown_op"), (3, "driver:null_key")]
     assert [r["policy_id"] for r in tables.read("policy").collect()] == [2]
+
+
+def test_commit_goes_on_from_a_newer_version(spark, workdir):
+    """Another commit comes first: untouched buckets keep what was written, touched ones are merged again."""
+    from changeflow.schemas import EntitySpec, Leaf
+    spec = EntitySpec("item", ("policy_id",), (Leaf("amount", (), "int"),))
+    own, other = (TableSet(spark, f"{workdir}/t", [spec], buckets=4) for _ in range(2))
+
+    def add(ts, rows, **kw):
+        df = spark.createDataFrame(rows, "policy_id long, amount int")
+        merged = []
+
+        def merge(cur):
+            merged.append(1)
+            return cur.join(df.select("policy_id"), "policy_id", "left_anti").unionByName(df)
+
+        m = ts.commit({"item": (df, merge)}, **kw)
+        return m, len(merged)
+
+    add(own, [(k, 0) for k in range(20)])
+    publish = own._publish
+    near, far = 1, next(k for k in range(2, 20) if own.touched_buckets(spark.createDataFrame([(k,)], "policy_id long"))
+                        != own.touched_buckets(spark.createDataFrame([(1,)], "policy_id long")))
+    for other_key, merges in ((far, 1), (near, 2)):
+        def overtaken(m, key=other_key):
+            own._publish = publish
+            add(other, [(key, 5)], progress={"other": key})
+            return publish(m)
+
+        own._publish = overtaken
+        m, n = add(own, [(near, 7), (100 + other_key, 7)] if other_key == near else [(near, 7)], progress={"own": other_key})
+        assert n == merges and m["progress"] == {"own": other_key, "other": other_key}
+        got = {r.policy_id: r.amount for r in own.read("item").collect()}
+        assert got[near] == 7 and got[far] == 5
+    own._publish = lambda m: False
+    m, _ = add(own, [(near, 9)], applied=lambda m: m["progress"].get("own") == near)
+    assert m["version"] == own.versions()[-1]
+    try:
+        add(own, [(near, 9)], tries=2)
+    except RuntimeError:
+        pass
+    else:
+        raise AssertionError("a commit that can't publish must fail")
