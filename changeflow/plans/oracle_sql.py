@@ -242,6 +242,11 @@ ORACLE: dict[str, str] = {
                  FROM seen t JOIN seen a ON t.policy_id = a.policy_id AND t.k = a.k AND t.run = a.run WHERE t.rt = 1 AND a.ra = 1),
         fin AS (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY run DESC) AS rn FROM says WHERE does IS NOT NULL)
         SELECT policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value FROM fin WHERE rn = 1 AND does = 'u'""",
+    "unnamed_paths": """SELECT * FROM (
+        SELECT '$.channel' AS path, 'string' AS kind, count(*) AS n FROM customer WHERE c_custkey % 3 = 0
+        UNION ALL SELECT '$.risk.score', 'number', count(*) FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT '$.risk.high', 'boolean', count(*) FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT '$.tags[*]', 'string', 2 * count(*) FROM customer WHERE c_custkey % 5 = 0) WHERE n > 0""",
     "merge_lag": f"""WITH {L}, N AS (SELECT max(seq) + 1 AS n FROM L), S AS (SELECT L.*, seq * 6 // n AS s FROM L, N),
         T AS (SELECT *, max(s) OVER (PARTITION BY policy_id, k) AS last_s, max(arrival_time) OVER (PARTITION BY s) AS merged_at FROM S),
         R AS (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY event_time DESC, seq DESC) AS rn FROM T WHERE s = last_s),

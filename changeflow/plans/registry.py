@@ -565,6 +565,19 @@ def q_direct_stream(spark, d):
     return tables.read("coverage")
 
 
+def q_unnamed_paths(spark, d):
+    """Documents of which some have begun to carry fields that no entity names."""
+    from changeflow.operators.drift import unnamed_paths
+    key = F.col("id")
+    extra = F.to_json(F.struct(
+        F.when(key % 3 == 0, F.lit("web")).alias("channel"),
+        F.when(key % 4 == 0, F.struct((key * 2).alias("score"), (key % 8 == 0).alias("high"))).alias("risk"),
+        F.when(key % 5 == 0, F.array(F.lit("a"), F.lit("b"))).alias("tags")))
+    docs = customer_documents(spark, d).withColumn("data", F.when((key % 3 == 0) | (key % 4 == 0) | (key % 5 == 0),
+                                                                  json_patch("data", extra)).otherwise(F.col("data")))
+    return unnamed_paths(docs)
+
+
 def q_merge_lag(spark, d):
     """Six commits, each at the time of its last arrival; lag from event to merge of the rows
     that the table has in the end, by the time stored with them."""
