@@ -49,10 +49,9 @@ def timeline_changes(stored: DataFrame, events: DataFrame, spec: EntitySpec) ->
 
 def add_to_timeline(tables, spec: EntitySpec, events: DataFrame, progress: dict | None = None, applied=None) -> dict:
     """Merge a batch of events into the timeline in ``tables`` (ChangeTables with
-    :func:`timeline_spec`); only the buckets of touched keys are read."""
+    :func:`timeline_spec`); only what can hold touched keys is read."""
     line, m = timeline_spec(spec), tables.manifest()
-    buckets = tables.touched_buckets(events, spec.id_column)
-    rows = timeline_changes(tables.read_buckets(line.name, buckets, m), events, spec)
+    rows = timeline_changes(tables.read_keys(line.name, events, m), events, spec)
     out = tables.append({line.name: rows}, progress=progress, order=None, applied=applied)
     tables.fold()
     return out

@@ -242,6 +242,10 @@ ORACLE: dict[str, str] = {
                  FROM seen t JOIN seen a ON t.policy_id = a.policy_id AND t.k = a.k AND t.run = a.run WHERE t.rt = 1 AND a.ra = 1),
         fin AS (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY run DESC) AS rn FROM says WHERE does IS NOT NULL)
         SELECT policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value FROM fin WHERE rn = 1 AND does = 'u'""",
+    "debounced_merge": f"""WITH {L}
+        SELECT policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value, CAST(1 AS BIGINT) AS n_merges
+        FROM (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY event_time DESC, seq DESC) AS rn FROM L)
+        WHERE rn = 1 AND op <> 'd'""",
     "unnamed_paths": """SELECT * FROM (
         SELECT '$.channel' AS path, 'string' AS kind, count(*) AS n FROM customer WHERE c_custkey % 3 = 0
         UNION ALL SELECT '$.risk.score', 'number', count(*) FROM customer WHERE c_custkey % 4 = 0

@@ -565,6 +565,27 @@ def q_direct_stream(spark, d):
     return tables.read("coverage")
 
 
+def q_debounced_merge(spark, d):
+    """A burst of five staging batches, merged by a running job once it has settled; ``n_merges``
+    is the number of merges that this took."""
+    from changeflow.sinks import ChangeTables, StagingStore
+    from changeflow.streaming.jobs import start_merge
+    root = _scratch(spark, "burst")
+    log, n = _log_rows(spark, d)
+    store, tables = StagingStore(spark, f"{root}/stg", [LOG]), ChangeTables(spark, f"{root}/out", [LOG], buckets=8)
+    for b in range(5):
+        store.append("log", log.filter(F.floor(F.col("seq") * 5 / F.lit(n)) == b), b)
+        store.mark(b)
+    job = start_merge(store, tables, f"{root}/ck", trigger={"processingTime": "200 milliseconds"}, quiet_sec=0.3, max_batches=2)
+    try:
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    merges = {tables.manifest(v)["progress"]["staging_batch"] for v in tables.versions()}
+    return tables.read("log").select("policy_id", "k", "event_type", "event_id", "source_event_time", "value",
+                                     F.lit(len(merges)).cast("long").alias("n_merges"))
+
+
 def q_unnamed_paths(spark, d):
     """Documents of which some have begun to carry fields that no entity names."""
     from changeflow.operators.drift import unnamed_paths

@@ -80,6 +80,23 @@ def test_bytes_written_go_by_the_change(spark, workdir):
     assert sizes[100] == pytest.approx(sizes[50_000], abs=64)
 
 
+def test_few_keys_reach_the_scan(spark, workdir):
+    """A lookup of few keys reads their buckets' files only, with the ids as a pushed filter."""
+    from tests.test_plans import plan
+    tables = ChangeTables(spark, f"{workdir}/t", [ITEM], buckets=8)
+    events = spark.range(4000).select(F.col("id").alias("policy_id"), F.lit("a").alias("code"), F.col("id").cast("int").alias("amount"),
+                                      F.lit("c").alias("op"), F.lit("2024-01-01").cast("timestamp_ntz").alias("event_time"),
+                                      F.col("id").alias("seq"), F.lit(1).alias("pos"), F.lit(1).alias("pos2"))
+    tables.append({"item": events})
+    m = tables.fold(everything=True)
+    few = tables.read_keys("item", events.filter("policy_id in (7, 2500)"), m)
+    assert rows_of(few) == [(7, "a", 7), (2500, "a", 2500)] and len(few.inputFiles()) <= 2
+    assert "PushedFilters: [In(policy_id" in plan(few) or "PushedFilters: [Or(EqualTo(policy_id" in plan(few)
+    many = tables.read_keys("item", events.filter("policy_id < 300"), m, most=10)
+    assert {(k, "a", k) for k in range(300)} <= set(rows_of(many))
+    assert tables.read_keys("item", events.limit(0), m).count() == 0
+
+
 def test_concurrent_writers_all_get_in(spark, workdir):
     """A commit that another overtakes adds itself to the newer version; a fold keeps what came after it."""
     tables = ChangeTables(spark, f"{workdir}/t", [ITEM], buckets=2)
