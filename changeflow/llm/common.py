@@ -14,6 +14,9 @@ from changeflow.session import checkpoint_dir
 from changeflow.sinks.tables import HadoopFS
 
 
+MOST_BUCKETS = 100_000      # Spark's own bound for a table
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application (``addPyFile``)."""
     sc = spark.sparkContext
@@ -53,11 +56,24 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, scratch_path(spark, name)
+        self.tables: list[str] = []
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
         return _written(df, f"{self.root}/{name}-{uuid.uuid4().hex}")
 
+    def bucketed(self, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        """As ``saved``, but bucketed by ``keys``, as many buckets as the session has shuffle
+        partitions: a join or aggregate by ``keys`` doesn't shuffle the table again."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        buckets = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{table}").bucketBy(
+            buckets, *keys).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def drop(self) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         HadoopFS(self.spark, self.root).delete(self.root)
 
 

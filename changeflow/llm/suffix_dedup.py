@@ -4,7 +4,9 @@ A string of WIDTH bytes is removed where it also starts earlier: in a document w
 a smaller doc_id, or earlier in the same one. No index could hold the corpus, so its
 windows (all strings of WIDTH bytes) are dealt by content:
 
-1. Exact copies of a text are found by hash; only the first is looked into.
+1. Exact copies of a text are found by hash; only the first is looked into. These first
+   texts are shuffled once, into a table bucketed by document, and each later join with
+   them moves only segments.
 2. Each window belongs to its smallest 24-byte gram (by hash, the first of equals).
    Neighbouring windows of one gram are a segment. Equal windows have equal grams,
    so they meet in segments of the same gram.
@@ -43,6 +45,7 @@ COMBINED = 1 << 19          # segments that a task combines together
 INDEX_BYTES = 1 << 21
 MOST_VARIANTS = 1 << 15
 LAST_ID = (1 << 63) - 1     # stands for a null doc_id
+TEXT = ["doc", "text_key"]
 PLACE_BITS = np.uint64(21)
 _random = np.random.default_rng(100)
 BYTE_CODES = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -100,6 +103,20 @@ def segments(buffer: bytes, sizes: list[int]) -> tuple[np.ndarray, ...]:
     return start, n, gram[at[new]], content
 
 
+def joined_runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows, in order, with those that touch or overlap joined."""
+    if not len(doc):
+        return doc, key, start, n
+    end = start + n
+    text = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+    # places of different texts don't meet if each text begins after all of the one before
+    shift = text * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(end + shift)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] + shift[1:] > reach[:-1]]))
+    last = np.append(new[1:], len(doc)) - 1
+    return doc[new], key[new], start[new], reach[last] - shift[last] - start[new]
+
+
 def found_segments(docs: DataFrame) -> DataFrame:
     """Segments of ``docs`` (doc, text_key, text as bytes); ``dup`` marks those that
     have an earlier equal in the same task."""
@@ -122,10 +139,15 @@ def found_segments(docs: DataFrame) -> DataFrame:
             first = rest[np.maximum.accumulate(np.where(group, np.arange(len(rest)), 0))]
             dup = np.zeros(len(order), bool)
             dup[rest] = (doc[rest] != doc[first]) | (key[rest] != key[first]) | (start[rest] != start[first])
-            gram[dup] = content[dup] = 0        # of no further use
+            later = np.flatnonzero(dup)
+            later = later[np.lexsort((start[later], key[later], doc[later]))]
+            runs = joined_runs(doc[later], key[later], start[later], n[later])
+            kept, none = ~dup, np.zeros(len(runs[0]), np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(dup), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc),
-                 pa.array(key), pa.array(start), pa.array(n.astype(np.int32))], schema=SEGMENT)
+                [pa.array(np.arange(kept.sum() + len(none)) >= kept.sum()),
+                 *(pa.array(np.concatenate([a, b]), t) for a, b, t in zip(
+                     (gram[kept].view(np.int64), content[kept].view(np.int64), doc[kept], key[kept], start[kept], n[kept]),
+                     (none, none, *runs), SEGMENT.types[1:]))], schema=SEGMENT)
 
         def look(parts: list[tuple[int, int, int, bytes]]) -> None:
             nonlocal n_held
@@ -211,7 +233,7 @@ def marked_segments(found: DataFrame) -> DataFrame:
 
 
 def variant_bytes(marked: DataFrame) -> DataFrame:
-    """(gram, doc, text_key, start, n, bytes) of the ``variants`` in ``marked``."""
+    """(gram, doc, text_key, start, n, bytes) of the ``variants`` of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, key, text, variants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
@@ -342,25 +364,20 @@ def dedup_passages(docs: DataFrame, with_text: bool = False, keep: tuple[str, ..
         F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select(*keys, "first"), "copies")
     later = common.saved(
         base.select("doc", *keys).join(copies, keys).filter("doc > first").select("doc", *keys).distinct(), "later-copies")
-    firsts = base.filter(F.octet_length("text") >= WIDTH).join(later, ["doc", *keys], "left_anti").select(
-        "doc", "text_key", F.encode("text", "UTF-8").alias("text"))
-    firsts = early.saved(firsts, "texts")
-
-    segs = early.saved(marked_segments(found_segments(firsts)), "segments")
-    per_text = segs.groupBy("doc", "text_key").agg(
-        F.collect_list(F.when(F.col("dup"), F.struct("start", "n"))).alias("dups"),
-        F.collect_list(F.when(~F.col("dup"), F.struct("gram", "start", "n"))).alias("variants"))
-    marked = late.saved(firsts.join(per_text, ["doc", "text_key"]).dropDuplicates(["doc", "text_key"]), "marked")
-    early.drop()
+    # equal rows are one before the shuffle, and no later one moves the texts
+    texts = base.filter(F.octet_length("text") >= WIDTH).select("doc", "text_key", F.encode("text", "UTF-8").alias("text"))
+    texts = late.bucketed(texts.dropDuplicates(TEXT).join(later.select(*TEXT), TEXT, "left_anti"), "texts", TEXT)
 
-    variants = late.saved(variant_bytes(marked), "variants")
+    segs = late.saved(marked_segments(found_segments(texts)), "segments")
+    early.drop()
+    in_text = segs.filter("not dup").groupBy(*TEXT).agg(F.collect_list(F.struct("gram", "start", "n")).alias("variants"))
+    variants = late.saved(variant_bytes(texts.join(in_text, TEXT)), "variants")
     crowded = variants.groupBy("gram").count().filter(F.col("count") > MOST_VARIANTS).select("gram", F.lit(True).alias("crowded"))
     variants = variants.join(late.saved(crowded, "crowded"), "gram", "left")
     runs = indexed(variants.filter("crowded is null")).unionByName(by_window(variants.filter("crowded")))
-    runs = runs.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("more"))
-    marked = marked.select("doc", "text_key", "text", "dups").join(runs, ["doc", "text_key"], "left").select(
-        "doc", "text_key", "text", F.concat("dups", F.coalesce("more", F.array().cast("array<struct<start:long,n:int>>"))).alias("runs"))
-    done = common.saved(results(marked.filter("size(runs) > 0"), with_text), "results")
+    runs = runs.unionByName(segs.filter("dup").select(*TEXT, "start", "n"))
+    runs = runs.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    done = common.saved(results(texts.join(runs, TEXT), with_text), "results")
     late.drop()
 
     # no text is both looked into and a later copy
