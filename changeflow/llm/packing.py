@@ -1,14 +1,16 @@
 """Sum-of-squares packing of documents into windows of a fixed number of tokens.
 
-Each task packs the documents of its partition in one pass, so nothing is
-shuffled and no key can be hot. ``n[h]`` is the number of open windows filled to
+Each task packs the documents of its partition in one pass, and hands the windows
+that are open at its end on: a tree of tasks, FAN to one, packs their pieces on,
+the longest first, until one task is left. What a task hands on is ``max_open``
+windows at most, however much it read, and no key can be hot. ``n[h]`` is the number of open windows filled to
 level ``h``. An item of ``s`` tokens goes to the level (0 opens a window) where
 the sum of the squared counts of partially filled windows gets smallest, which
 keeps the levels even, so that later items find a window they fill exactly.
 Documents longer than a window give whole windows and one item for the rest.
 
-What is open at the end of a partition, and whatever exceeds ``max_open`` before,
-is cut anew into full windows; a partition pads its last window only.
+Only what is open at the root of the tree, and whatever exceeds ``max_open`` before,
+is cut anew into full windows; one window in all is padded.
 
 Defined results: a null or empty text has the closing id only; null ids are kept
 as they are; repeated rows are packed one by one; an empty table gives no row;
@@ -22,10 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from changeflow.llm import bpe, common
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+FAN = 16                    # tasks whose open windows one task goes on with
+ROUND_BITS, TASK_BITS = 54, 30      # of a sequence's number: round, task, count
 Piece = tuple  # (doc_id, start, packed ids, doc_tokens)
 
 
@@ -95,46 +100,98 @@ class SumOfSquares:
         return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
-                   max_open: int = 4096) -> DataFrame:
-    """One row per piece: its document, place in the document, packed ids
-    (little-endian 32-bit), and place in a sequence."""
-    common.ship(docs.sparkSession)
+def numbered(windows: list[list[Piece]], first: int) -> Iterator[tuple]:
+    """The rows of full windows, numbered from ``first``."""
+    for k, window in enumerate(windows):
+        offset = 0
+        for doc_id, start, ids, total in window:
+            yield doc_id, start, len(ids) // 4, ids, total, first + k, offset, None
+            offset += len(ids) // 4
+
 
+def handed_on(packer: SumOfSquares, task: int) -> Iterator[tuple]:
+    """The pieces of open windows: no sequence yet, but the task they come from."""
+    for level in packer.at:
+        for window in level:
+            for doc_id, start, ids, total in window:
+                yield doc_id, start, len(ids) // 4, ids, total, None, None, task
+
+
+def pack_partitions(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, max_open: int) -> DataFrame:
+    """Pieces of the windows that each task fills, and those it hands on (``task``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder, end = bpe.load(tokenizer), np.array([end_id], "<u4").tobytes()
-        packer, number = SumOfSquares(capacity, max_open), TaskContext.get().partitionId() << 32
-
-        def rows(windows: list[list[Piece]]) -> Iterator[tuple]:
-            nonlocal number
-            for window in windows:
-                offset = 0
-                for doc_id, start, ids, total in window:
-                    yield doc_id, start, len(ids) // 4, ids, total, number, offset
-                    offset += len(ids) // 4
-                number += 1
-
-        def items() -> Iterator[tuple]:
-            full = 4 * capacity
+        task = TaskContext.get().partitionId()
+        packer = SumOfSquares(capacity, max_open)
+
+        def rows() -> Iterator[tuple]:
+            full, number = 4 * capacity, task << TASK_BITS
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids = coder.encode(text.as_py()) + end
                     total, cut = len(ids) // 4, len(ids) - len(ids) % full
-                    for k in range(0, cut, full):
-                        yield from rows([[(doc_id, k // 4, ids[k:k + full], total)]])
+                    done = [[(doc_id, k // 4, ids[k:k + full], total)] for k in range(0, cut, full)]
                     if cut < len(ids):
-                        yield from rows(packer.add((doc_id, cut // 4, ids[cut:], total)))
-            yield from rows(packer.close())
+                        done += packer.add((doc_id, cut // 4, ids[cut:], total))
+                    yield from numbered(done, number)
+                    number += len(done)
+            yield from handed_on(packer, task)
+
+        yield from batched(rows(), PACKED_ARROW)
+
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+
 
-        yield from batched(items(), SCHEMA_ARROW)
+def pack_handed_on(pieces: DataFrame, turn: int, root: bool, capacity: int, max_open: int) -> DataFrame:
+    """One level of the tree: the pieces of FAN tasks go on in one, the longest first;
+    the root cuts what stays open."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            node, packer, number = None, SumOfSquares(capacity, max_open), 0
+
+            def end() -> Iterator[tuple]:
+                if root:
+                    yield from numbered(packer.close(), number)
+                elif node is not None:
+                    yield from handed_on(packer, node)
+
+            for batch in batches:
+                for doc_id, start, ids, total, task in zip(*(c.to_pylist() for c in batch.columns)):
+                    if task != node:
+                        yield from end()
+                        node, packer, number = task, SumOfSquares(capacity, max_open), turn << ROUND_BITS | task << TASK_BITS
+                    done = packer.add((doc_id, start, ids, total))
+                    yield from numbered(done, number)
+                    number += len(done)
+            yield from end()
+
+        yield from batched(rows(), PACKED_ARROW)
+
+    dealt = pieces.select("doc_id", "start", "ids", "doc_tokens", F.expr(f"task div {FAN}").alias("task"))
+    return dealt.repartition("task").sortWithinPartitions("task", F.length("ids").desc(), "doc_id", "start", "ids").mapInArrow(run, PACKED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
+                   max_open: int = 4096) -> DataFrame:
+    """One row per piece: its document, place in the document, packed ids
+    (little-endian 32-bit), and place in a sequence."""
+    common.ship(docs.sparkSession)
+    made = common.saved(pack_partitions(docs, tokenizer, capacity, end_id, max_open), "packed")
+    packed, turn = made.filter("task is null"), 0
+    while True:
+        most = made.agg(F.max("task")).first()[0]
+        if most is None:
+            return packed.drop("task")
+        turn += 1
+        made = common.saved(pack_handed_on(made.filter("task is not null"), turn, most < FAN, capacity, max_open), "packed-on")
+        packed = packed.unionByName(made.filter("task is null"))
 
 
 SCHEMA_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                           ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+PACKED, PACKED_ARROW = f"{SCHEMA}, task long", SCHEMA_ARROW.append(pa.field("task", pa.int64()))
 
 
 def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:

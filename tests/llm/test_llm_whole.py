@@ -7,13 +7,14 @@ from random import Random
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
-from changeflow.llm import ppm, sampling
+from changeflow.llm import bpe, packing, ppm, sampling
 from changeflow.llm.queries import QUERIES
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.test_llm_edges import LONG
 
-PIECES = P.path("piece_bpe_32k.model")
+PIECES, BPE = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json")
 
 
 def enumerated(text):
@@ -141,3 +142,50 @@ def test_odd_rows_of_segmentations(spark):
     assert repeated[::2] == repeated[1::2] and all(r.decoded == "a b" for r in got if r.doc_id in (None, 3))
     last = [r for r in got if r.doc_id == 4]
     assert all(r.decoded == LONG and r.inclusion == 0 and r.log_inclusion < -1000 for r in last) and len(last) == 4
+
+
+def packed(docs, **options):
+    rows = packing.pack_documents(docs, BPE, **options).collect()
+    windows = {}
+    for r in rows:
+        windows.setdefault(r.sequence_id, []).append(r)
+    for held in windows.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0 and len(r.ids) == 4 * r.length
+            at += r.length
+    return rows, sorted(sum(r.length for r in held) for held in windows.values())
+
+
+def test_open_windows_go_on_across_tasks(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text")
+    cut = {}
+    for tasks in (1, 7, 40):
+        rows, sizes = packed(docs.repartition(tasks))
+        assert all(n == 1024 for n in sizes[1:])            # one padded window in all
+        by_doc = {}
+        for r in rows:
+            by_doc.setdefault(r.doc_id, []).append(r)
+        assert len(by_doc) == docs.count()
+        for held in by_doc.values():
+            held.sort(key=lambda r: r.start)
+            assert [r.start for r in held] == [sum(x.length for x in held[:k]) for k in range(len(held))]
+            assert sum(r.length for r in held) == held[0].doc_tokens
+        cut[tasks] = sum(len(held) > -(-held[0].doc_tokens // 1024) for held in by_doc.values()) / len(sizes)
+    assert max(cut.values()) < 1.2 * cut[1]                 # the end of a task cuts nothing
+
+
+def test_odd_rows_of_packing(spark):
+    rows = [(1, None), (2, ""), (None, "a b c"), (3, "same text"), (3, "same text"), (None, None), (4, "long " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns(
+        {c: F.lit("clash") for c in ("ids", "task", "start", "sequence_id")})
+    for most in (4096, 1):                                  # 1: nearly all windows are cut anew
+        got, sizes = packed(docs, max_open=most)
+        assert all(n == 1024 for n in sizes[1:])
+        coder = bpe.load(BPE)
+        for doc_id, text in set(rows):
+            want = coder.encode(text) + bytes(4)
+            times = rows.count((doc_id, text))
+            pieces = [r for r in got if r.doc_id == doc_id and r.doc_tokens == len(want) // 4]
+            assert sum(r.length for r in pieces) == times * len(want) // 4
+            assert all(r.ids == want[4 * r.start:4 * (r.start + r.length)] for r in pieces)
