@@ -8,7 +8,9 @@ parsed into a VARIANT so scalars are told apart from nested values by type
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions.casts import cast_leaf
@@ -30,6 +32,22 @@ def json_value(doc: Column | str, path: str, dtype: str = "string",
     return cast_leaf(variant_text(v), dtype, on_error)
 
 
+def json_values(df: DataFrame, doc: Column | str, paths: Mapping[str, str | tuple[str, str]],
+                on_error: str = "null") -> DataFrame:
+    """``df`` with a column per name: ``json_value`` of one document at many paths, each a path
+    or (path, type). The document is parsed once, in a projection of its own, which
+    Spark doesn't merge into the next as this reads it more than once. A name that ``df`` has
+    already is replaced, as by ``withColumns``.
+    """
+    parsed = "_doc"
+    while parsed in df.columns or parsed in paths:
+        parsed += "_"
+    of = {name: (p, "string") if isinstance(p, str) else p for name, p in paths.items()}
+    return df.withColumn(parsed, F.try_parse_json(_col(doc))).withColumns({
+        name: cast_leaf(variant_text(F.try_variant_get(parsed, path, "variant")), dtype, on_error)
+        for name, (path, dtype) in of.items()}).drop(parsed)
+
+
 def json_text(doc: Column | str, key: str) -> Column:
     """``data->>'key'``: the top-level member as text (objects as JSON)."""
     return F.get_json_object(_col(doc), f"$.{key}")

@@ -232,6 +232,11 @@ ORACLE: dict[str, str] = {
         SELECT folded, policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value
         FROM (SELECT *, row_number() OVER (PARTITION BY policy_id, k ORDER BY event_time DESC, seq DESC) AS rn FROM L),
              (VALUES (false), (true)) f(folded) WHERE rn = 1 AND op <> 'd'""",
+    "bucket_growth": f"""WITH {L}, N AS (SELECT max(seq) + 1 AS n FROM L),
+        S AS (SELECT L.*, commits, row_number() OVER (PARTITION BY commits, policy_id, k ORDER BY event_time DESC, seq DESC) AS rn
+              FROM L, N, (VALUES (2), (4)) c(commits) WHERE seq * 4 // n < commits)
+        SELECT commits, policy_id, k, event_type, seq AS event_id, event_time AS source_event_time, value
+        FROM S WHERE rn = 1 AND op <> 'd'""",
     "models_incremental": f"""WITH {L}, N AS (SELECT max(seq) + 1 AS n FROM L),
         S AS (SELECT L.*, seq * 6 // n AS s FROM L, N),
         runs AS (SELECT DISTINCT policy_id, k, s AS run FROM S),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.functions.casts import cast_leaf
-from changeflow.functions.json import json_patch, json_text, json_value, summary_json
+from changeflow.functions.json import json_patch, json_text, json_value, json_values, summary_json
 from changeflow.functions.time import elapsed_ms, epoch_millis, event_time_from_ms
 from changeflow.operators import checks
 from changeflow.operators.filters import drop_deletes, filter_ops, image, since_watermark
@@ -75,16 +75,14 @@ def q_json_value_scalar(spark, d):
 
 
 def q_json_value_paths(spark, d):
-    docs = customer_documents(spark, d)
-    return docs.select(
-        "id",
-        json_value("data", "$.policy_number").alias("policy_number"),
-        json_value("data", "$.policyholder.contact.address.city").alias("city"),
-        json_value("data", "$.coverages[0].type").alias("first_coverage"),
-        json_value("data", "$.coverages[0].limit", "decimal(12,2)").alias("first_limit"),
-        json_value("data", "$.vehicles[0].drivers[0].license_number").alias("first_license"),
-        json_value("data", "$.policyholder").alias("holder_object"),
-        json_text("data", "status").alias("status_text"))
+    docs = customer_documents(spark, d).select("id", "data", json_text("data", "status").alias("status_text"))
+    return json_values(docs, "data", {
+        "policy_number": "$.policy_number",
+        "city": "$.policyholder.contact.address.city",
+        "first_coverage": "$.coverages[0].type",
+        "first_limit": ("$.coverages[0].limit", "decimal(12,2)"),
+        "first_license": "$.vehicles[0].drivers[0].license_number",
+        "holder_object": "$.policyholder"}).drop("data")
 
 
 def q_json_cast_types(spark, d):
@@ -537,6 +535,22 @@ def q_merge_on_read_exact(spark, d):
     return _merged_on_read(spark, d, 8, exact=True)
 
 
+def q_bucket_growth(spark, d):
+    """Four commits; folds split every bucket of more than one id, so that 4 buckets become 32. The rows after the second
+    commit, read before its fold, and after the last, which no fold follows."""
+    from changeflow.sinks import ChangeTables
+    log, n = _log_rows(spark, d)
+    tables = ChangeTables(spark, f"{_scratch(spark, 'growth')}/t", [LOG], buckets=4, exact=True, split_bytes=1)
+    part, version = F.floor(F.col("seq") * 4 / F.lit(n)), {}
+    for k in range(4):
+        tables.append({"log": log.filter(part == k)})
+        version[k + 1] = tables.manifest()["version"]
+        if k < 3:
+            tables.fold(everything=True)
+    cols = ["policy_id", "k", "event_type", "event_id", "source_event_time", "value"]
+    return reduce(DataFrame.unionByName, [tables.read("log", version=version[c]).select(F.lit(c).alias("commits"), *cols) for c in (2, 4)])
+
+
 def q_models_incremental(spark, d):
     """Six model runs, each from its own staging batch and the touched keys' states."""
     from changeflow.sinks import StagingStore

@@ -143,6 +143,131 @@ def test_expiry_keeps_what_is_named(spark, workdir):
     assert tables.read("item").count() == 4 and tables.expire(keep_versions=1, older_than_sec=-5) == []
 
 
+PARENT = EntitySpec("parent", ("policy_id",), (Leaf("amount", (), "int"),))
+
+
+def many(spark, lo, hi, seq, op="c", code="a"):
+    return spark.range(lo, hi).select(
+        F.col("id").alias("policy_id"), F.lit(code).alias("code"), (F.col("id") + seq).cast("int").alias("amount"), F.lit(op).alias("op"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("event_time"), F.lit(seq).cast("long").alias("seq"), F.lit(1).alias("pos"), F.lit(1).alias("pos2"))
+
+
+def buckets_of(m, name):
+    return {b: e["path"] for b, e in m["tables"][name]["base"].items() if "path" in e}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_buckets_grow(spark, workdir, exact):
+    """Two buckets become many over folds; every version reads as the plain merge does."""
+    tables = ChangeTables(spark, f"{workdir}/t", [ITEM, PARENT], buckets=2, exact=exact, split_bytes=4000, fold_commits=2)
+    cols = tables.stored_columns("item")
+    state, seen, grown = spark.createDataFrame([], tables._schema("item")), {}, []
+    for k in range(4):
+        batch = many(spark, 100 * k, 100 * k + 300, k, "c" if k % 2 else "u").unionByName(many(spark, 50 * k, 50 * k + 20, k, "d"))
+        state = spark.createDataFrame(merge_batch(state, batch, ITEM.keys, cols, exact=exact).collect(), state.schema)
+        want = rows_of(drop_deletes(state) if exact else state)
+        tables.append({"item": batch, "parent": batch.drop("code")})
+        m = tables.manifest()
+        seen[m["version"]] = want
+        assert rows_of(tables.read("item")) == want
+        after = tables.fold(everything=k % 2 == 0)
+        seen[after["version"]] = want
+        assert rows_of(tables.read("item")) == want
+        grown.append(len(buckets_of(after, "item")))
+        leaves = [leaf for b in "01" for leaf in tables._within(b, after)]
+        for name in ("item", "parent"):     # parent and children by the same buckets, each row in its own
+            assert buckets_of(after, name).keys() <= set(leaves)
+            for b, path in buckets_of(after, name).items():
+                assert tables.touched_buckets(spark.read.parquet(path), m=after) == [b]
+    assert grown == sorted(grown) and grown[-1] >= 8
+    for v, want in seen.items():
+        assert rows_of(tables.read("item", version=v)) == want
+    keys = tables.read_keys("item", many(spark, 340, 342, 0), tables.manifest())
+    assert {r for r in rows_of(drop_deletes(keys) if exact else keys) if r[0] in (340, 341)} == {r for r in want if r[0] in (340, 341)}
+    again = ChangeTables(spark, f"{workdir}/t", [ITEM, PARENT], buckets=2, exact=exact)     # any reader follows the manifest
+    assert rows_of(again.read("item")) == want
+    tables.fold(everything=True)
+    tables.expire(keep_versions=1, older_than_sec=-5)
+    assert rows_of(tables.read("item")) == want
+
+
+def test_a_split_leaves_the_other_buckets(spark, workdir):
+    tables = ChangeTables(spark, f"{workdir}/t", [ITEM], buckets=4)
+    tables.append({"item": many(spark, 0, 400, 1)})
+    m = tables.fold()
+    before = buckets_of(m, "item")
+    target = tables.touched_buckets(many(spark, 7, 8, 0), m=m)[0]
+    near = many(spark, 1000, 9000, 2).filter(tables.bucket_column("policy_id", m) == target)
+    tables.append({"item": near})
+    tables.split_bytes = max(e["bytes"] for e in m["tables"]["item"]["base"].values()) + 1000
+    after = buckets_of(tables.fold(), "item")
+    assert target not in after and {b: p for b, p in after.items() if "." not in b} == {b: p for b, p in before.items() if b != target}
+    assert set(after) - set(before) == set(tables._halves(target))
+    assert tables.read("item").count() == 400 + near.count()
+    read = tables.read_keys("item", many(spark, 7, 8, 0), tables.manifest())
+    assert len(read.inputFiles()) == 1 and rows_of(read) == [(7, "a", 8)]
+
+
+def test_one_hot_id_is_not_split(spark, workdir):
+    tables = ChangeTables(spark, f"{workdir}/t", [ITEM], buckets=1, split_bytes=1)
+    hot = spark.range(3000).select(F.lit(5).cast("long").alias("policy_id"), F.concat(F.lit("c"), "id").alias("code"), F.col("id").cast("int").alias("amount"),
+                                   F.lit("c").alias("op"), F.lit("2024-01-01").cast("timestamp_ntz").alias("event_time"), F.col("id").alias("seq"),
+                                   F.lit(1).alias("pos"), F.lit(1).alias("pos2"))
+    tables.append({"item": hot.unionByName(many(spark, 6, 8, 1))})
+    for _ in range(70):
+        v = tables.manifest()["version"]
+        if tables.fold()["version"] == v:
+            break
+    m = tables.manifest()
+    assert tables.too_large() == [] and m["version"] < 60
+    assert len(buckets_of(m, "item")) == 3      # one id each
+    assert tables.read("item").count() == 3002 and tables.read_keys("item", hot.limit(1), m).count() == 3000
+    # an empty table and null ids have nothing to split
+    empty = ChangeTables(spark, f"{workdir}/e", [ITEM], buckets=1, split_bytes=1)
+    assert empty.too_large() == [] and empty.fold()["version"] == 0
+    empty.append({"item": many(spark, 0, 2, 1).withColumn("policy_id", F.lit(None).cast("long")).withColumn("code", F.col("amount").cast("string"))})
+    empty.fold()
+    assert empty.too_large() == [] and empty.read("item").count() == 2
+
+
+def test_commits_from_before_a_split_are_read_for_both_halves(spark, workdir):
+    """A commit that a split overtakes keeps its files; folding one half leaves them live for the other."""
+    tables = ChangeTables(spark, f"{workdir}/t", [ITEM], buckets=1, split_bytes=1)
+    other = ChangeTables(spark, f"{workdir}/t", [ITEM], buckets=1, split_bytes=1)
+    tables.append({"item": many(spark, 0, 40, 1)})
+    publish, met = tables._publish, []
+
+    def overtaken(m):
+        if not met:
+            met.append(other.fold())
+        return publish(m)
+
+    tables._publish = overtaken
+    tables.append({"item": many(spark, 0, 40, 2).filter("policy_id % 2 = 0")})
+    m = tables.manifest()
+    assert met[0]["splits"] == ["0"] == m["splits"] and list(m["tables"]["item"]["changes"][0]["bytes"]) == ["0"]
+    want = [(k, "a", k + (2 if k % 2 == 0 else 1)) for k in range(40)]
+    assert rows_of(tables.read("item")) == want
+    half, rest = tables._halves("0")
+    assert sorted(rows_of(tables.read_buckets("item", [half], m)) + rows_of(tables.read_buckets("item", [rest], m))) == want
+    # newer changes of one half only, folded there alone
+    newer = many(spark, 0, 40, 3).filter(tables.bucket_column("policy_id", m) == half)
+    tables.append({"item": newer})
+    tables.fold_commits, tables.fold_share, tables.split_bytes = 2, 10 ** 6, 1 << 30
+    m = tables.fold()
+    of = {b: e["v"] for b, e in m["tables"]["item"]["base"].items()}
+    assert of[half] > of[rest] and len(m["tables"]["item"]["changes"]) == 1
+    ids = {r[0] for r in newer.select("policy_id").collect()}
+    want = [(k, c, k + 3 if k in ids else a) for k, c, a in want]
+    assert rows_of(tables.read("item")) == want
+    assert tables.fold(everything=True)["tables"]["item"]["changes"] == [] and rows_of(tables.read("item")) == want
+    # a split that another fold of the same bucket overtakes changes nothing
+    tables.split_bytes, met[:] = 1, []
+    v = tables.manifest()["version"]
+    other.split_bytes = 1
+    assert tables.fold()["version"] == v + 1 == tables.manifest()["version"] and rows_of(tables.read("item")) == want
+
+
 def staged(spark, store, name, df, b):
     store.append(name, df.select(*[f.name for f in staging_schema(store.specs[name]).fields if f.name != "batch_id"]), b)
     store.mark(b)

@@ -2,7 +2,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from changeflow.functions import cast_leaf, epoch_millis, event_time_from_ms, json_patch, json_value, summary_json
+from changeflow.functions import cast_leaf, epoch_millis, event_time_from_ms, json_patch, json_value, json_values, summary_json
 from changeflow.schemas import DRIVER, document_schema
 
 
@@ -48,3 +48,17 @@ def test_document_schema_prunes_to_entity_paths():
     assert [f.name for f in s.fields] == ["vehicles"]
     veh = s["vehicles"].dataType.elementType
     assert sorted(f.name for f in veh.fields) == ["drivers", "vin"]
+
+
+def test_json_values_parse_once(spark):
+    from tests.test_plans import plan
+    docs = ['{"a": {"b": "x", "n": 1.50}, "l": [true, {"k": "7"}], "z": null}', '{"a": 3}', "not json", None, "", '{"a": {"b": {"c": 1}}}']
+    df = spark.createDataFrame([(i, d, "mine") for i, d in enumerate(docs)], "id int, j string, _doc string")
+    paths = {"b": "$.a.b", "n": ("$.a.n", "decimal(6,2)"), "first": ("$.l[0]", "boolean"), "k": ("$.l[1].k", "int"), "a": "$.a", "z": "$.z"}
+    got = json_values(df, "j", paths)
+    assert got.columns == ["id", "j", "_doc", *paths]
+    want = df.select("id", "j", "_doc", *[json_value("j", *([p] if isinstance(p, str) else p)).alias(n) for n, p in paths.items()])
+    assert sorted(got.collect()) == sorted(want.collect()) and {r["_doc"] for r in got.collect()} == {"mine"}
+    assert plan(got).count("parseJson(") == 1
+    assert json_values(df.limit(0), "j", paths).count() == 0
+    assert json_values(df, "j", {"j": "$.a"}).filter("id = 1").first()["j"] == "3"
