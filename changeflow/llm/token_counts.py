@@ -30,6 +30,11 @@ SCAN_SCHEMA = ("file_id long, block_no long, n_ids long, n_separators long, firs
                "last_separator long, inner array<long>")
 
 
+def width_of(coder: bpe.ByteBPE) -> str:
+    """The type of an id in a flat file: two bytes, if all ids of the vocabulary fit."""
+    return "<u2" if coder.n_vocab <= 1 << 16 else "<u4"
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, separator: str = "<|endoftext|>",
                       block_ids: int = 65_536) -> DataFrame:
     """Flat token files, one per task, in the shared folder. Rows with ``payload``
@@ -40,7 +45,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, separator: str = "<|endof
         from pyspark import TaskContext
 
         coder, file_id = bpe.load(tokenizer, special=False), TaskContext.get().partitionId()
-        width = "<u2" if coder.n_vocab <= 1 << 16 else "<u4"
+        width = width_of(coder)
         end = np.array([coder.special_ids[separator]], width).tobytes()
         size = block_ids * len(end)
         held, block_no, written = bytearray(), 0, 0
@@ -69,10 +74,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, separator: str = "<|endof
     return common.saved(docs.select("doc_id", "text").mapInArrow(run, FILE_SCHEMA), "token-files")
 
 
-def scan_blocks(blocks: DataFrame, separator_id: int, wide: bool = False) -> DataFrame:
-    """Per block: its ids, its separators, the first's and last's place in it, and
-    the lengths of the documents that begin and end between them."""
-    width = "<u4" if wide else "<u2"
+def scan_blocks(blocks: DataFrame, separator_id: int, width: str = "<u2") -> DataFrame:
+    """Per block of ids of type ``width``: its ids, its separators, the first's and last's
+    place in it, and the lengths of the documents that begin and end between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,12 +117,14 @@ def stitch(scan: DataFrame, block_ids: int, group: int = 1024) -> DataFrame:
         "file_id", (F.col("base") + F.col("pos")).alias("document"), "n_tokens")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, separator: str = "<|endoftext|>", separator_id: int = 50256,
-                 block_ids: int = 65_536, wide: bool = False) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, separator: str = "<|endoftext|>",
+                 block_ids: int = 65_536) -> DataFrame:
     """(doc_id, file_id, document, n_tokens): writes the flat files, scans them, and
-    names each document by the order in which it was written."""
+    names each document by the order in which it was written. The separator's id and
+    the width of ids are those of the tokenizer's file."""
+    coder = bpe.load(tokenizer, special=False)
     files = write_token_files(docs, tokenizer, separator, block_ids)
-    counts = stitch(scan_blocks(files.filter("payload is not null"), separator_id, wide), block_ids)
+    counts = stitch(scan_blocks(files.filter("payload is not null"), coder.special_ids[separator], width_of(coder)), block_ids)
     names = files.filter("doc_ids is not null").select(
         "file_id", "first_document", F.posexplode("doc_ids").alias("pos", "doc_id")).select(
         "file_id", (F.col("first_document") + F.col("pos")).alias("document"), "doc_id")

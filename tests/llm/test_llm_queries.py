@@ -117,6 +117,34 @@ def test_token_counts_across_small_blocks(spark):
     assert {r.doc_id: r.n_tokens for r in got} == {k: len(coder.encode(t)) // 4 for k, t in enumerate(texts)}
 
 
+def test_token_counts_follow_the_vocabulary(spark, workdir):
+    """The separator's id and the width of ids come from the file: one with an id over 65,535 counts the same,
+    held against the tokenizer library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from changeflow.llm import token_counts
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    wide = f"{workdir}/wide.json"
+    for token in spec["added_tokens"]:
+        token["id"] = 70_000
+    with open(wide, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    texts = ["", None, "a b c", "word " * 300, "<|endoftext|> x", "ä\u2028 é  z\n\n", "!" * 200] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    for path, width, end in ((P.path("byte_bpe_50k.json"), "<u2", 50_256), (wide, "<u4", 70_000)):
+        coder = bpe.load(path, special=False)
+        assert token_counts.width_of(coder) == width and coder.special_ids["<|endoftext|>"] == end
+        got = token_counts.token_counts(docs, path, block_ids=11).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(texts)
+
+
 def test_language_of_held_out_documents(spark):
     got = {r.doc_id: r for r in QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
