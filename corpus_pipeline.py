@@ -3,7 +3,8 @@
 Each stage works on all that the stage before kept and returns the columns of
 ``documents``, with ``n_chars`` counted anew, but for the last, whose rows are the
 pieces of sequences. ``run`` writes each stage's result as Parquet in the shared
-folder and reads it back as the next one's documents.
+folder and reads it back as the next one's documents; a result that the next stage's
+written one replaces is deleted.
 
 Rows with the same doc_id share the verdicts of quality and of near-duplicates: they
 stay if all of them pass. A document that a stage empties goes; one that was empty
@@ -66,7 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, read = common.read_table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        written = common.Scratch(spark, f"stage-{name}")
+        docs = written.saved(stage(spark, docs, sf_dir), "docs")
+        if read:
+            read.drop()
+        read = written
     return docs
