@@ -31,7 +31,8 @@ rules AS (
          word_chars < 2 * n_words OR word_chars > 15 * n_words AS word_length_failed FROM base),
 scored AS (SELECT *, base_failed OR symbols_failed OR lines_failed OR stutter_failed OR word_length_failed AS failed FROM rules),
 hosts AS (SELECT source, count(*) AS host_docs, count(*) FILTER (failed) AS host_failed FROM scored GROUP BY source),
-moments AS (SELECT avg(host_failed / host_docs) AS m, var_pop(host_failed / host_docs) AS v FROM hosts),
+sums AS (SELECT avg(host_failed / host_docs) AS m, var_pop(host_failed / host_docs) AS s, avg(1 / host_docs) AS h FROM hosts),
+moments AS (SELECT m, CASE WHEN h < 1 THEN (s - m * (1 - m) * h) / (1 - h) ELSE 0 END AS v FROM sums),
 prior AS (SELECT m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1e6 END AS weight FROM moments),
 verdicts AS (SELECT hosts.*, (host_failed + m * weight) / (host_docs + weight) > 0.5 AS host_rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -2,8 +2,8 @@
 
 1. Per document (one pass over whole texts): counts, and which rules it fails.
 2. Per host: documents and failures, summed map-side before the shuffle. The
-   hosts' failure rates give an empirical Beta prior by the method of moments;
-   a host's rate is shrunk to (failures + alpha) / (documents + alpha + beta).
+   hosts' failure rates give an empirical Beta prior by the method of moments
+   (of a beta-binomial, hosts being of different sizes); a host's rate is shrunk to (failures + alpha) / (documents + alpha + beta).
 3. Hosts whose shrunk rate is over ``host_limit`` are rejected, and their verdict
    is joined back to the documents. A host's verdict is repeated ``salts`` times
    and the documents are dealt over the copies, so a hot host is many tasks.
@@ -98,12 +98,16 @@ def host_totals(scored: DataFrame) -> DataFrame:
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Mean m and weight alpha + beta of the hosts' Beta prior: with variance v of
-    their rates, m (1 - m) / v - 1, held between 1 and 1e6 (all hosts alike)."""
+    """Mean m and weight alpha + beta of the hosts' Beta prior, by the moments of a
+    beta-binomial: the rates' mean square from m is v (1 - h) + m (1 - m) h, where v is
+    the prior's variance and h the mean of 1 / documents, so a small host's chance
+    doesn't count as spread. The weight is m (1 - m) / v - 1, held between 1 and 1e6
+    (all hosts alike, or no host of two documents to tell)."""
     rate = F.col("host_failed") / F.col("host_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    m, s, h = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("host_docs"))).first()
     if m is None:
         return 0.0, 1.0
+    v = (s - m * (1 - m) * h) / (1 - h) if h < 1 else 0.0
     return m, min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 1e-12 else 1e6
 
 

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns,
 and the template language."""
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,36 @@ def test_host_rates_shrink(spark):
     assert got["one"].host_rate < 1 and not got["h0"].host_rejected
 
 
+def test_host_prior_leaves_chance_out(spark):
+    """Hosts drawn from a known Beta: its weight is found again, though most hosts are small."""
+    def prior_of(rows):
+        return quality.beta_prior(spark.createDataFrame(rows, "host_docs long, host_failed long"))
+
+    draw = np.random.default_rng(5)
+    sizes = draw.integers(2, 12, 6000)
+    rates = draw.beta(2, 6, 6000)
+    m, weight = prior_of([(int(n), int(draw.binomial(n, p))) for n, p in zip(sizes, rates)])
+    assert abs(m - 0.25) < 0.01 and 6.5 < weight < 9.5        # unweighted raw rates would give under 3
+    m, weight = prior_of([(int(n), int(draw.binomial(n, 0.3))) for n in sizes])
+    assert weight > 50                                      # all alike
+    assert prior_of([(1, 1), (1, 0)]) == (0.5, 1e6) and prior_of([(9, 0), (3, 0)]) == (0.0, 1e6) and prior_of([]) == (0.0, 1.0)
+    assert prior_of([(400, 400), (400, 0)])[1] == 1.0
+
+
+def test_hosts_null_and_repeated_rows(spark):
+    text = " ".join(f"w{k}ord" for k in range(30))
+    rows = [(1, text, None), (1, text, None), (2, "x", None), (3, text, "a"), (None, text, "a")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.host, r.host_docs, r.host_failed, r.kept) for r in got if r.host is None) == [
+        (1, None, 3, 1, True), (1, None, 3, 1, True), (2, None, 3, 1, False)]
+    assert sorted((r.doc_id or 0, r.host_docs, r.kept) for r in got if r.host) == [(0, 2, True), (3, 2, True)]
+
+
+def test_pipeline_on_an_empty_table(spark, workdir):
+    spark.createDataFrame([], DDL).write.parquet(f"{workdir}/documents.parquet")
+    assert corpus_pipeline.run(spark, workdir).collect() == []
+
+
 def test_pipeline_on_odd_rows(docs, spark):
     held = docs.select(*corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
