@@ -40,8 +40,8 @@ from changeflow.llm.near_dup import STEP, mixed
 from changeflow.llm.run_index import RunIndex
 
 WIDTH, GRAM = 100, 24
-BUFFER = 1 << 18            # bytes looked at together
-COMBINED = 1 << 19          # segments that a task combines together
+BUFFER = 1 << 17            # bytes looked at together
+COMBINED = 1 << 17          # segments that a task combines together
 INDEX_BYTES = 1 << 21
 MOST_VARIANTS = 1 << 15
 LAST_ID = (1 << 63) - 1     # stands for a null doc_id
@@ -178,6 +178,8 @@ def found_segments(docs: DataFrame) -> DataFrame:
             look(parts)
         if n_held:
             yield combine()
+        # a worker is kept for other tasks, beside a JVM that needs the memory
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc", "text_key", "text").mapInArrow(run, SEGMENT_DDL)
 
@@ -283,6 +285,7 @@ def indexed(variants: DataFrame) -> DataFrame:
                 size += len(row[5])
         if rows:
             yield index()
+        pa.default_memory_pool().release_unused()
 
     return (variants.select("gram", "doc", "text_key", "start", "n", "bytes").repartition("gram")
             .sortWithinPartitions("gram", "doc", "text_key", "start")
