@@ -1,7 +1,8 @@
 """Which paths documents have, and which of them no entity names.
 
-A document is parsed once, to a VARIANT, and taken apart level by level; each level is
-counted by path and type, so only these counts are shuffled. Array elements share one path
+A document is parsed once, to a VARIANT, and taken apart level by level in one pass, in which
+a scalar stays as it is; all are counted by path and type at its end, so only these
+counts are shuffled. Array elements share one path
 (``[*]``). Run on a batch of staged documents it tells what a new producer has begun to send
 before anyone reads it.
 """
@@ -30,17 +31,17 @@ def document_paths(docs: DataFrame, data_col: str = "data", depth: int = 8) -> D
     """(path, kind, n): how many values of each kind of scalar documents have at a path. What
     lies deeper than ``depth`` levels is counted there as ``object`` or ``array``."""
     tvf = docs.sparkSession.tvf
-    level = docs.select(F.lit("$").alias("path"), F.try_parse_json(data_col).alias("v")).filter("v is not null")
-    found = []
-    for k in range(depth + 1):
-        level = level.withColumn("kind", _kind(F.col("v")))
-        inner = F.col("kind").isin("object", "array")
-        found.append((level if k == depth else level.filter(~inner)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")))
-        if k < depth:
-            below = level.filter(inner).select("path", "v").lateralJoin(tvf.variant_explode(F.col("v").outer()))
-            step = F.when(F.col("key").isNull(), F.lit("[*]")).otherwise(F.concat(F.lit("."), "key"))
-            level = below.select(F.concat("path", step).alias("path"), F.col("value").alias("v"))
-    return reduce(DataFrame.unionByName, found).groupBy("path", "kind").agg(F.sum("n").alias("n"))
+    level = docs.select(F.lit("$").alias("path"), F.lit(0).alias("level"), F.try_parse_json(data_col).alias("v"))
+    for _ in range(depth):
+        # what has nothing inside comes out once, without a position
+        inside = level.lateralJoin(tvf.variant_explode_outer(F.col("v").outer()))
+        step = F.when(F.col("pos").isNull(), F.lit("")).when(F.col("key").isNull(), F.lit("[*]")).otherwise(F.concat(F.lit("."), "key"))
+        level = inside.select(F.concat("path", step).alias("path"), (F.col("level") + F.col("pos").isNotNull().cast("int")).alias("level"),
+                              F.when(F.col("pos").isNull(), F.col("v")).otherwise(F.col("value")).alias("v"))
+    # an object or array that came out above the last level is empty
+    found = level.withColumn("kind", _kind(F.col("v"))).filter(F.col("v").isNotNull() & (
+        (F.col("level") == depth) | ~F.col("kind").isin("object", "array")))
+    return found.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def named_paths(specs=None) -> list[str]:
