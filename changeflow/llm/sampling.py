@@ -12,6 +12,8 @@ is returned beside it. Of the sets split off, only as many as can still be
 returned are kept. Once these are full and a set's chance to come before the last of
 them is under rounding (2 ** -53), the rest of a segmentation is drawn word by word,
 so that a long text takes time in proportion to its length and no memory for its sets.
+``sample`` does this for one text; ``lockstep`` does the same for many texts at a time,
+with the same random numbers and the same results.
 
 Pieces hold blanks at their beginning only, one or a run of them, so the lattice is a
 chain of the lattices of words, each with the whole run of blanks before it; these are
@@ -31,14 +33,16 @@ import re
 from array import array
 from bisect import insort
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 from math import exp, expm1, log
 from random import Random
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from changeflow.llm import common
+from changeflow.llm import common, lockstep
 from changeflow.llm.packing import batched
 
 BLANK = "▁"
@@ -51,6 +55,8 @@ LEAST = 1e-200            # and the least of these that may be
 LONG_WORD = 2048          # signs from which on a word's arcs are made as they are asked for
 UNDER = 40.0              # in logs, more than the 53 bits of a random number
 OUT_IDS = 1 << 18         # ids in a batch of results
+TOGETHER, MOST_TEXTS = 3_000_000, 4096      # signs and texts that are drawn together
+LONG_TEXT = 1 << 20       # signs from which on a text is drawn by itself
 Arc = tuple     # (end, piece ids, chance)
 _loaded: dict[str, "Pieces"] = {}
 
@@ -112,9 +118,18 @@ class Pieces:
         self.longest = max(map(len, self.pieces))
         self.byte_score = -log(n + 2) - total
         self.spelled = {i: t.replace(BLANK, " ").encode() for i, t in self.text.items()} | self.of_byte
+        self.bytes_of = np.array([self.spelled.get(i, b"") for i in range(n)], object)
         self.words: dict[str, Word] = {}
         self._held = 0
 
+    @cached_property
+    def tables(self) -> lockstep.Tables:
+        return lockstep.Tables(self, SHORT_WORD, LEAST, LONG_WORD)
+
+    def spelling(self, sign: str) -> tuple[int, ...]:
+        """The pieces of a sign's bytes."""
+        return tuple(self.byte_ids[b] for b in SPELLED.get(sign, sign).encode())
+
     def arcs(self, word: str, i: int, inside: Sequence[float]) -> list[tuple]:
         """(end, piece ids, log weight of all that begins so) from a place of a word."""
         found = []
@@ -123,7 +138,7 @@ class Pieces:
             if piece:
                 found.append((j, piece[0], piece[1] + inside[j]))
         if not found or found[0][0] > i + 1:
-            ids = tuple(self.byte_ids[b] for b in SPELLED.get(word[i], word[i]).encode())
+            ids = self.spelling(word[i])
             found.append((i + 1, ids, self.byte_score * len(ids) + inside[i + 1]))
         return found
 
@@ -138,7 +153,7 @@ class Pieces:
                 if piece:
                     found.append((j, piece[0], piece[2] * inside[j]))
             if not found or found[0][0] > i + 1:
-                ids = tuple(self.byte_ids[b] for b in SPELLED.get(word[i], word[i]).encode())
+                ids = self.spelling(word[i])
                 found.append((i + 1, ids, exp(self.byte_score * len(ids)) * inside[i + 1]))
             total = 0.0
             for f in found:
@@ -180,8 +195,8 @@ class Pieces:
         vocabulary is spelled by its bytes, so that it stays itself."""
         return BLANK + text.replace(BLANK, STAND_IN).replace(" ", BLANK)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.spelled.__getitem__, ids)).decode()[1:]
+    def decode(self, ids: Sequence[int]) -> str:
+        return b"".join(self.bytes_of[np.asarray(ids, np.int64)].tolist()).decode()[1:]
 
 
 def load(path: str) -> Pieces:
@@ -270,6 +285,34 @@ def draw_words(pieces: Pieces, held: str, start: int, ids: list[int], random: Ra
     return score
 
 
+def together(pieces: Pieces, k: int, seed: int, batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple]:
+    """The rows of ``sample_segmentations``, for texts of ``TOGETHER`` signs at a time."""
+    rows, size = [], 0
+    for batch in batches:
+        texts = batch.column(n_keys)
+        for n, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:n_keys]))):
+            rows.append((key, texts[n].as_py()))
+            size += len(rows[-1][1] or "")
+            if size > TOGETHER or len(rows) == MOST_TEXTS:
+                yield from drawn(pieces, k, seed, rows)
+                rows, size = [], 0
+    yield from drawn(pieces, k, seed, rows)
+
+
+def drawn(pieces: Pieces, k: int, seed: int, rows: list[tuple]) -> Iterator[tuple]:
+    seeds = [xxhash.xxh3_64_intdigest(":".join("null" if x is None else str(x) for x in (seed, *key))) for key, _ in rows]
+    many = [n for n, (_, text) in enumerate(rows) if text and len(text) < LONG_TEXT]
+    batch = lockstep.draw(pieces.tables, [pieces.word.findall(pieces.held(rows[n][1])) for n in many], [seeds[n] for n in many], k, UNDER)
+    at = {n: d for d, n in enumerate(many) if not batch.alone[d]}
+    for n, (key, text) in enumerate(rows):
+        if not text:
+            yield *key, 1, [], 0.0, 0.0, 1.0, 0.0, ""
+            continue
+        found = batch.scored(at[n]) if n in at else sample(pieces, text, k, Random(seeds[n]))
+        for rank, (ids, *scores) in enumerate(found, 1):
+            yield *key, rank, ids, *scores, pieces.decode(ids)
+
+
 def sample_segmentations(table: DataFrame, keys: list[str], vocabulary: str, k: int = 4, seed: int = 7) -> DataFrame:
     """(*keys, rank, ids, log_prob, perturbed, inclusion, log_inclusion, decoded) for each text; the
     keys are long numbers; ``decoded`` is read back from the ids."""
@@ -279,21 +322,8 @@ def sample_segmentations(table: DataFrame, keys: list[str], vocabulary: str, k:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(vocabulary)
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                texts = batch.column(len(keys))
-                for n, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:len(keys)]))):
-                    text = texts[n].as_py()
-                    name = ":".join("null" if x is None else str(x) for x in (seed, *key))
-                    if not text:
-                        yield *key, 1, [], 0.0, 0.0, 1.0, 0.0, ""
-                        continue
-                    for rank, (ids, *scores) in enumerate(sample(pieces, text, k, Random(xxhash.xxh3_64_intdigest(name))), 1):
-                        yield *key, rank, ids, *scores, pieces.decode(ids)
-
         held, size = [], 0
-        for row in rows():
+        for row in together(pieces, k, seed, batches, len(keys)):
             held.append(row)
             size += len(row[len(keys) + 1])
             if size > OUT_IDS or len(held) == 1024:
