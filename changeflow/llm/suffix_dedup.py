@@ -6,7 +6,7 @@ windows (all strings of WIDTH bytes) are dealt by content:
 
 1. Exact copies of a text are found by hash; only the first is looked into. These first
    texts are shuffled once, into a table bucketed by document, and each later join with
-   them moves only segments.
+   them moves only segments, or, for the text that is left, rows without their texts.
 2. Each window belongs to its smallest 24-byte gram (by hash, the first of equals).
    Neighbouring windows of one gram are a segment. Equal windows have equal grams,
    so they meet in segments of the same gram.
@@ -352,10 +352,12 @@ def results(marked: DataFrame, with_text: bool) -> DataFrame:
         run, "doc long, text_key long, spans array<struct<start:long,length:long>>, kept_sha256 string, kept string")
 
 
-def dedup_passages(docs: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_passages(docs: DataFrame, with_text: bool = False, keep: tuple[str, ...] = (),
+                   held: common.Scratch | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept, *keep) of every
     row; ``kept`` is the text left, by whole characters, if ``with_text``; ``keep`` names
-    columns of ``docs`` to go along."""
+    columns of ``docs`` to go along. With its text, the result reads a table in ``held``,
+    which may be dropped once the result is written."""
     common.ship(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("text_key"),
@@ -368,8 +370,10 @@ def dedup_passages(docs: DataFrame, with_text: bool = False, keep: tuple[str, ..
     later = common.saved(
         base.select("doc", *keys).join(copies, keys).filter("doc > first").select("doc", *keys).distinct(), "later-copies")
     # equal rows are one before the shuffle, and no later one moves the texts
-    texts = base.filter(F.octet_length("text") >= WIDTH).select("doc", "text_key", F.encode("text", "UTF-8").alias("text"))
-    texts = late.bucketed(texts.dropDuplicates(TEXT).join(later.select(*TEXT), TEXT, "left_anti"), "texts", TEXT)
+    texts = base.filter(F.octet_length("text") >= WIDTH).select("doc", "text_key", "text")
+    whole_texts = held or common.Scratch(docs.sparkSession, "suffix-texts") if with_text else late
+    whole_texts = whole_texts.bucketed(texts.dropDuplicates(TEXT).join(later.select(*TEXT), TEXT, "left_anti"), "texts", TEXT)
+    texts = whole_texts.withColumn("text", F.encode("text", "UTF-8"))
 
     segs = late.saved(marked_segments(found_segments(texts)), "segments")
     early.drop()
@@ -388,8 +392,10 @@ def dedup_passages(docs: DataFrame, with_text: bool = False, keep: tuple[str, ..
     removed = done.withColumn("copy", F.lit(False)).unionByName(
         later.select("doc", "text_key", F.lit(True).alias("copy")), allowMissingColumns=True)
     rows = base.select("doc_id", "doc", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
-                       "others", *["text"] * with_text)
-    out = rows.join(removed, ["doc", "text_key"], "left")
+                       "others", *[F.when(F.octet_length("text") < WIDTH, F.col("text")).alias("short_text")] * with_text)
+    out = rows.join(removed, TEXT, "left")
+    if with_text:       # a text that isn't short or a later copy is in its table, and isn't shuffled again
+        out = out.join(whole_texts.withColumnRenamed("text", "whole_text"), TEXT, "left").withColumn("text", F.coalesce("short_text", "whole_text"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("length")))
     out = out.withColumn("spans", F.when(F.col("copy"), whole).otherwise(F.coalesce("spans", none)))
     return out.select(

@@ -4,7 +4,8 @@ Each stage works on all that the stage before kept and returns the columns of
 ``documents``, with ``n_chars`` counted anew, but for the last, whose rows are the
 pieces of sequences. ``run`` writes each stage's result as Parquet in the shared
 folder and reads it back as the next one's documents; a result that the next stage's
-written one replaces is deleted.
+written one replaces is deleted, and so are the tables that a stage's result reads
+(``held``) once it is written.
 
 Rows with the same doc_id share the verdicts of quality and of near-duplicates: they
 stay if all of them pass. A document that a stage empties goes; one that was empty
@@ -33,23 +34,30 @@ def with_text(docs: DataFrame, text: str) -> DataFrame:
                        F.char_length(text).cast("long").alias("n_chars")).filter("text <> ''")
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, held: common.Scratch | None = None) -> DataFrame:
     return kept_only(docs, quality.quality_rules(docs).select("doc_id", "kept"))
 
 
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, held: common.Scratch | None = None) -> DataFrame:
     return with_text(lines.dedup_lines(docs, keep=("lang", "source")), "text")
 
 
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_only(docs, near_dup.near_duplicates(docs).select("doc_id", "kept"))
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, held: common.Scratch | None = None) -> DataFrame:
+    """Texts are shuffled once, into a table bucketed by doc_id: neither the candidates' join
+    nor the one with the verdicts moves them again. Rows without a doc_id, which the operator
+    links with nothing and keeps, stay as they are."""
+    docs, held = docs.select(*COLUMNS), held or common.Scratch(spark, "near-dup-docs")
+    named = held.bucketed(docs.filter("doc_id is not null").repartition("doc_id"), "docs", ["doc_id"])
+    verdicts = near_dup.near_duplicates(named)
+    ok = verdicts.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select("doc_id")
+    return named.join(ok, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
-def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_text(suffix_dedup.dedup_passages(docs, with_text=True, keep=("lang", "source")), "kept")
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, held: common.Scratch | None = None) -> DataFrame:
+    return with_text(suffix_dedup.dedup_passages(docs, with_text=True, keep=("lang", "source"), held=held), "kept")
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, held: common.Scratch | None = None) -> DataFrame:
     return packing.pack_documents(docs, vocabulary()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -69,8 +77,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, read = common.read_table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES:
-        written = common.Scratch(spark, f"stage-{name}")
-        docs = written.saved(stage(spark, docs, sf_dir), "docs")
+        written, held = (common.Scratch(spark, f"{kind}-{name}") for kind in ("stage", "held"))
+        docs = written.saved(stage(spark, docs, sf_dir, held), "docs")
+        held.drop()
         if read:
             read.drop()
         read = written
