@@ -3,12 +3,13 @@
 1. Documents with the same set of shingles are one class, known by its smallest
    doc_id. 128 minhashes per class, banded 32 x 4: classes that share a band are
    candidates (a pair at similarity 0.75 misses every band once in 200,000).
-2. A bucket's members are compared with hubs of it, never all with each other: the
-   smallest member of each of 1, then 8, then 64 ... hash groups, found by a ``min``
-   that is combined map-side. Turn 1 is a star, which joins a large group of copies;
-   after it, members already in a hub's component need no comparison. Hubs leave a
-   bucket that they have met as a whole, and turns go on until each bucket is one
-   component or has no one left, so no link between different components is lost.
+2. A bucket's members are compared with hubs of it: its smallest member, then about 64,
+   then about 4,096 of those left, told by their hashes; all where no more are left.
+   Turn 1 is a star, which joins a large group of copies; after it, members already in
+   a hub's component need no comparison. Hubs leave a bucket that they have met as a
+   whole, and turns go on until each bucket is one component or has no one left, so no
+   link between different components is lost. A turn's links are between the components
+   so far, so that each turn's graph is no larger than what it joins.
 3. The parities of a class's shingles in 1,024 hash slots (an odd sketch) bound how
    much two sets differ from below: by the number of slots whose parity differs. A
    pair whose sets differ too much for the threshold is left out by this bound, which
@@ -37,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.llm import common
-from changeflow.llm.components import components
+from changeflow.llm.components import forest
 
 WORDS, PERMS, ROWS, BATCH = 5, 128, 4, 16
-HUBS_TIMES, HUBS_MOST = 8, 4096
+HUBS_TIMES, HUBS_MOST = 64, 4096
 SLOTS = 1024
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20_240_229)
@@ -127,48 +128,53 @@ def least_matches(threshold: float, miss: float) -> list[int]:
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """The pairs (a, b) whose signatures leave their link likely enough."""
+    """The pairs (a, b) of components (u, v) whose signatures leave their link likely enough."""
     least = least_matches(threshold, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PERMS) for c in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PERMS) for c in (4, 5))
             alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for k, fewest in enumerate(least):
                 part = slice(k * BATCH, (k + 1) * BATCH)
                 matches[alive] += (left[alive, part] == right[alive, part]).sum(1)
                 alive = alive[matches[alive] >= fewest]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in range(4)], names=["a", "b", "u", "v"])
 
     both = (pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
             .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b"))
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "u", "v", "sig_a", "sig_b").mapInArrow(run, "a long, b long, u long, v long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v): the pairs whose full sets have 100 * common >= percent * all."""
+    """Links (u, v) of components: by the pairs (a, b) whose full sets have 100 * common >= percent * all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_text, held = None, None
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column(2), batch.column(3)):
+            for a, b in zip(batch.column(4), batch.column(5)):
                 a = a.as_py()
                 if a != held_text:
                     held_text, held = a, shingles(a)
                 other = shingles(b.as_py())
                 common_size = len(np.intersect1d(held, other, assume_unique=True))
                 ok.append(100 * common_size >= percent * (len(held) + len(other) - common_size))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in (0, 1)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in (2, 3)], names=["u", "v"])
 
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"))
-    return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "u long, v long")
+    return both.select("a", "b", "u", "v", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "u long, v long")
 
 
 def several(members: DataFrame, value: str) -> DataFrame:
-    """The members of buckets with more than one ``value``."""
-    kinds = members.groupBy("key").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo < hi").select("key")
-    return members.join(kinds, "key")
+    """The members of buckets with more than one ``value``; the least one and how many rows the bucket has."""
+    kinds = members.groupBy("key").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("size"))
+    return members.join(kinds.filter("lo < hi").drop("hi"), "key")
+
+
+def renamed(rows: DataFrame, comp: str, links: DataFrame) -> DataFrame:
+    """The rows with the components that a turn's links (u, v) have joined u to."""
+    return rows.join(links, rows[comp] == links["u"], "left").withColumn(comp, F.coalesce("v", comp)).drop("u", "v")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> DataFrame:
@@ -190,29 +196,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
 
     differ = " + ".join(f"bit_count(odd[{k}] ^ hub_odd[{k}])" for k in range(SLOTS // 64))
     possible = f"coalesce({100 + percent} * ({differ}) <= {100 - percent} * (n + hub_n), true)"
-    links, roots, n_hubs = None, None, 1
+    joined, turn, n_hubs = [], 0, 1
     while not live.isEmpty():
-        hubs = work.saved(live.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(n_hubs)).alias("part")).agg(
-            F.min(F.struct("rep", "comp", "n", "odd")).alias("hub")).select("key", "hub.*"), "hubs")
-        met = (live.join(hubs.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "comp", "n", "odd")]), "key")
-               .filter(f"comp <> hub_comp and {possible}")
-               .select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct())
-        new = work.saved(confirmed(work.saved(likely(met, sigs, percent / 100, miss), "pairs"), texts, percent), "links")
-        rest = live.join(hubs.select("key", "rep"), ["key", "rep"], "left_anti")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            roots = work.saved(components(links, work.saved), "roots")
-            rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-                "key", "rep", "n", "odd", F.coalesce("root", "comp").alias("comp"))
+        # all members where there are no more than hubs
+        is_hub = F.col("rep") == F.col("lo") if turn == 0 else F.pmod(F.xxhash64("rep", F.lit(turn)), "size") < n_hubs
+        marked = live.withColumn("is_hub", is_hub)
+        hubs = marked.filter("is_hub").select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "comp", "n", "odd")])
+        met = (marked.join(hubs, "key").filter(f"comp <> hub_comp and (not is_hub or rep < hub_rep) and {possible}")
+               .select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b"),
+                       F.least("comp", "hub_comp").alias("u"), F.greatest("comp", "hub_comp").alias("v")).distinct())
+        links = forest(confirmed(work.saved(likely(met, sigs, percent / 100, miss), "pairs"), texts, percent), work.saved)
+        rest = marked.filter("not is_hub").drop("is_hub", "lo", "size")
+        if not links.isEmpty():
+            joined.append(links)
+            rest = renamed(rest, "comp", links)
         live = work.saved(several(rest, "comp"), "buckets")
-        n_hubs = min(n_hubs * HUBS_TIMES, HUBS_MOST)
-
-    named = classes.select("set_key", "rep")
-    if roots is not None:
-        named = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "set_key", F.coalesce("root", "rep").alias("class_id"))
-    else:
-        named = named.withColumnRenamed("rep", "class_id")
+        turn, n_hubs = turn + 1, min(n_hubs * HUBS_TIMES, HUBS_MOST)
+
+    named = classes.select("set_key", F.col("rep").alias("class_id"))
+    for links in joined:
+        named = renamed(named, "class_id", links)
     named = work.saved(named, "named")
     out = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
