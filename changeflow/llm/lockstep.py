@@ -301,7 +301,7 @@ class Tables:
 
 def draw(tables: Tables, texts: list[list[str]], seeds: list[int], k: int, under: float) -> "Batch":
     """The segmentations of texts given as their words; ``alone`` tells which texts have none
-    here, as they have no choice at all or a word whose lattice isn't held."""
+    here, as they have a word whose lattice isn't held."""
     known = tables.words
     new = set(chain.from_iterable(texts)).difference(known)
     if new:
@@ -311,7 +311,7 @@ def draw(tables: Tables, texts: list[list[str]], seeds: list[int], k: int, under
         tables.add(list(new))
     every = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
     root_of = tables.root.held
-    alone = [bool((root_of[w] == -2).any()) or not (root_of[w] >= 0).any() for w in every]
+    alone = [bool((root_of[w] == -2).any()) for w in every]
     return Batch(tables, every, alone, seeds, k, under)
 
 
@@ -319,8 +319,9 @@ class Batch:
     def __init__(self, tables: Tables, every: list[np.ndarray], alone: list[bool], seeds: list[int], k: int, under: float):
         self.t, self.every, self.alone, self.k, self.under = tables, every, alone, k, under
         n = len(every)
-        self.live = [d for d in range(n) if not alone[d]]
-        self.streams = [None if alone[d] else Stream(seeds[d]) for d in range(n)]
+        choice = [not alone[d] and bool((tables.root.held[every[d]] >= 0).any()) for d in range(n)]
+        self.live = [d for d in range(n) if choice[d]]
+        self.streams = [Stream(seeds[d]) if choice[d] else None for d in range(n)]
         # the texts' words with nodes, one after the other, each text ended by -1
         seq, number, self.begin, at = [], [], np.zeros(n, np.int64), 0
         for d in self.live:
@@ -334,6 +335,9 @@ class Batch:
         self.number = np.concatenate(number) if number else np.zeros(0, np.int64)
         self.out: list[list[tuple]] = [[] for _ in range(n)]
         self.bound: list[float | None] = [None] * n
+        for d in range(n):
+            if not alone[d] and not choice[d]:      # one way from end to end
+                self.out[d] = [(np.zeros(0, np.int32), 0.0, -log(-log(1 - Random(seeds[d]).random() or 1e-300) or 1e-300))]
         self.run()
 
     def run(self) -> None:
